@@ -14,6 +14,11 @@ _TOKEN = f"[^{WHITESPACE}]++"
 _GAP = f"[{WHITESPACE}]++"
 
 
+def let(value: Column, body) -> Column:
+    """Bind ``value`` once: a lambda variable is never inlined into the places that use it."""
+    return F.transform(F.array(value), body).getItem(0)
+
+
 def is_header(line: Column) -> Column:
     return line.rlike(f"^{HEADER}")
 
@@ -85,14 +90,23 @@ def keyword_span(raw: Column, keywords: list[str]) -> Column:
             "",
         )
 
-    # The one-element array binds the split lines once for the whole expression.
-    return F.transform(F.array(F.split(raw, "\n", -1)), from_first_match).getItem(0)
+    return let(F.split(raw, "\n", -1), from_first_match)
 
 
 def trim_first_tab(hit_no: Column, hit: Column) -> Column:
     """The first span of a file loses one leading tab."""
-    return F.when((hit_no == 1) & F.startswith(hit, F.lit("\t")), F.substring(hit, 2, 2**31 - 1)).otherwise(hit)
 
+    def trimmed(span: Column) -> Column:
+        is_first = (hit_no == 1) & F.startswith(span, F.lit("\t"))
+        return F.when(is_first, F.substring(span, 2, 2**31 - 1)).otherwise(span)
+
+    return let(hit, trimmed)
+
+
+# Characters that are printed as an escape of two characters, and the other ones below 128 that
+# are printed as one of four.
+_TWO = "\\\t\n\r"
+_FOUR = "".join(chr(code) for code in [*range(32), 127] if chr(code) not in _TWO)
 
 _UNPRINTABLE = r"[\p{Cc}\p{Cf}\p{Cs}\p{Co}\p{Cn}\p{Zl}\p{Zp}\p{Zs}&&[^ \t\n\r]]"
 
@@ -104,20 +118,29 @@ def python_repr_length(text: Column) -> Column:
     characters three, five or nine more, and single quotes one more if the text has both kinds.
     """
 
-    def count(pattern: str) -> Column:
-        return F.regexp_count(text, F.lit(pattern)).cast("long")
+    def without(rest: Column) -> Column:
+        return (F.length(text) - F.length(rest)).cast("long")
+
+    def among(chars: str) -> Column:
+        return without(F.translate(text, chars, ""))
+
+    def matching(pattern: str) -> Column:
+        return without(F.regexp_replace(text, pattern, ""))
 
-    plain = F.length(text).cast("long") + 2 + count(r"[\\\t\n\r]")
-    ascii_only = F.octet_length(text) == F.length(text)
-    low = 3 * count(r"[\x00-\x08\x0B\x0C\x0E-\x1F\x7F]")
     wide = (
-        3 * count(r"[\x00-\xFF&&" + _UNPRINTABLE + "]")
-        + 5 * count(r"[\x{100}-\x{FFFF}&&" + _UNPRINTABLE + "]")
-        + 9 * count(r"[\x{10000}-\x{10FFFF}&&" + _UNPRINTABLE + "]")
+        3 * matching(r"[\x00-\xFF&&" + _UNPRINTABLE + "]")
+        + 5 * matching(r"[\x{100}-\x{FFFF}&&" + _UNPRINTABLE + "]")
+        + 9 * matching(r"[\x{10000}-\x{10FFFF}&&" + _UNPRINTABLE + "]")
     )
+    ascii_only = F.octet_length(text) == F.length(text)
     both_quotes = F.contains(text, F.lit("'")) & F.contains(text, F.lit('"'))
-    quotes = F.when(both_quotes, count("'")).otherwise(F.lit(0))
-    return plain + F.when(ascii_only, low).otherwise(wide) + quotes
+    return (
+        F.length(text).cast("long")
+        + 2
+        + among(_TWO)
+        + F.when(ascii_only, 3 * among(_FOUR)).otherwise(wide)
+        + F.when(both_quotes, among("'")).otherwise(F.lit(0))
+    )
 
 
 def now_text() -> Column:

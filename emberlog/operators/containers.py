@@ -1,7 +1,6 @@
 """Per-container results, payload size, de-duplication over runs, keyed listing.
 
-Nothing here collects the records of a container into one value: results are counts, or long rows
-``(section, pattern_no, container_id, ord, text)``.
+Nothing here collects the records of a container into one value: results are counts or long rows.
 """
 
 from __future__ import annotations
@@ -9,9 +8,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from emberlog.catalogue import LEVELS, MAX_KEYWORD_CHARS
-from emberlog.functions.text import python_repr_length
-from emberlog.operators.records import is_kept
+from emberlog.catalogue import MAX_KEYWORD_CHARS
+from emberlog.functions.text import any_keyword, keyword_span, let, python_repr_length, trim_first_tab
+from emberlog.operators.records import is_kept, segments_of, split_records
 
 
 def summary(recs: DataFrame, extra: dict[str, Column] | None = None) -> DataFrame:
@@ -51,67 +50,142 @@ def accumulate(previous: DataFrame, new: DataFrame) -> DataFrame:
     return previous.unionByName(new).dropDuplicates()
 
 
-def printed_keyword_length(rows: DataFrame, containers: DataFrame, text: str = "hit") -> DataFrame:
-    """One row ``(n_items, n_chars)`` of the printed list ``[{path: [span, ...]}, ...]``.
+# --- entries --------------------------------------------------------------------------------
+#
+# ``(container_id, section, ord, text)``: the kept records of a container under their level, its
+# keyword spans, and one row of section MARKER that makes the container appear.
 
-    ``containers`` has one row per container, with or without spans.
-    """
-    # Brackets of an entry: {path: [ ]} and the ", " after it.
-    return _printed(rows, containers, text, entry_overhead=len("{: []}, "), lists="1")
+KEYWORD = "Keyword"
+MARKER = "container"
 
 
-def printed_result_length(rows: DataFrame, containers: DataFrame, text: str = "text") -> DataFrame:
-    """The same for ``[{path: {"ERROR": [...], "WARN": [...], "INFO": [...]}}, ...]``."""
-    overhead = len("{: {'ERROR': [], 'WARN': [], 'INFO': []}}, ")
-    return _printed(rows, containers, text, entry_overhead=overhead, lists="section")
+def entries_from_text(files: DataFrame, keywords: list[str], levels: bool = True) -> DataFrame:
+    """Entries of whole files in one narrow pass."""
+    entry = "array<struct<section:string,ord:bigint,text:string>>"
 
+    def numbered(parts: Column, section, text) -> Column:
+        return F.transform(parts, lambda part, i: F.struct(section(part), (i + 1).cast("long"), text(part))).cast(entry)
 
-def _printed(rows: DataFrame, containers: DataFrame, text: str, entry_overhead: int, lists: str) -> DataFrame:
-    """Sum over containers and texts, so that it is built from partial sums.
+    def of_pieces(pieces: Column) -> Column:
+        found = [F.array(F.struct(F.lit(MARKER), F.lit(0), F.lit(None).cast("string"))).cast(entry)]
+        if levels:
+            found.append(numbered(segments_of(pieces), lambda seg: seg["level"], lambda seg: seg["record"]))
+        if keywords:
+            hits = F.filter(pieces, lambda raw: any_keyword(raw, keywords))
+            found.append(numbered(hits, lambda raw: F.lit(KEYWORD), lambda raw: raw))
+        return F.concat(*found)
 
-    Every text is followed by ", " except the last one of its list, every entry by ", " except
-    the last one.
-    """
-    per_list = rows.groupBy("container_id", F.expr(lists).alias("_list")).agg(
-        F.count("*").alias("n"), (F.sum(python_repr_length(F.col(text)) + 2) - 2).alias("chars")
-    )
-    per_entry = containers.select(
+    rows = files.select("container_id", F.explode(let(split_records(F.col("value")), of_pieces)).alias("_entry"))
+    flat = rows.select("container_id", "_entry.section", "_entry.ord", "_entry.text")
+    section, text = F.col("section"), F.col("text")
+    kept = flat.filter(section.isin(KEYWORD, MARKER) | is_kept(section, text))
+    if not keywords:
+        return kept
+    span = trim_first_tab(F.col("ord"), keyword_span(text, keywords))
+    return kept.withColumn("text", F.when(section == KEYWORD, span).otherwise(text))
+
+
+def entries(ids: DataFrame, segments: DataFrame | None, spans: DataFrame | None) -> DataFrame:
+    """The same rows from parts: container ids, merged records and keyword spans."""
+    rows = ids.select(
         "container_id",
-        F.lit(0).cast("long").alias("n"),
-        (python_repr_length(F.col("container_id").cast("string")) + entry_overhead).alias("chars"),
+        F.lit(MARKER).alias("section"),
+        F.lit(0).cast("long").alias("ord"),
+        F.lit(None).cast("string").alias("text"),
     )
-    sized = per_list.select("container_id", "n", "chars").unionByName(per_entry)
-    in_list = F.coalesce(F.sum("chars"), F.lit(0))
-    return sized.agg(
-        F.coalesce(F.sum("n"), F.lit(0)).alias("n_items"),
-        (F.lit(2) + F.greatest(in_list - 2, F.lit(0))).alias("n_chars"),
+    if segments is not None:
+        kept = segments.filter(is_kept(F.col("level"), F.col("record")))
+        rows = rows.unionByName(
+            kept.select(
+                "container_id",
+                F.col("level").alias("section"),
+                F.col("seg").alias("ord"),
+                F.col("record").alias("text"),
+            )
+        )
+    if spans is not None:
+        rows = rows.unionByName(
+            spans.select(
+                "container_id",
+                F.lit(KEYWORD).alias("section"),
+                F.col("hit_no").alias("ord"),
+                F.col("hit").alias("text"),
+            )
+        )
+    return rows
+
+
+def printed_sizes(entry_rows: DataFrame) -> DataFrame:
+    """One row: items and characters of the two lists of a report as they would be printed.
+
+    Keyword is ``[{path: [span, ...]}, ...]``, res is ``[{path: {"ERROR": [...], "WARN": [...],
+    "INFO": [...]}}, ...]``. Every text is followed by ", " except the last one of its list, every
+    container by ", " except the last one. All of it is a sum that is built from partial sums.
+    """
+    section = F.col("section")
+    is_marker, is_span = section == MARKER, section == KEYWORD
+    per_list = entry_rows.groupBy("container_id", "section").agg(
+        F.count("*").alias("n"),
+        (F.sum(python_repr_length(F.col("text")) + 2) - 2).alias("chars"),
     )
+    path = python_repr_length(F.col("container_id").cast("string"))
+
+    def printed(is_text: Column, around: int) -> Column:
+        chars = F.when(is_text, F.col("chars")).when(is_marker, path + around)
+        return F.lit(2) + F.greatest(F.coalesce(F.sum(chars), F.lit(0)) - 2, F.lit(0))
 
+    def items(is_text: Column) -> Column:
+        return F.coalesce(F.sum(F.when(is_text, F.col("n"))), F.lit(0))
 
-def guard(size: DataFrame, section: str, max_chars: int = MAX_KEYWORD_CHARS) -> DataFrame:
-    """``(section, n_items, n_chars, flag)``: over the limit the list is empty and the flag is 1."""
-    over = F.col("n_chars") > max_chars
-    return size.select(
-        F.lit(section).alias("section"),
-        F.when(over, 0).otherwise(F.col("n_items")).cast("long").alias("n_items"),
-        F.when(over, len("[]")).otherwise(F.col("n_chars")).cast("long").alias("n_chars"),
-        F.when(over, 1).otherwise(0).cast("long").alias("flag"),
+    return per_list.agg(
+        items(is_span).alias("keyword_items"),
+        printed(is_span, len("{: []}, ")).alias("keyword_chars"),
+        items(~is_span & ~is_marker).alias("res_items"),
+        printed(~is_span & ~is_marker, len("{: {'ERROR': [], 'WARN': [], 'INFO': []}}, ")).alias("res_chars"),
     )
 
 
-def guarded(rows: DataFrame, size: DataFrame, max_chars: int = MAX_KEYWORD_CHARS) -> DataFrame:
-    """The rows, or none of them if their printed size (one row with ``n_chars``) is over the limit."""
-    return rows.filter(size.select("n_chars").scalar() <= F.lit(max_chars))
+def guard(sizes: DataFrame, limits: dict[str, int] | None = None) -> DataFrame:
+    """``(section, n_items, n_chars, flag)``; over a limit the keyword list is empty, the flag is 1.
 
+    ``limits`` maps section names to limits of the keyword list. The level lists have no limit.
+    """
 
-def sorted_listing(df: DataFrame, key: str) -> DataFrame:
-    """All rows of a keyed table in the order of the key."""
-    return df.orderBy(key)
+    def row(section: str, items: Column, chars: Column, flag: Column) -> Column:
+        return F.struct(
+            F.lit(section).alias("section"),
+            items.cast("long").alias("n_items"),
+            chars.cast("long").alias("n_chars"),
+            flag.cast("long").alias("flag"),
+        )
+
+    items, chars = F.col("keyword_items"), F.col("keyword_chars")
+    rows = [row("res", F.col("res_items"), F.col("res_chars"), F.lit(0))]
+    for section, limit in (limits or {KEYWORD: MAX_KEYWORD_CHARS}).items():
+        over = chars > limit
+        rows.append(
+            row(
+                section,
+                F.when(over, 0).otherwise(items),
+                F.when(over, len("[]")).otherwise(chars),
+                F.when(over, 1).otherwise(0),
+            )
+        )
+    return sizes.select(F.inline(F.array(*rows)))
+
+
+def guarded(entry_rows: DataFrame, spans: DataFrame, max_chars: int = MAX_KEYWORD_CHARS) -> DataFrame:
+    """The entries, without keyword spans if their printed list is over the limit.
+
+    ``spans`` are the entries to measure: the same ones, or only their spans and markers.
+    """
+    size = printed_sizes(spans).select("keyword_chars").scalar()
+    return entry_rows.filter((F.col("section") != KEYWORD) | (size <= F.lit(max_chars)))
 
 
-def level_lists(segments: DataFrame) -> DataFrame:
-    """Long form of the three lists of a container: ``(section, container_id, ord, text)``."""
-    rows = segments.filter(is_kept(F.col("level"), F.col("record")) & F.col("level").isin(*LEVELS))
-    return rows.select(
-        F.col("level").alias("section"), "container_id", F.col("seg").alias("ord"), F.col("record").alias("text")
-    )
+def sorted_listing(df: DataFrame, key: str) -> DataFrame:
+    """All rows of a keyed table in the order of the key.
+
+    The other columns break ties, so rows with the same key can go to different tasks.
+    """
+    return df.orderBy(key, *[name for name in df.columns if name != key])

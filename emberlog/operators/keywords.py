@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from emberlog.functions.text import any_keyword, keyword_span, parse_keywords, trim_first_tab
 from emberlog.operators.ordering import ROWS_PER_CHUNK, record_chunk, running_counts
-from emberlog.operators.records import BREAK_BEFORE_HEADER
+from emberlog.operators.records import split_records
 
 
 def spans_from_text(files: DataFrame, keywords: str | list[str], match: str = "first") -> DataFrame:
@@ -22,9 +22,7 @@ def spans_from_text(files: DataFrame, keywords: str | list[str], match: str = "f
         .select(
             "container_id",
             F.posexplode(
-                F.filter(
-                    F.split("value", BREAK_BEFORE_HEADER, -1), lambda raw: any_keyword(raw, wanted)
-                )
+                F.filter(split_records(F.col("value")), lambda raw: any_keyword(raw, wanted))
             ).alias("_pos", "raw"),
         )
         .withColumn("hit_no", (F.col("_pos") + 1).cast("long"))

@@ -17,21 +17,26 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from emberlog.catalogue import HEADER, ROOT_CAUSE
-from emberlog.functions.text import header_level, is_header, is_known, is_short_header, joined, line_count
+from emberlog.functions.text import header_level, is_header, is_known, is_short_header, joined, let, line_count
 from emberlog.operators.ordering import ROWS_PER_CHUNK, record_chunk, running_counts
 
-BREAK_BEFORE_HEADER = rf"\n(?={HEADER})"
+_BREAK_BEFORE_HEADER = rf"\n(?={HEADER})"
 
 
 # --- pieces ---------------------------------------------------------------------------------
 
 
+def split_records(value: Column) -> Column:
+    """Whole text to the array of its raw records, the lines before the first header in front."""
+    return F.split(value, _BREAK_BEFORE_HEADER, -1)
+
+
 def pieces_from_text(files: DataFrame) -> DataFrame:
     """``(container_id, value)`` with one whole file per row to pieces, without a shuffle."""
     cut = files.select(
         "container_id",
         is_header(F.col("value")).cast("long").alias("_opens"),
-        F.posexplode(F.split("value", BREAK_BEFORE_HEADER, -1)).alias("_pos", "raw"),
+        F.posexplode(split_records(F.col("value"))).alias("_pos", "raw"),
     )
     rec_no = F.col("_pos") + F.col("_opens")
     return cut.select(
@@ -112,11 +117,8 @@ def kept(recs: DataFrame) -> DataFrame:
 
 def segments_from_text(files: DataFrame) -> DataFrame:
     """Whole files to ``(container_id, seg, level, record)``, each file inside its own row."""
-    value = F.col("value")
-    pieces = F.split(value, BREAK_BEFORE_HEADER, -1)
-    first = F.when(is_header(value), F.lit(1)).otherwise(F.lit(2))
-    headed = F.slice(pieces, first, F.greatest(F.size(pieces) - first + 1, F.lit(0)))
-    return files.select("container_id", F.posexplode(_segments(headed)).alias("_pos", "_seg")).select(
+    found = let(split_records(F.col("value")), segments_of)
+    return files.select("container_id", F.posexplode(found).alias("_pos", "_seg")).select(
         "container_id",
         (F.col("_pos") + 1).cast("long").alias("seg"),
         F.col("_seg.level").alias("level"),
@@ -124,22 +126,19 @@ def segments_from_text(files: DataFrame) -> DataFrame:
     )
 
 
-def _let(value: Column, body) -> Column:
-    """Bind ``value`` once: a lambda variable is never inlined into the places that use it."""
-    return F.transform(F.array(value), body).getItem(0)
-
-
-def _segments(headed: Column) -> Column:
-    """Array of raw records to the array of merged segments; linear in the number of records."""
+def segments_of(pieces: Column) -> Column:
+    """Pieces of one file to the array of its merged ``(level, record)``, in linear time."""
+    first = F.when(is_header(F.get(pieces, F.lit(0))), F.lit(1)).otherwise(F.lit(2))
+    headed = F.slice(pieces, first, F.greatest(F.size(pieces) - first + 1, F.lit(0)))
 
     def with_records(recs: Column) -> Column:
-        return _let(F.transform(recs, header_level), lambda levels: with_levels(recs, levels))
+        return let(F.transform(recs, header_level), lambda levels: with_levels(recs, levels))
 
     def with_levels(recs: Column, levels: Column) -> Column:
         positions = F.filter(
             F.transform(levels, lambda level, i: F.when(is_known(level), i)), lambda i: i.isNotNull()
         )
-        return _let(positions, lambda known: with_known(recs, levels, known))
+        return let(positions, lambda known: with_known(recs, levels, known))
 
     def with_known(recs: Column, levels: Column, known: Column) -> Column:
         def opens(i: Column, k: Column) -> Column:
@@ -147,7 +146,7 @@ def _segments(headed: Column) -> Column:
             return (k == 0) | (F.get(levels, i) != F.get(levels, before)) | (i == before + 1)
 
         starts = F.filter(F.transform(known, lambda i, k: F.when(opens(i, k), k)), lambda k: k.isNotNull())
-        return _let(starts, lambda opened: build(recs, levels, known, opened))
+        return let(starts, lambda opened: build(recs, levels, known, opened))
 
     def build(recs: Column, levels: Column, known: Column, opened: Column) -> Column:
         def segment(k: Column, s: Column) -> Column:
@@ -161,7 +160,7 @@ def _segments(headed: Column) -> Column:
         survivors = F.size(opened) - F.when(open_end, F.lit(1)).otherwise(F.lit(0))
         return F.transform(F.slice(opened, F.lit(1), F.greatest(survivors, F.lit(0))), segment)
 
-    return _let(headed, with_records)
+    return let(headed, with_records)
 
 
 def merge_gaps(recs: DataFrame, chunk: bool = False, rows_per_chunk: int = ROWS_PER_CHUNK) -> DataFrame:

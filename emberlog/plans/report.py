@@ -10,46 +10,28 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from emberlog.operators import patterns
-from emberlog.operators.records import is_kept
+from emberlog.operators.containers import MARKER
 
 BUCKETS = {"ERROR": "SpecificError", "WARN": "SpecificWarn"}
-KEYWORD = "Keyword"
-COLUMNS = ("section", "pattern_no", "container_id", "ord", "text")
 
 
-def level_and_bucket_rows(segments: DataFrame) -> DataFrame:
-    """Level lists and phrase buckets in one narrow pass over merged records."""
-    entry = "array<struct<section:string,pattern_no:bigint>>"
+def rows(entry_rows: DataFrame) -> DataFrame:
+    """Entries as report rows; a record is repeated for every phrase it contains. No shuffle."""
+    place = "struct<section:string,pattern_no:bigint>"
+    section, text = F.col("section"), F.col("text")
 
     def bucket(kind: str) -> Column:
-        found = patterns.matched(F.col("record"), patterns.CATALOGUE[kind])
-        return F.transform(
-            found, lambda hit: F.struct(F.lit(BUCKETS[kind]).alias("section"), hit["pattern_no"].alias("pattern_no"))
-        )
-
-    own = F.array(F.struct(F.col("level").alias("section"), F.lit(None).cast("long").alias("pattern_no")))
-    buckets = F.when(F.col("level") == "ERROR", bucket("ERROR")).when(F.col("level") == "WARN", bucket("WARN"))
-    places = F.concat(own.cast(entry), F.coalesce(buckets.cast(entry), F.array().cast(entry)))
-    return (
-        segments.filter(is_kept(F.col("level"), F.col("record")))
-        .select("container_id", "seg", "record", F.explode(places).alias("_at"))
-        .select(
-            F.col("_at.section").alias("section"),
-            F.col("_at.pattern_no").alias("pattern_no"),
-            "container_id",
-            F.col("seg").alias("ord"),
-            F.col("record").alias("text"),
-        )
-    )
+        found = patterns.matched(text, patterns.CATALOGUE[kind])
+        return F.transform(found, lambda hit: F.struct(F.lit(BUCKETS[kind]), hit["pattern_no"]).cast(place))
 
-
-def keyword_rows(spans: DataFrame) -> DataFrame:
-    return spans.select(
-        F.lit(KEYWORD).alias("section"),
-        F.lit(None).cast("long").alias("pattern_no"),
-        "container_id",
-        F.col("hit_no").alias("ord"),
-        F.col("hit").alias("text"),
+    own = F.array(F.struct(section, F.lit(None).cast("long")).cast(place))
+    places = own
+    for kind in BUCKETS:
+        places = F.when(section == kind, F.concat(own, bucket(kind))).otherwise(places)
+    return (
+        entry_rows.filter(section != MARKER)
+        .select("container_id", "ord", "text", F.explode(places).alias("_at"))
+        .select("_at.section", "_at.pattern_no", "container_id", "ord", "text")
     )
 
 

@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from emberlog.catalogue import MAX_KEYWORD_CHARS
 from emberlog.functions.text import is_header, is_short_header
 from emberlog.operators import containers, keywords, patterns, records
 from emberlog.operators.ordering import ROWS_PER_CHUNK, cut_large_groups
@@ -57,8 +58,9 @@ class LogView:
     def spans(self, keyword: str) -> DataFrame:
         return keywords.spans(self.pieces(), keyword, chunk=self.is_cut, rows_per_chunk=self.rows_per_chunk)
 
-    def container_ids(self) -> DataFrame:
-        return self.lines.select("container_id").distinct()
+    def entries(self, keyword: str) -> DataFrame:
+        ids = self.lines.select("container_id").distinct()
+        return containers.entries(ids, self.segments(), self.spans(keyword))
 
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -229,14 +231,9 @@ def keyword_spans_docs(spark: SparkSession, sf_dir: str) -> DataFrame:
 # --- report ---------------------------------------------------------------------------------
 
 
-def _report_rows(view: LogView) -> DataFrame:
-    rows = report.level_and_bucket_rows(view.segments())
-    return rows.unionByName(report.keyword_rows(view.spans(SPAN_KEYWORDS[1])))
-
-
 @registered
 def report_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _report_rows(LogView(spark, sf_dir))
+    return report.rows(LogView(spark, sf_dir).entries(SPAN_KEYWORDS[1]))
 
 
 @registered
@@ -246,13 +243,6 @@ def report_json(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @registered
 def payload_guard(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Printed size of the keyword lists under the usual and a small limit, and of the level lists."""
-    view = LogView(spark, sf_dir)
-    ids = view.container_ids()
-    keyword_size = containers.printed_keyword_length(view.spans(SPAN_KEYWORDS[0]), ids)
-    result_size = containers.printed_result_length(containers.level_lists(view.segments()), ids)
-    return (
-        containers.guard(keyword_size, "Keyword")
-        .unionByName(containers.guard(keyword_size, "Keyword, small limit", SMALL_LIMIT))
-        .unionByName(containers.guard(result_size, "res"))
-    )
+    """Printed size of the level lists, and of the keyword lists under the usual and a small limit."""
+    sizes = containers.printed_sizes(LogView(spark, sf_dir).entries(SPAN_KEYWORDS[0]))
+    return containers.guard(sizes, {"Keyword": MAX_KEYWORD_CHARS, "Keyword, small limit": SMALL_LIMIT})
