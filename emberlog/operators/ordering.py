@@ -17,15 +17,18 @@ ROWS_PER_CHUNK = 5_000_000
 
 
 def cut_large_groups(
-    df: DataFrame, key: str, position: Column, rows_per_chunk: int = ROWS_PER_CHUNK
+    df: DataFrame, key: str, position: Column, rows_per_chunk: int = ROWS_PER_CHUNK, at_most: int | None = None
 ) -> tuple[DataFrame, bool]:
     """Add ``chunk`` if some key has more than ``rows_per_chunk`` rows; say whether it was added.
 
     ``position`` is a whole number that does not decrease along the order of the rows. A large key
     is cut into equal ranges of it, and a range that is still too large is cut again, so bursts
     are followed. ``chunk`` is the array of range numbers, which sorts like the rows. Every check
-    is one pre-aggregated pass over key and position.
+    is one pre-aggregated pass over key and position; none is made if the table is known to have
+    ``at_most`` so many rows that no key can be large.
     """
+    if at_most is not None and at_most <= rows_per_chunk:
+        return df, False
     cut, was_cut = df.withColumn("chunk", F.expr("cast(array() as array<bigint>)")), False
     while True:
         large = (

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -13,7 +14,8 @@ from emberlog.catalogue import CATALOGUE
 def catalogue(spark: SparkSession, phrases: Mapping[str, Sequence[str]] = CATALOGUE) -> DataFrame:
     """The phrases as a table ``(kind, pattern_no, pattern)``, numbered from 0 within a kind."""
     rows = [(kind, no, text) for kind, texts in phrases.items() for no, text in enumerate(texts)]
-    return spark.createDataFrame(rows, "kind string, pattern_no bigint, pattern string")
+    columns = dict(zip(("kind", "pattern_no", "pattern"), zip(*rows)))
+    return spark.createDataFrame(pa.table(columns))
 
 
 def matched(record: Column, phrases: Sequence[str]) -> Column:

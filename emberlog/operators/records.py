@@ -33,11 +33,9 @@ def split_records(value: Column) -> Column:
 
 def pieces_from_text(files: DataFrame) -> DataFrame:
     """``(container_id, value)`` with one whole file per row to pieces, without a shuffle."""
-    cut = files.select(
-        "container_id",
-        is_header(F.col("value")).cast("long").alias("_opens"),
-        F.posexplode(split_records(F.col("value"))).alias("_pos", "raw"),
-    )
+    # The flag is taken before the cut: beside it, it would be taken again for every record.
+    opened = files.select("container_id", "value", is_header(F.col("value")).cast("long").alias("_opens"))
+    cut = opened.select("container_id", "_opens", F.posexplode(split_records(F.col("value"))).alias("_pos", "raw"))
     rec_no = F.col("_pos") + F.col("_opens")
     return cut.select(
         "container_id",
@@ -47,6 +45,12 @@ def pieces_from_text(files: DataFrame) -> DataFrame:
     )
 
 
+def _joined_in_order(order: str, text: str, separator: str) -> Column:
+    """Texts of one record in order. The group is no larger than the value that comes out."""
+    parts = F.array_sort(F.collect_list(F.struct(order, text)))
+    return F.array_join(F.transform(parts, lambda part: part[text]), separator)
+
+
 def number_lines(lines: DataFrame, order: Sequence[str], chunk: str | None = None) -> DataFrame:
     """Add ``line_no`` from 1 and ``rec_no`` (0 before the first header)."""
     return running_counts(
@@ -69,7 +73,7 @@ def pieces_from_lines(lines: DataFrame, order: Sequence[str], chunk: str | None
         .groupBy("container_id", "rec_no")
         .agg(
             F.max(F.when(is_header(F.col("line")), header_level(F.col("line")))).alias("level"),
-            F.expr(r"listagg(line, '\n') within group (order by line_no)").alias("raw"),
+            _joined_in_order("line_no", "line", "\n").alias("raw"),
         )
     )
 
@@ -200,7 +204,7 @@ def merge_gaps(recs: DataFrame, chunk: bool = False, rows_per_chunk: int = ROWS_
         .groupBy("container_id", "seg")
         .agg(
             F.max("level").alias("level"),
-            F.expr("listagg(record, '') within group (order by rec_no)").alias("record"),
+            _joined_in_order("rec_no", "record", "").alias("record"),
         )
     )
 

@@ -36,11 +36,18 @@ class LogView:
     ):
         # One zone for both the text of a header and the position of a line.
         spark.conf.set("spark.sql.session.timeZone", "UTC")
-        lines = event_lines(table(spark, sf_dir, "events"), damaged)
+        events = table(spark, sf_dir, "events")
+        lines = event_lines(events, damaged)
         if drop_short:
             lines = records.drop_short_header_lines(lines)
         self.rows_per_chunk = rows_per_chunk
-        self.lines, self.is_cut = cut_large_groups(lines, "container_id", line_position(), rows_per_chunk)
+        self.lines, self.is_cut = cut_large_groups(
+            lines,
+            "container_id",
+            line_position(),
+            rows_per_chunk,
+            at_most=events.count(),  # answered from the footers of the files
+        )
         self.chunk = "chunk" if self.is_cut else None
 
     def numbered(self) -> DataFrame:

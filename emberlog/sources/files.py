@@ -67,7 +67,9 @@ def _container_id() -> Column:
 def _has_short_header(value: Column) -> Column:
     """The test of ``is_short_header`` on any line of a whole text, in one scan."""
     token, gap = f"[^{WHITESPACE}]++", f"[{WHITESPACE}&&[^\\n]]++"
-    return value.rlike(rf"(?:^|\n)(?={HEADER}){token}(?:{gap}{token})?(?:{gap})?(?:\n|\z)")
+    # A line feed in front lets every header be found by the same plain start of the pattern.
+    lines = F.concat(F.lit("\n"), value)
+    return lines.rlike(rf"\n(?={HEADER}){token}(?:{gap}{token})?(?:{gap})?(?:\n|\z)")
 
 
 @dataclass(frozen=True)
@@ -98,28 +100,39 @@ class LogFiles:
         limit = F.when(compressed, self.max_compressed_bytes).otherwise(self.max_plain_bytes)
         return F.col("_metadata.file_size") > limit
 
+    # Folders are listed once per kind of reader and object.
+
+    @cached_property
+    def _listing(self) -> DataFrame:
+        return self._reader().format("binaryFile").load(normalised_path(self.path))
+
+    @cached_property
+    def _whole_texts(self) -> DataFrame:
+        reader = self._reader().option("ignoreCorruptFiles", "true").option("ignoreMissingFiles", "true")
+        return reader.text(normalised_path(self.path), wholetext=True)
+
+    @cached_property
+    def _lines(self) -> DataFrame:
+        return self._reader().option("lineSep", "\n").text(normalised_path(self.path))
+
+    @cached_property
+    def _words(self) -> DataFrame:
+        return self._reader().option("lineSep", " ").text(normalised_path(self.path))
+
     def listed(self) -> DataFrame:
         """``(container_id, n_bytes)`` of every file, without reading any."""
-        files = self._reader().format("binaryFile").load(normalised_path(self.path))
-        return files.select(_container_id().alias("container_id"), F.col("length").alias("n_bytes"))
+        return self._listing.select(_container_id().alias("container_id"), F.col("length").alias("n_bytes"))
 
     @cached_property
     def has_large(self) -> bool:
-        files = self._reader().format("binaryFile").load(normalised_path(self.path))
-        return not files.filter(self._is_large()).select("length").isEmpty()
+        return not self._listing.filter(self._is_large()).select("length").isEmpty()
 
     # --- whole texts ------------------------------------------------------------------------
 
     def _decompressed(self) -> DataFrame:
         """``(container_id, value)`` of readable files up to the limit. Bytes may be invalid."""
-        return (
-            self._reader()
-            .option("ignoreCorruptFiles", "true")
-            .option("ignoreMissingFiles", "true")
-            .text(normalised_path(self.path), wholetext=True)
-            .filter(~self._is_large())
-            .select(_container_id().alias("container_id"), "value")
-        )
+        small = self._whole_texts.filter(~self._is_large())
+        return small.select(_container_id().alias("container_id"), "value")
 
     def texts(self, full: bool = True) -> DataFrame:
         valid = self._decompressed().filter(F.is_valid_utf8("value"))
@@ -143,22 +156,16 @@ class LogFiles:
 
     # --- lines of large files ---------------------------------------------------------------
 
-    def _split_at(self, separator: str) -> DataFrame:
-        """Text of large files cut at a separator, with an order inside each file.
+    def _large(self, cut: DataFrame) -> DataFrame:
+        """Cut text of large files, with an order inside each file.
 
         Tasks get files or blocks of files, and number their rows in reading order.
         """
-        return (
-            self._reader()
-            .option("lineSep", separator)
-            .text(normalised_path(self.path))
-            .filter(self._is_large())
-            .select(
-                _container_id().alias("container_id"),
-                F.col("_metadata.file_block_start").alias("block"),
-                F.monotonically_increasing_id().alias("row"),
-                F.col("value").alias("line"),
-            )
+        return cut.filter(self._is_large()).select(
+            _container_id().alias("container_id"),
+            F.col("_metadata.file_block_start").alias("block"),
+            F.monotonically_increasing_id().alias("row"),
+            F.col("value").alias("line"),
         )
 
     @cached_property
@@ -172,12 +179,12 @@ class LogFiles:
         """
         size = F.sum(F.octet_length("line") + 1)
         line = F.col("line")
-        by_line = self._split_at("\n").groupBy("container_id").agg(
+        by_line = self._large(self._lines).groupBy("container_id").agg(
             size.alias("by_line"),
             F.bool_and(F.is_valid_utf8("line")).alias("valid"),
             F.bool_or(is_short_header(line)).alias("short"),
         )
-        by_blank = self._split_at(" ").groupBy("container_id").agg(size.alias("by_blank"))
+        by_blank = self._large(self._words).groupBy("container_id").agg(size.alias("by_blank"))
         facts = by_line.join(by_blank, "container_id").select(
             "container_id", "valid", "short", (F.col("by_line") < F.col("by_blank")).alias("ends_line")
         )
@@ -193,7 +200,7 @@ class LogFiles:
             F.lit(0).cast("long").alias("row"),
             F.lit("").alias("line"),
         )
-        lines = self._split_at("\n").unionByName(last)
+        lines = self._large(self._lines).unionByName(last)
         part = F.floor(F.col("row") / self.rows_per_chunk).cast("long")
         return lines.join(left_out, "container_id", "left_anti").select(
             "container_id", "block", "row", F.array("block", part).alias("chunk"), "line"
