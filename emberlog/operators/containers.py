@@ -60,15 +60,17 @@ MARKER = "container"
 
 
 def entries_from_text(files: DataFrame, keywords: list[str], levels: bool = True) -> DataFrame:
-    """Entries of whole files in one narrow pass."""
+    """Entries of whole files in one narrow pass; with levels, none of files with a short header."""
     entry = "array<struct<section:string,ord:bigint,text:string>>"
+    marker = F.array(F.struct(F.lit(MARKER), F.lit(0), F.lit(None).cast("string"))).cast(entry)
 
     def numbered(parts: Column, section, text) -> Column:
         return F.transform(parts, lambda part, i: F.struct(section(part), (i + 1).cast("long"), text(part))).cast(entry)
 
     def of_pieces(pieces: Column) -> Column:
-        found = [F.array(F.struct(F.lit(MARKER), F.lit(0), F.lit(None).cast("string"))).cast(entry)]
+        found = [marker]
         if levels:
+            # Null for a file with a short header, which makes the whole array null.
             found.append(numbered(segments_of(pieces), lambda seg: seg["level"], lambda seg: seg["record"]))
         if keywords:
             hits = F.filter(pieces, lambda raw: any_keyword(raw, keywords))

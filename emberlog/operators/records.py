@@ -120,7 +120,10 @@ def kept(recs: DataFrame) -> DataFrame:
 
 
 def segments_from_text(files: DataFrame) -> DataFrame:
-    """Whole files to ``(container_id, seg, level, record)``, each file inside its own row."""
+    """Whole files to ``(container_id, seg, level, record)``, each file inside its own row.
+
+    Files with a short header give no rows.
+    """
     found = let(split_records(F.col("value")), segments_of)
     return files.select("container_id", F.posexplode(found).alias("_pos", "_seg")).select(
         "container_id",
@@ -131,12 +134,18 @@ def segments_from_text(files: DataFrame) -> DataFrame:
 
 
 def segments_of(pieces: Column) -> Column:
-    """Pieces of one file to the array of its merged ``(level, record)``, in linear time."""
+    """Pieces of one file to the array of its merged ``(level, record)``, in linear time.
+
+    Null if one of its headers has fewer than three tokens.
+    """
     first = F.when(is_header(F.get(pieces, F.lit(0))), F.lit(1)).otherwise(F.lit(2))
     headed = F.slice(pieces, first, F.greatest(F.size(pieces) - first + 1, F.lit(0)))
 
     def with_records(recs: Column) -> Column:
-        return let(F.transform(recs, header_level), lambda levels: with_levels(recs, levels))
+        return let(F.transform(recs, header_level), lambda levels: checked(recs, levels))
+
+    def checked(recs: Column, levels: Column) -> Column:
+        return F.when(~F.array_contains(levels, ""), with_levels(recs, levels))
 
     def with_levels(recs: Column, levels: Column) -> Column:
         positions = F.filter(

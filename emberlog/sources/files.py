@@ -139,7 +139,7 @@ class LogFiles:
         return valid.filter(~_has_short_header(F.col("value"))) if full else valid
 
     def stream_of_texts(self) -> DataFrame:
-        """The same texts as a stream of new files. A file over the limit stops the stream."""
+        """Valid texts as a stream of new files. A file over the limit stops the stream."""
         too_large = F.raise_error(F.concat(F.lit("too large for a stream of whole texts: "), _container_id()))
         files = (
             self.spark.readStream.option("recursiveFileLookup", "true")
@@ -152,7 +152,7 @@ class LogFiles:
                 F.when(self._is_large(), too_large).otherwise(F.col("value")).alias("value"),
             )
         )
-        return files.filter(F.is_valid_utf8("value") & ~_has_short_header(F.col("value")))
+        return files.filter(F.is_valid_utf8("value"))
 
     # --- lines of large files ---------------------------------------------------------------
 
@@ -210,7 +210,8 @@ class LogFiles:
 
     def entries(self, wanted: list[str], levels: bool = True, full: bool = True) -> DataFrame:
         """All results of all files, see ``operators.containers``; small files in one narrow pass."""
-        small = containers.entries_from_text(self.texts(full), wanted, levels)
+        # With levels, short headers are seen in the same pass.
+        small = containers.entries_from_text(self.texts(full and not levels), wanted, levels)
         if not self.has_large:
             return small
         pieces = self._large_pieces(full)
@@ -225,7 +226,7 @@ class LogFiles:
 
     def segments(self) -> DataFrame:
         """Merged records ``(container_id, seg, level, record)``."""
-        small = records.segments_from_text(self.texts())
+        small = records.segments_from_text(self.texts(full=False))
         return small.unionByName(self._large_segments(self._large_pieces(True))) if self.has_large else small
 
     def spans(self, keyword: str | list[str], match: str = "first", full: bool = True) -> DataFrame:
