@@ -19,11 +19,12 @@ ROOT_CAUSE = "Caused by:"
 # Above this many characters the keyword payload is withheld and the flag is set.
 MAX_KEYWORD_CHARS = 135_000_000
 
-# Characters that separate tokens in a header line.
+# Characters that separate tokens in a header line; the second class is the part below 128.
 WHITESPACE = (
     r"\t\n\x0B\f\r\x1C-\x1F \x{85}\xA0\x{1680}\x{2000}-\x{200A}"
     r"\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}"
 )
+ASCII_WHITESPACE = r"\s\x1C-\x1F"
 
 # --- fixed values: phrases looked for in ERROR records ------------------------------------
 ERROR_PHRASES = (

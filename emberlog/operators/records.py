@@ -36,13 +36,7 @@ def pieces_from_text(files: DataFrame) -> DataFrame:
     # The flag is taken before the cut: beside it, it would be taken again for every record.
     opened = files.select("container_id", "value", is_header(F.col("value")).cast("long").alias("_opens"))
     cut = opened.select("container_id", "_opens", F.posexplode(split_records(F.col("value"))).alias("_pos", "raw"))
-    rec_no = F.col("_pos") + F.col("_opens")
-    return cut.select(
-        "container_id",
-        rec_no.alias("rec_no"),
-        F.when(rec_no > 0, header_level(F.col("raw"))).alias("level"),
-        "raw",
-    )
+    return _with_level(cut.select("container_id", (F.col("_pos") + F.col("_opens")).alias("rec_no"), "raw"))
 
 
 def _joined_in_order(order: str, text: str, separator: str) -> Column:
@@ -68,14 +62,14 @@ def pieces_from_lines(lines: DataFrame, order: Sequence[str], chunk: str | None
 
     Without chunks one shuffle by container serves the numbering and the grouping.
     """
-    return (
-        number_lines(lines, order, chunk)
-        .groupBy("container_id", "rec_no")
-        .agg(
-            F.max(F.when(is_header(F.col("line")), header_level(F.col("line")))).alias("level"),
-            _joined_in_order("line_no", "line", "\n").alias("raw"),
-        )
-    )
+    raw = _joined_in_order("line_no", "line", "\n")
+    grouped = number_lines(lines, order, chunk).groupBy("container_id", "rec_no").agg(raw.alias("raw"))
+    return _with_level(grouped)
+
+
+def _with_level(pieces: DataFrame) -> DataFrame:
+    level = F.when(F.col("rec_no") > 0, header_level(F.col("raw")))
+    return pieces.select("container_id", "rec_no", level.alias("level"), "raw")
 
 
 def drop_short_header_lines(lines: DataFrame) -> DataFrame:

@@ -17,7 +17,7 @@ from functools import cached_property
 from pyspark.sql import Column, DataFrame, DataFrameReader, SparkSession
 from pyspark.sql import functions as F
 
-from emberlog.catalogue import HEADER, WHITESPACE
+from emberlog.catalogue import ASCII_WHITESPACE, HEADER, WHITESPACE
 from emberlog.functions.text import is_short_header, parse_keywords
 from emberlog.operators import containers, keywords, records
 from emberlog.operators.ordering import ROWS_PER_CHUNK
@@ -66,10 +66,15 @@ def _container_id() -> Column:
 
 def _has_short_header(value: Column) -> Column:
     """The test of ``is_short_header`` on any line of a whole text, in one scan."""
-    token, gap = f"[^{WHITESPACE}]++", f"[{WHITESPACE}&&[^\\n]]++"
     # A line feed in front lets every header be found by the same plain start of the pattern.
     lines = F.concat(F.lit("\n"), value)
-    return lines.rlike(rf"\n(?={HEADER}){token}(?:{gap}{token})?(?:{gap})?(?:\n|\z)")
+
+    def found(blank: str) -> Column:
+        token, gap = f"[^{blank}]++", f"[{blank}&&[^\\n]]++"
+        return lines.rlike(rf"\n(?={HEADER}){token}(?:{gap}{token})?(?:{gap})?(?:\n|\z)")
+
+    is_ascii = F.octet_length(value) == F.length(value)
+    return F.when(is_ascii, found(ASCII_WHITESPACE)).otherwise(found(WHITESPACE))
 
 
 @dataclass(frozen=True)
