@@ -177,7 +177,7 @@ def pattern_summary_merged(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @registered
 def container_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return containers.summary(LogView(spark, sf_dir).records()).orderBy("container_id")
+    return containers.in_path_order(containers.summary(LogView(spark, sf_dir).records()))
 
 
 @registered

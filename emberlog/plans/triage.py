@@ -59,7 +59,7 @@ class Triage:
         found = self._entries([], levels=True).select(
             "container_id", F.col("section").alias("level"), F.col("text").alias("record")
         )
-        return containers.summary(found).orderBy("container_id")
+        return containers.in_path_order(containers.summary(found))
 
     def quarantine(self) -> DataFrame:
         """Files left out of this report, with the reason."""
