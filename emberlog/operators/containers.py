@@ -185,15 +185,6 @@ def guarded(entry_rows: DataFrame, spans: DataFrame, max_chars: int = MAX_KEYWOR
     return entry_rows.filter((F.col("section") != KEYWORD) | (size <= F.lit(max_chars)))
 
 
-def in_path_order(per_container: DataFrame) -> DataFrame:
-    """Rows in the order of their containers.
-
-    A global sort first samples its input. The shuffle in front keeps that from running the work
-    behind the rows twice; it moves one short row per container.
-    """
-    return per_container.repartition("container_id").orderBy("container_id")
-
-
 def sorted_listing(df: DataFrame, key: str) -> DataFrame:
     """All rows of a keyed table in the order of the key.
 
