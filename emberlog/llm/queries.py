@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from emberlog.llm import near_dedup
+from emberlog.llm import mixing, near_dedup, warc
 from emberlog.llm.common import table
 
 
@@ -14,7 +14,31 @@ def op2_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dedup.near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op3_warc_chunk_table(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.round_trip(table(spark, sf_dir, "pages"))
+
+
+def op5_entropy_balanced_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mix(table(spark, sf_dir, "documents")).drop("digest")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_simhash_near_dedup": op2_simhash_near_dedup,
+    "op3_warc_chunk_table": op3_warc_chunk_table,
+    "op5_entropy_balanced_mix": op5_entropy_balanced_mix,
+}
+ORACLE: dict[str, str] = {
+    "op3_warc_chunk_table": """
+        with p as (select page_id, coalesce(html, '') as body from pages),
+        d as (select page_id, octet_length(encode(body)) as n, sha1(body) as h from p),
+        f as (select h, n, min(page_id) as first from d group by all),
+        b as (
+          select d.page_id, d.n, f.first,
+            list_aggregate(list_transform(range(32), lambda i: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', cast(
+              (cast('0x' || substr(d.h, 1 + 5 * (i // 4), 5) as bigint) >> cast(15 - 5 * (i % 4) as bigint)) & 31 as bigint) + 1, 1)), 'string_agg', '') as digest
+          from d join f using (h, n))
+        select page_id, cast(n as bigint) as payload_bytes, digest as payload_digest,
+          case when page_id = first then 'response' else 'revisit' end as record_type,
+          case when page_id <> first then first end as refers_to
+        from b""",
 }
-ORACLE: dict[str, str] = {}
