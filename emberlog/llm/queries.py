@@ -6,10 +6,14 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from emberlog.llm import mixing, near_dedup, warc
+from emberlog.llm import credentials, fingerprints, langid, mixing, near_dedup, warc
 from emberlog.llm.common import table
 
 
+def op1_credential_links(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return credentials.scan(table(spark, sf_dir, "documents"))
+
+
 def op2_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dedup.near_duplicates(table(spark, sf_dir, "documents"))
 
@@ -22,10 +26,21 @@ def op5_entropy_balanced_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(table(spark, sf_dir, "documents")).drop("digest")
 
 
+def op9_nearest_centroid_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return langid.identify(table(spark, sf_dir, "documents"))
+
+
+def op10_simhash_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fingerprints.fingerprinted(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_credential_links": op1_credential_links,
     "op2_simhash_near_dedup": op2_simhash_near_dedup,
     "op3_warc_chunk_table": op3_warc_chunk_table,
     "op5_entropy_balanced_mix": op5_entropy_balanced_mix,
+    "op9_nearest_centroid_language": op9_nearest_centroid_language,
+    "op10_simhash_fingerprints": op10_simhash_fingerprints,
 }
 ORACLE: dict[str, str] = {
     "op3_warc_chunk_table": """
