@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from emberlog.llm import credentials, fingerprints, langid, mixing, near_dedup, warc
+from emberlog.llm import credentials, decontaminate, fingerprints, langid, mixing, near_dedup, toxicity, warc
 from emberlog.llm.common import table
 
 
@@ -22,10 +22,18 @@ def op3_warc_chunk_table(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.round_trip(table(spark, sf_dir, "pages"))
 
 
+def op4_classifier_chain_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.score(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op5_entropy_balanced_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(table(spark, sf_dir, "documents")).drop("digest")
 
 
+def op8_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op9_nearest_centroid_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.identify(table(spark, sf_dir, "documents"))
 
@@ -38,7 +46,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_credential_links": op1_credential_links,
     "op2_simhash_near_dedup": op2_simhash_near_dedup,
     "op3_warc_chunk_table": op3_warc_chunk_table,
+    "op4_classifier_chain_toxicity": op4_classifier_chain_toxicity,
     "op5_entropy_balanced_mix": op5_entropy_balanced_mix,
+    "op8_benchmark_decontamination": op8_benchmark_decontamination,
     "op9_nearest_centroid_language": op9_nearest_centroid_language,
     "op10_simhash_fingerprints": op10_simhash_fingerprints,
 }
