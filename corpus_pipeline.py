@@ -10,17 +10,41 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
-from emberlog.llm import near_dedup
+from emberlog.llm import decontaminate, langid, line_dedup, mixing, near_dedup
 from emberlog.llm.common import shared_dir, table
 
 
+def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents in a language that the labelled ones teach; what is in none of them goes."""
+    return langid.keep_known(docs)
+
+
+def line_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents without recurring lines; a document that had nothing else goes."""
+    return line_dedup.keep_rest(docs)
+
+
 def near_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near copies, by the shingle length and bit distance of the operator."""
     return near_dedup.keep_one(docs)
 
 
+def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents without a passage of the benchmark."""
+    return decontaminate.keep_clean(docs, table(spark, sf_dir, "benchmark"))
+
+
+def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the mix takes, with the number of copies in ``mix_copies``."""
+    return mixing.apply(docs)
+
+
 STAGES = [
+    ("language_id", language_id),
+    ("line_dedup", line_dedup_stage),
     ("simhash_near_dedup", near_dedup_stage),
+    ("benchmark_decontamination", decontamination),
+    ("source_mixing", mixing_stage),
 ]
 #: Fingerprints, trained models and alignments have no SQL form.
 ORACLE_SQL = None

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from emberlog.llm import credentials, decontaminate, fingerprints, langid, mixing, near_dedup, toxicity, warc
+from emberlog.llm import credentials, decontaminate, fingerprints, langid, line_dedup, mixing, near_dedup, toxicity, warc
 from emberlog.llm.common import table
 
 
@@ -30,6 +30,10 @@ def op5_entropy_balanced_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(table(spark, sf_dir, "documents")).drop("digest")
 
 
+def op6_log_template_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return line_dedup.drop_recurring(table(spark, sf_dir, "documents"))
+
+
 def op8_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
@@ -48,11 +52,13 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_warc_chunk_table": op3_warc_chunk_table,
     "op4_classifier_chain_toxicity": op4_classifier_chain_toxicity,
     "op5_entropy_balanced_mix": op5_entropy_balanced_mix,
+    "op6_log_template_line_dedup": op6_log_template_line_dedup,
     "op8_benchmark_decontamination": op8_benchmark_decontamination,
     "op9_nearest_centroid_language": op9_nearest_centroid_language,
     "op10_simhash_fingerprints": op10_simhash_fingerprints,
 }
 ORACLE: dict[str, str] = {
+    "op6_log_template_line_dedup": line_dedup.SQL,
     "op3_warc_chunk_table": """
         with p as (select page_id, coalesce(html, '') as body from pages),
         d as (select page_id, octet_length(encode(body)) as n, sha1(body) as h from p),
