@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from emberlog.llm import credentials, decontaminate, fingerprints, langid, line_dedup, mixing, near_dedup, toxicity, warc
+from emberlog.llm import credentials, decontaminate, fingerprints, langid, licenses, line_dedup, mixing, near_dedup, toxicity, warc
 from emberlog.llm.common import table
 
 
@@ -34,6 +34,10 @@ def op6_log_template_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_dedup.drop_recurring(table(spark, sf_dir, "documents"))
 
 
+def op7_positional_license_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.scan(table(spark, sf_dir, "documents"))
+
+
 def op8_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
@@ -53,11 +57,13 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_classifier_chain_toxicity": op4_classifier_chain_toxicity,
     "op5_entropy_balanced_mix": op5_entropy_balanced_mix,
     "op6_log_template_line_dedup": op6_log_template_line_dedup,
+    "op7_positional_license_index": op7_positional_license_index,
     "op8_benchmark_decontamination": op8_benchmark_decontamination,
     "op9_nearest_centroid_language": op9_nearest_centroid_language,
     "op10_simhash_fingerprints": op10_simhash_fingerprints,
 }
 ORACLE: dict[str, str] = {
+    "op7_positional_license_index": licenses.SQL,
     "op6_log_template_line_dedup": line_dedup.SQL,
     "op3_warc_chunk_table": """
         with p as (select page_id, coalesce(html, '') as body from pages),
