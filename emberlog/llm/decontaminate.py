@@ -153,6 +153,8 @@ def matches(column: pa.Array, items: Items, threshold: float = THRESHOLD, known:
         text, where, number = items.hits(part)
         seed = items.seed[number]
         text, where, number = text[seed], where[seed], number[seed]
+        if not len(text):
+            continue
         often = items.at[number + 1] - items.at[number]
         index = np.repeat(items.at[number] - np.r_[0, np.cumsum(often)[:-1]], often) + np.arange(int(often.sum()))
         text, where = np.repeat(text, often), np.repeat(where, often)
