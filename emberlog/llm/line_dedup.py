@@ -27,18 +27,20 @@ from emberlog.llm.common import cut, if_small
 
 LEADING, MIN_DOCS, CONSTANT = 3, 3, 0.6
 FIELD = "<*>"
+#: Lines, or places of lines, of which a list is broadcast at most (some 50 MB); beyond, the texts are shuffled.
+LISTED = 1_000_000
 #: A token with a digit, from its first character on.
 VARIABLE = r"(?<![^ \t\r])[^ \t\r0-9]*+[0-9][^ \t\r]*+"
 
 
 def tokens(line: Column) -> Column:
-    """Tokens between blanks, tabs and carriage returns, variable fields masked."""
+    """Tokens between blanks, tabs and carriage returns, variable fields masked. ``line`` has none of these at its ends."""
     masked = F.when(F.regexp_like(line, F.lit("[0-9]")), F.regexp_replace(line, VARIABLE, FIELD)).otherwise(line)
-    return F.filter(F.split(masked, "[ \t\r]+"), lambda t: t != "")
+    return F.split(masked, "[ \t\r]+")
 
 
 def lines(docs: DataFrame) -> DataFrame:
-    """``id``, ``digest`` of the text, ``no`` (from 0), ``words``, ``leaf`` and ``line`` (hashes) of each line that isn't blank."""
+    """``id``, ``digest`` of the text, ``no`` (from 0), ``raw``, ``leaf`` and ``line`` (hashes) of each line that isn't blank."""
     rows = docs.select(
         F.col("doc_id").alias("id"),
         F.xxhash64(F.col("text").cast("string")).alias("digest"),
@@ -46,9 +48,10 @@ def lines(docs: DataFrame) -> DataFrame:
     )
     words = F.col("words")
     return (
-        rows.withColumn("words", tokens(F.col("raw")))
-        .where(F.size("words") > 0)
-        .select("id", "digest", "no", "words", F.xxhash64(F.size(words), F.slice(words, 1, LEADING)).alias("leaf"), F.xxhash64(words).alias("line"))
+        rows.withColumn("raw", F.btrim("raw", F.lit(" \t\r")))
+        .where("raw <> ''")
+        .withColumn("words", tokens(F.col("raw")))
+        .select("id", "digest", "no", "raw", F.xxhash64(F.size(words), F.slice(words, 1, LEADING)).alias("leaf"), F.xxhash64(words).alias("line"))
     )
 
 
@@ -63,8 +66,8 @@ def recurring(docs: DataFrame, min_docs: int = MIN_DOCS, constant: float = CONST
     common = places.select("leaf", "digest").distinct().groupBy("leaf").count().where(F.col("count") >= min_docs).select("leaf")
     held = cut(held.join(if_small(cut(common)), "leaf", "left_semi"))
     kinds = cut(held.groupBy("leaf", "line").agg(F.count("*").alias("docs")))
-    told = lines(docs).select("leaf", "line", "words").join(if_small(kinds), ["leaf", "line"]).groupBy("leaf", "line").agg(F.any_value("words").alias("words"), F.any_value("docs").alias("docs"))
-    each = told.select("leaf", "line", "docs", F.size("words").alias("n"), F.posexplode("words").alias("at", "word"))
+    told = lines(docs).select("leaf", "line", "raw").join(if_small(kinds, LISTED), ["leaf", "line"]).groupBy("leaf", "line").agg(F.any_value("raw").alias("raw"), F.any_value("docs").alias("docs"))
+    each = told.withColumn("words", tokens(F.col("raw"))).select("leaf", "line", "docs", F.size("words").alias("n"), F.posexplode("words").alias("at", "word"))
     each = cut(each.select("leaf", "line", "docs", "n", F.xxhash64("at", "word").alias("token"), (F.col("word") == FIELD).alias("field")))
     fixed = cut(each.where("not field").groupBy("leaf", "token").agg(F.sum("docs").alias("often")).where(F.col("often") >= min_docs).select("leaf", "token"))
     template = (
@@ -84,6 +87,10 @@ def recurring(docs: DataFrame, min_docs: int = MIN_DOCS, constant: float = CONST
     return places, cut(template.join(if_small(cut(often)), "template").select("leaf", "line", "first", "docs"))
 
 
+def places_in(lost: DataFrame) -> int:
+    return lost.agg(F.coalesce(F.sum(F.size("_lost") + 1), F.lit(0)).alias("n")).first()["n"]
+
+
 def cleaned(docs: DataFrame, min_docs: int = MIN_DOCS, constant: float = CONSTANT) -> DataFrame:
     """Each row of ``docs`` as ``row``, with ``text`` after the lines are dropped, ``n_lines`` and ``n_dropped``."""
     places, found = recurring(docs, min_docs, constant)
@@ -93,13 +100,16 @@ def cleaned(docs: DataFrame, min_docs: int = MIN_DOCS, constant: float = CONSTAN
         .groupBy(F.coalesce(F.col("id").cast("string"), F.lit("")).alias("_key"), F.col("digest").alias("_digest"))
         .agg(F.collect_set("no").alias("_lost"))
     )
+    lost = cut(lost)
+    if places_in(lost) <= LISTED:
+        lost = F.broadcast(lost)
     text = F.col("text").cast("string")
     rows = docs.select(
         F.coalesce(F.col("doc_id").cast("string"), F.lit("")).alias("_key"),
         F.xxhash64(text).alias("_digest"),
         text.alias("_text"),
         F.struct(*[F.col(f"`{n}`") for n in docs.columns]).alias("row"),
-    ).join(if_small(cut(lost)), ["_key", "_digest"], "left")
+    ).join(lost, ["_key", "_digest"], "left")
     split = F.split(F.col("_text"), "\n", -1)
     kept = F.array_except(F.sequence(F.lit(0), F.size(split) - 1), F.col("_lost"))
     left = F.array_join(F.transform(kept, lambda i: F.get(split, i)), "\n")
