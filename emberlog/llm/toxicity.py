@@ -38,27 +38,30 @@ HEADS = (4, 5)
 LEAST = 5
 FORMS = 7
 
-UPPER, MARK, DIGIT = np.zeros(256, np.int64), np.zeros(256, np.int64), np.zeros(256, np.int64)
-UPPER[65:91] = DIGIT[48:58] = 1
-MARK[[*range(33, 48), *range(58, 65), *range(91, 97), *range(123, 127)]] = 1
+#: Kinds of bytes: capitals 1, marks 2, digits 3, others 0.
+KIND = np.zeros(256, np.uint8)
+KIND[65:91] = 1
+KIND[[*range(33, 48), *range(58, 65), *range(91, 97), *range(123, 127)]] = 2
+KIND[48:58] = 3
+
+
+def byte_kinds(data: np.ndarray, at_once: int = 1 << 20) -> np.ndarray:
+    return sum((np.bincount(KIND[data[i : i + at_once]], minlength=4) for i in range(0, len(data), at_once)), np.zeros(4, np.int64))
 
 
 def features(column: pa.Array) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     """Sorted distinct hashes of the words and beginnings, and the measures of form, of each text."""
     data, starts = buffers(column)
-    shares = []
-    for kind in (UPPER, MARK, DIGIT):
-        sums = np.r_[0, np.cumsum(kind[data])]
-        shares.append((sums[starts[1:]] - sums[starts[:-1]]) / np.maximum(1, np.diff(starts)))
     salts = [np.uint64(0x1F83D9ABFB41BD6B * (i + 1) & (1 << 64) - 1) for i in range(len(HEADS))]
     for part in words(column, HEADS):
         heads = [mixed(h ^ s) for h, s in zip(part.heads, salts, strict=True)]
         for row, at in part.texts():
             own, often = np.unique(part.hashes[at], return_counts=True)
             n = at.stop - at.start
+            kinds = byte_kinds(data[starts[row] : starts[row + 1]])
             form = [
                 np.log1p(n) / 10,
-                *(s[row] for s in shares),
+                *(kinds[1:] / max(1, kinds.sum())),
                 len(own) / n if n else 0.0,
                 often.max() / n if n else 0.0,
                 (part.hashes[at][1:] == part.hashes[at][:-1]).mean() if n > 1 else 0.0,
@@ -68,7 +71,7 @@ def features(column: pa.Array) -> Iterator[tuple[np.ndarray, np.ndarray]]:
 
 @dataclass
 class Linear:
-    """Logistic regression over ``hashes`` (sorted, presence) and dense values."""
+    """Logistic regression over ``hashes`` (sorted, presence) and dense values. While it is fitted, they are numbers of hashes."""
 
     hashes: np.ndarray
     weights: np.ndarray
@@ -93,21 +96,33 @@ class Linear:
         return 1 / (1 + np.exp(-np.clip(self.matrix(present, dense) @ self.weights, -30, 30)))
 
 
+def frequent(present: list[np.ndarray]) -> tuple[np.ndarray, list[np.ndarray]]:
+    """The hashes that ``LEAST`` documents have, and for each document the numbers of those it has, ascending."""
+    every = np.concatenate([*present, np.zeros(0, np.uint64)])
+    every.sort()
+    begin = np.flatnonzero(np.r_[True, every[1:] != every[:-1]][: len(every)])
+    known = every[begin[np.diff(np.r_[begin, len(every)]) >= LEAST]]
+    if not len(known):
+        return known, [np.zeros(0, np.int32) for _ in present]
+    numbers = []
+    for own in present:
+        at = np.minimum(np.searchsorted(known, own), len(known) - 1)
+        numbers.append(at[known[at] == own].astype(np.int32))
+    return known, numbers
+
+
 def telling(present: list[np.ndarray], y: np.ndarray, number: int = FEATURES) -> np.ndarray:
-    """The hashes whose share differs most between the values of ``y``, by the log odds ratio over its error."""
-    if not present:
-        return np.zeros(0, np.uint64)
-    every, index = np.unique(np.concatenate(present), return_inverse=True)
-    sizes = [len(p) for p in present]
-    both = np.bincount(index, minlength=len(every))
-    yes = np.bincount(index, np.repeat(y, sizes), len(every))
+    """The numbers whose share differs most between the values of ``y``, by the log odds ratio over its error."""
+    every = np.concatenate([*present, np.zeros(0, np.int32)])
+    both = np.bincount(every)
+    yes = np.bincount(every, np.repeat(y, [len(p) for p in present]), len(both))
     no = both - yes
     n_yes, n_no = y.sum(), len(y) - y.sum()
     odds = np.log((yes + 0.5) / (n_yes - yes + 0.5)) - np.log((no + 0.5) / (n_no - no + 0.5))
     error = np.sqrt(1 / (yes + 0.5) + 1 / (n_yes - yes + 0.5) + 1 / (no + 0.5) + 1 / (n_no - no + 0.5))
     z = np.where(both >= LEAST, np.abs(odds) / error, 0)
     best = np.argsort(-z, kind="stable")[:number]
-    return np.sort(every[best[z[best] > 2]])
+    return np.sort(best[z[best] > 2])
 
 
 def fitted(present: list[np.ndarray], dense: np.ndarray, y: np.ndarray, ridge: float = RIDGE) -> Linear:
@@ -145,9 +160,10 @@ class Chain:
         return out
 
 
-def fit_chain(present: list[np.ndarray], dense: np.ndarray, labels: np.ndarray, fold: np.ndarray) -> Chain:
+def fit_chain(hashes: list[np.ndarray], dense: np.ndarray, labels: np.ndarray, fold: np.ndarray) -> Chain:
     """Models in the order of the columns of ``labels``. ``fold`` tells which rows are left out together."""
     chain, earlier = Chain(), dense
+    known, present = frequent(hashes)
     for column in range(labels.shape[1]):
         y = labels[:, column].astype(float)
         outside = np.zeros(len(y))
@@ -158,6 +174,8 @@ def fit_chain(present: list[np.ndarray], dense: np.ndarray, labels: np.ndarray,
         chain.models.append(fitted(present, earlier, y))
         earlier = np.column_stack([earlier, outside])
         chain.threshold = balanced(outside, y)
+    for model in chain.models:
+        model.hashes = known[model.hashes.astype(np.int64)]
     return chain
 
 
