@@ -7,7 +7,6 @@ from emberlog.functions.text import (
     keyword_span,
     now_text,
     parse_keywords,
-    python_repr_length,
     trim_first_tab,
 )
 
@@ -20,6 +19,5 @@ __all__ = [
     "keyword_span",
     "now_text",
     "parse_keywords",
-    "python_repr_length",
     "trim_first_tab",
 ]

@@ -56,16 +56,19 @@ def line_count(raw: Column) -> Column:
     return (breaks + 1).cast("long")
 
 
-def parse_keywords(keywords: str | list[str], match: str = "first") -> list[str]:
+def parse_keywords(keywords: str | list[str], match: str | None = None) -> list[str]:
     """Comma list to the keywords that count.
 
-    ``first``: only the first non-empty keyword has an effect. ``any``: all of them have.
+    ``first``: only the first non-empty keyword has an effect. ``any``: all of them have. One of
+    the two must be stated if there is more than one keyword, so none is left out unnoticed.
     Nothing is trimmed and nothing is lowercased.
     """
-    if match not in ("first", "any"):
+    if match not in (None, "first", "any"):
         raise ValueError(f"match must be 'first' or 'any', not {match!r}")
     parts = keywords.split(",") if isinstance(keywords, str) else list(keywords)
     parts = [part for part in parts if part != ""]
+    if match is None and len(parts) > 1:
+        raise ValueError(f"say match='any', or match='first' to leave out {parts[1:]}")
     return parts[:1] if match == "first" else parts
 
 
@@ -85,18 +88,14 @@ def keyword_span(raw: Column, keywords: list[str]) -> Column:
     """
 
     def from_first_match(lines: Column) -> Column:
-        hits = F.transform(lines, lambda line: any_keyword(line, keywords))
-        first = F.array_position(hits, True).cast("int")
-        tail = F.slice(lines, first, F.size(lines) - first + 1)
-        return F.array_join(
-            F.transform(
-                tail,
-                lambda line: F.when(
-                    any_keyword(line, keywords), F.concat(line, F.lit(SEPARATOR))
-                ).otherwise(line),
-            ),
-            "",
-        )
+        return let(F.transform(lines, lambda line: any_keyword(line, keywords)), lambda hits: joined_tail(lines, hits))
+
+    def joined_tail(lines: Column, hits: Column) -> Column:
+        return let(F.array_position(hits, True).cast("int"), lambda first: text_from(lines, hits, first))
+
+    def text_from(lines: Column, hits: Column, first: Column) -> Column:
+        marked = F.zip_with(lines, hits, lambda line, hit: F.when(hit, F.concat(line, F.lit(SEPARATOR))).otherwise(line))
+        return F.array_join(F.slice(marked, first, F.size(lines) - first + 1), "")
 
     return let(F.split(raw, "\n", -1), from_first_match)
 
@@ -111,45 +110,5 @@ def trim_first_tab(hit_no: Column, hit: Column) -> Column:
     return let(hit, trimmed)
 
 
-# Characters that are printed as an escape of two characters, and the other ones below 128 that
-# are printed as one of four.
-_TWO = "\\\t\n\r"
-_FOUR = "".join(chr(code) for code in [*range(32), 127] if chr(code) not in _TWO)
-
-_UNPRINTABLE = r"[\p{Cc}\p{Cf}\p{Cs}\p{Co}\p{Cn}\p{Zl}\p{Zp}\p{Zs}&&[^ \t\n\r]]"
-
-
-def python_repr_length(text: Column) -> Column:
-    """Number of characters of a string written as a quoted literal with escapes.
-
-    Backslash, tab, line feed and carriage return take one more character, other unprintable
-    characters three, five or nine more, and single quotes one more if the text has both kinds.
-    """
-
-    def without(rest: Column) -> Column:
-        return (F.length(text) - F.length(rest)).cast("long")
-
-    def among(chars: str) -> Column:
-        return without(F.translate(text, chars, ""))
-
-    def matching(pattern: str) -> Column:
-        return without(F.regexp_replace(text, pattern, ""))
-
-    wide = (
-        3 * matching(r"[\x00-\xFF&&" + _UNPRINTABLE + "]")
-        + 5 * matching(r"[\x{100}-\x{FFFF}&&" + _UNPRINTABLE + "]")
-        + 9 * matching(r"[\x{10000}-\x{10FFFF}&&" + _UNPRINTABLE + "]")
-    )
-    ascii_only = F.octet_length(text) == F.length(text)
-    both_quotes = F.contains(text, F.lit("'")) & F.contains(text, F.lit('"'))
-    return (
-        F.length(text).cast("long")
-        + 2
-        + among(_TWO)
-        + F.when(ascii_only, 3 * among(_FOUR)).otherwise(wide)
-        + F.when(both_quotes, among("'")).otherwise(F.lit(0))
-    )
-
-
 def now_text() -> Column:
     return F.date_format(F.current_timestamp(), "yyyy-MM-dd HH:mm:ss")

@@ -9,7 +9,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from emberlog.catalogue import MAX_KEYWORD_CHARS
-from emberlog.functions.text import any_keyword, keyword_span, let, python_repr_length, trim_first_tab
+from emberlog.functions.text import any_keyword, keyword_span, let, trim_first_tab
+from emberlog.operators.ordering import ROWS_PER_CHUNK, running_counts
 from emberlog.operators.records import is_kept, segments_of, split_records
 
 
@@ -30,19 +31,48 @@ def summary(recs: DataFrame, extra: dict[str, Column] | None = None) -> DataFram
     )
 
 
-def fingerprinted(recs: DataFrame, order: str = "rec_no") -> DataFrame:
-    """Summary with a 128-bit fingerprint of the three lists of the container.
+def summary_of_facts(facts: DataFrame) -> DataFrame:
+    """The same from ``records.line_facts``, which carry no text."""
+    level = F.col("level")
+    keep = F.coalesce(level.isin("ERROR", "WARN") | ((level == "INFO") & F.col("cause")), F.lit(False))
+    return facts.groupBy("container_id").agg(
+        F.count_if(level == "ERROR").alias("n_error"),
+        F.count_if(level == "WARN").alias("n_warn"),
+        F.count_if((level == "INFO") & keep).alias("n_info_kept"),
+        F.coalesce(F.sum(F.when(keep, F.col("n_chars"))), F.lit(0)).alias("n_chars"),
+    )
 
-    Equal lists give equal fingerprints. Each record is hashed with its place, so the sums of a
-    container can be built in any order and in parts.
-    """
-    level, record = F.col("level"), F.col("record")
-    place = F.when(is_kept(level, record), F.struct(level, F.col(order), record))
 
-    def mixed(seed: int) -> Column:
-        return F.coalesce(F.bit_xor(F.when(place.isNotNull(), F.xxhash64(F.lit(seed), place))), F.lit(0))
+def fingerprinted(
+    recs: DataFrame, order: str = "rec_no", chunk: bool = False, rows_per_chunk: int = ROWS_PER_CHUNK
+) -> DataFrame:
+    """Summary with a fingerprint of the three lists of the container.
 
-    return summary(recs, {"fp_a": mixed(1), "fp_b": mixed(2)})
+    A record's place is its number among the kept records of its level, so records that are in no
+    list have no effect. Level, place and text are hashed with two seeds, and a container has the
+    exclusive or of both hashes, the sum of a third one, and the number and length of its records:
+    equal lists give equal fingerprints, and different ones the same 192 bits by chance only
+    (hashes are not cryptographic). All of it can be built in any order and in parts.
+    """
+    level, record = F.col("level"), F.col("record")
+    keep = F.coalesce(is_kept(level, record), F.lit(False))
+    own = {f"_{name.lower()}": keep & (level == name) for name in ("ERROR", "WARN", "INFO")}
+    if chunk:
+        recs = recs.withColumn("_part", F.floor(F.col(order) / rows_per_chunk).cast("long"))
+    numbered = running_counts(recs, "container_id", [order], "_part" if chunk else None, **own)
+    place = F.coalesce(*[F.when(level == name[1:].upper(), F.col(name)) for name in own])
+
+    def hashed(seed: int) -> Column:
+        return F.when(keep, F.xxhash64(F.lit(seed), level, place, record))
+
+    return summary(
+        numbered,
+        {
+            "fp_a": F.coalesce(F.bit_xor(hashed(1)), F.lit(0)),
+            "fp_b": F.coalesce(F.bit_xor(hashed(2)), F.lit(0)),
+            "fp_c": F.coalesce(F.sum(hashed(3).cast("decimal(38,0)")), F.lit(0)).cast("string"),
+        },
+    )
 
 
 def accumulate(previous: DataFrame, new: DataFrame) -> DataFrame:
@@ -57,10 +87,16 @@ def accumulate(previous: DataFrame, new: DataFrame) -> DataFrame:
 
 KEYWORD = "Keyword"
 MARKER = "container"
+QUARANTINE = "Quarantine"
 
 
-def entries_from_text(files: DataFrame, keywords: list[str], levels: bool = True) -> DataFrame:
-    """Entries of whole files in one narrow pass; with levels, none of files with a short header."""
+def entries_from_text(
+    files: DataFrame, keywords: list[str], levels: bool = True, left_out: Column | None = None
+) -> DataFrame:
+    """Entries of whole files in one narrow pass; with levels, none of files with a short header.
+
+    A file with a null value gives one entry of section QUARANTINE if ``left_out`` has a reason for it.
+    """
     entry = "array<struct<section:string,ord:bigint,text:string>>"
     marker = F.array(F.struct(F.lit(MARKER), F.lit(0), F.lit(None).cast("string"))).cast(entry)
 
@@ -77,10 +113,14 @@ def entries_from_text(files: DataFrame, keywords: list[str], levels: bool = True
             found.append(numbered(hits, lambda raw: F.lit(KEYWORD), lambda raw: raw))
         return F.concat(*found)
 
-    rows = files.select("container_id", F.explode(let(split_records(F.col("value")), of_pieces)).alias("_entry"))
+    found = let(split_records(F.col("value")), of_pieces)
+    if left_out is not None:
+        why = F.array(F.struct(F.lit(QUARANTINE), F.lit(0), left_out)).cast(entry)
+        found = F.when(F.col("value").isNotNull(), found).otherwise(F.when(left_out.isNotNull(), why))
+    rows = files.select("container_id", F.explode(found).alias("_entry"))
     flat = rows.select("container_id", "_entry.section", "_entry.ord", "_entry.text")
     section, text = F.col("section"), F.col("text")
-    kept = flat.filter(section.isin(KEYWORD, MARKER) | is_kept(section, text))
+    kept = flat.filter(section.isin(KEYWORD, MARKER, QUARANTINE) | is_kept(section, text))
     if not keywords:
         return kept
     span = trim_first_tab(F.col("ord"), keyword_span(text, keywords))
@@ -117,71 +157,46 @@ def entries(ids: DataFrame, segments: DataFrame | None, spans: DataFrame | None)
     return rows
 
 
-def printed_sizes(entry_rows: DataFrame) -> DataFrame:
-    """One row: items and characters of the two lists of a report as they would be printed.
+def sizes(entry_rows: DataFrame, limits: dict[str, int | None] | None = None) -> DataFrame:
+    """``(section, n_items, n_chars, flag)``: texts and their characters, of level lists and keyword spans.
 
-    Keyword is ``[{path: [span, ...]}, ...]``, res is ``[{path: {"ERROR": [...], "WARN": [...],
-    "INFO": [...]}}, ...]``. Every text is followed by ", " except the last one of its list, every
-    container by ", " except the last one. All of it is a sum that is built from partial sums.
+    The flag is 1 if the characters are over the section's limit in ``limits``, by default
+    ``MAX_KEYWORD_CHARS`` for keyword spans. The true size is reported in any case.
     """
-    section = F.col("section")
-    is_marker, is_span = section == MARKER, section == KEYWORD
-    per_list = entry_rows.groupBy("container_id", "section").agg(
-        F.count("*").alias("n"),
-        (F.sum(python_repr_length(F.col("text")) + 2) - 2).alias("chars"),
-    )
-    path = python_repr_length(F.col("container_id").cast("string"))
+    is_span, is_marker = F.col("section") == KEYWORD, F.col("section") == MARKER
+    chars = F.length("text").cast("long")
 
-    def printed(is_text: Column, around: int) -> Column:
-        chars = F.when(is_text, F.col("chars")).when(is_marker, path + around)
-        return F.lit(2) + F.greatest(F.coalesce(F.sum(chars), F.lit(0)) - 2, F.lit(0))
+    def total(what: Column, of: Column) -> Column:
+        return F.coalesce(F.sum(F.when(of, what)), F.lit(0)).cast("long")
 
-    def items(is_text: Column) -> Column:
-        return F.coalesce(F.sum(F.when(is_text, F.col("n"))), F.lit(0))
-
-    return per_list.agg(
-        items(is_span).alias("keyword_items"),
-        printed(is_span, len("{: []}, ")).alias("keyword_chars"),
-        items(~is_span & ~is_marker).alias("res_items"),
-        printed(~is_span & ~is_marker, len("{: {'ERROR': [], 'WARN': [], 'INFO': []}}, ")).alias("res_chars"),
+    found = entry_rows.agg(
+        total(F.lit(1), is_span).alias("keyword_items"),
+        total(chars, is_span).alias("keyword_chars"),
+        total(F.lit(1), ~is_span & ~is_marker).alias("res_items"),
+        total(chars, ~is_span & ~is_marker).alias("res_chars"),
     )
 
-
-def guard(sizes: DataFrame, limits: dict[str, int] | None = None) -> DataFrame:
-    """``(section, n_items, n_chars, flag)``; over a limit the keyword list is empty, the flag is 1.
-
-    ``limits`` maps section names to limits of the keyword list. The level lists have no limit.
-    """
-
-    def row(section: str, items: Column, chars: Column, flag: Column) -> Column:
+    def row(section: str, kind: str, limit: int | None) -> Column:
+        over = F.col(f"{kind}_chars") > limit if limit is not None else F.lit(False)
         return F.struct(
             F.lit(section).alias("section"),
-            items.cast("long").alias("n_items"),
-            chars.cast("long").alias("n_chars"),
-            flag.cast("long").alias("flag"),
+            F.col(f"{kind}_items").alias("n_items"),
+            F.col(f"{kind}_chars").alias("n_chars"),
+            over.cast("long").alias("flag"),
         )
 
-    items, chars = F.col("keyword_items"), F.col("keyword_chars")
-    rows = [row("res", F.col("res_items"), F.col("res_chars"), F.lit(0))]
-    for section, limit in (limits or {KEYWORD: MAX_KEYWORD_CHARS}).items():
-        over = chars > limit
-        rows.append(
-            row(
-                section,
-                F.when(over, 0).otherwise(items),
-                F.when(over, len("[]")).otherwise(chars),
-                F.when(over, 1).otherwise(0),
-            )
-        )
-    return sizes.select(F.inline(F.array(*rows)))
+    rows = [row("res", "res", None)]
+    rows += [row(section, "keyword", limit) for section, limit in (limits or {KEYWORD: MAX_KEYWORD_CHARS}).items()]
+    return found.select(F.inline(F.array(*rows)))
 
 
-def guarded(entry_rows: DataFrame, spans: DataFrame, max_chars: int = MAX_KEYWORD_CHARS) -> DataFrame:
-    """The entries, without keyword spans if their printed list is over the limit.
+def withheld(entry_rows: DataFrame, spans: DataFrame, max_chars: int) -> DataFrame:
+    """The entries, without keyword spans if these have more than ``max_chars`` characters.
 
-    ``spans`` are the entries to measure: the same ones, or only their spans and markers.
+    Only for callers that ask for a limit. ``spans`` are the entries to measure: the same ones, or
+    only their spans and markers.
     """
-    size = printed_sizes(spans).select("keyword_chars").scalar()
+    size = sizes(spans).filter(F.col("section") == KEYWORD).select("n_chars").scalar()
     return entry_rows.filter((F.col("section") != KEYWORD) | (size <= F.lit(max_chars)))
 
 

@@ -10,7 +10,7 @@ from emberlog.operators.ordering import ROWS_PER_CHUNK, record_chunk, running_co
 from emberlog.operators.records import split_records
 
 
-def spans_from_text(files: DataFrame, keywords: str | list[str], match: str = "first") -> DataFrame:
+def spans_from_text(files: DataFrame, keywords: str | list[str], match: str | None = None) -> DataFrame:
     """Whole files to ``(container_id, hit_no, hit, n_match)`` without a shuffle.
 
     ``n_match`` is the number of lines of the span that have the keyword.
@@ -33,7 +33,7 @@ def spans_from_text(files: DataFrame, keywords: str | list[str], match: str = "f
 def spans(
     pieces: DataFrame,
     keywords: str | list[str],
-    match: str = "first",
+    match: str | None = None,
     chunk: bool = False,
     rows_per_chunk: int = ROWS_PER_CHUNK,
 ) -> DataFrame:
@@ -57,7 +57,6 @@ def _trimmed(found: DataFrame, wanted: list[str]) -> DataFrame:
     ).withColumn("hit", trim_first_tab(F.col("hit_no"), F.col("hit")))
 
 
-def hits_per_container(pieces: DataFrame, keywords: str | list[str], match: str = "first") -> DataFrame:
-    """Number of spans per container; containers without one stay with zero."""
-    wanted = parse_keywords(keywords, match)
-    return pieces.groupBy("container_id").agg(F.count_if(any_keyword(F.col("raw"), wanted)).alias("n_hits"))
+def hits_per_container(facts: DataFrame) -> DataFrame:
+    """Number of spans per container from ``records.line_facts``; containers without one stay with zero."""
+    return facts.groupBy("container_id").agg(F.count_if("hit").alias("n_hits"))

@@ -8,22 +8,23 @@ chunk totals of a container meet in one task.
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-# Rows of one container that one task may sort. It also bounds the table of large containers:
-# it never has more than (all rows / ROWS_PER_CHUNK) rows of four numbers.
+# Rows of one container that one task may sort.
 ROWS_PER_CHUNK = 5_000_000
 
 
 def cut_large_groups(
-    df: DataFrame, key: str, position: Column, rows_per_chunk: int = ROWS_PER_CHUNK, at_most: int | None = None
+    df: DataFrame, key: str, positions: Sequence[Column], rows_per_chunk: int = ROWS_PER_CHUNK, at_most: int | None = None
 ) -> tuple[DataFrame, bool]:
     """Add ``chunk`` if some key has more than ``rows_per_chunk`` rows; say whether it was added.
 
-    ``position`` is a whole number that does not decrease along the order of the rows. A large key
-    is cut into equal ranges of it, and a range that is still too large is cut again, so bursts
-    are followed. ``chunk`` is the array of range numbers, which sorts like the rows. Every check
+    ``positions`` are whole numbers; rows are ordered by the first, then by the next. A large key
+    is cut into equal ranges of the first, and a range that is still too large is cut again, so
+    bursts are followed; rows with one value of the first are cut by the next one. ``chunk`` is the array of range numbers, which sorts like the rows. Every check
     is one pre-aggregated pass over key and position; none is made if the table is known to have
     ``at_most`` so many rows that no key can be large.
     """
@@ -33,18 +34,25 @@ def cut_large_groups(
     while True:
         large = (
             cut.groupBy(key, "chunk")
-            .agg(F.count("*").alias("_n"), F.min(position).alias("_lo"), F.max(position).alias("_hi"))
-            .filter((F.col("_n") > rows_per_chunk) & (F.col("_hi") > F.col("_lo")))
+            .agg(
+                F.count("*").alias("_n"),
+                *[F.min(position).alias(f"_lo{i}") for i, position in enumerate(positions)],
+                *[F.max(position).alias(f"_hi{i}") for i, position in enumerate(positions)],
+            )
+            .filter(F.col("_n") > rows_per_chunk)
+            .filter(" or ".join(f"_hi{i} > _lo{i}" for i in range(len(positions))))
         )
         if large.isEmpty():
             return (cut, True) if was_cut else (df, False)
-        width = (F.col("_hi") - F.col("_lo") + 1) / F.ceil(F.col("_n") / rows_per_chunk)
-        part = F.floor((position - F.col("_lo")) / width).cast("long")
-        # Size bound of the broadcast side: see ROWS_PER_CHUNK.
+        part = F.lit(None).cast("long")
+        for i, position in reversed(list(enumerate(positions))):
+            low, high = F.col(f"_lo{i}"), F.col(f"_hi{i}")
+            width = (high - low + 1) / F.ceil(F.col("_n") / rows_per_chunk)
+            part = F.when(high > low, F.floor((position - low) / width).cast("long")).otherwise(part)
         cut = (
-            cut.join(F.broadcast(large), [key, "chunk"], "left")
+            cut.join(large, [key, "chunk"], "left")
             .withColumn("chunk", F.concat("chunk", F.array(F.coalesce(part, F.lit(0)))))
-            .drop("_n", "_lo", "_hi")
+            .drop("_n", *[f"_{end}{i}" for end in ("lo", "hi") for i in range(len(positions))])
         )
         was_cut = True
 

@@ -65,6 +65,22 @@ def all_hits(recs: DataFrame, order: str = "rec_no", phrases: Mapping[str, Seque
     )
 
 
+def hits_of_facts(facts: DataFrame, phrases: Mapping[str, Sequence[str]] = CATALOGUE) -> DataFrame:
+    """``(kind, pattern_no, container_id)`` of all hits, from ``records.line_facts`` of the same phrases."""
+
+    def numbers(kind: str) -> Column:
+        mask = F.col(f"mask_{kind}")
+        tests = [F.when(mask.bitwiseAND(F.lit(1 << no).cast("long")) != 0, F.lit(no).cast("long")) for no in range(len(phrases[kind]))]
+        return F.array_compact(F.array(*tests))
+
+    found = F.lit(None)
+    for kind in phrases:
+        found = F.when(F.col("level") == kind, numbers(kind)).otherwise(found)
+    return facts.filter(F.col("level").isin(*phrases)).select(
+        F.col("level").alias("kind"), F.explode(found).alias("pattern_no"), "container_id"
+    )
+
+
 def summary(hit_rows: DataFrame, phrases: Mapping[str, Sequence[str]] = CATALOGUE) -> DataFrame:
     """Records and containers per phrase; phrases without a hit stay with zeros.
 

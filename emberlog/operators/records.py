@@ -16,8 +16,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from emberlog.catalogue import HEADER, ROOT_CAUSE
-from emberlog.functions.text import header_level, is_header, is_known, is_short_header, joined, let, line_count
+from emberlog.catalogue import CATALOGUE, HEADER, ROOT_CAUSE, SEPARATOR
+from emberlog.functions.text import any_keyword, header_level, is_header, is_known, is_short_header, joined, let, line_count
 from emberlog.operators.ordering import ROWS_PER_CHUNK, record_chunk, running_counts
 
 _BREAK_BEFORE_HEADER = rf"\n(?={HEADER})"
@@ -41,7 +41,7 @@ def pieces_from_text(files: DataFrame) -> DataFrame:
 
 def _joined_in_order(order: str, text: str, separator: str) -> Column:
     """Texts of one record in order. The group is no larger than the value that comes out."""
-    parts = F.array_sort(F.collect_list(F.struct(order, text)))
+    parts = F.sort_array(F.collect_list(F.struct(order, text)))
     return F.array_join(F.transform(parts, lambda part: part[text]), separator)
 
 
@@ -72,6 +72,49 @@ def _with_level(pieces: DataFrame) -> DataFrame:
     return pieces.select("container_id", "rec_no", level.alias("level"), "raw")
 
 
+def line_facts(
+    lines: DataFrame, order: Sequence[str], chunk: str | None = None, keywords: Sequence[str] = ()
+) -> DataFrame:
+    """Facts of each piece, from facts of its lines; no text is shuffled.
+
+    ``container_id, rec_no, level, n_lines, n_chars`` (of the joined record), ``cause``, ``hit``
+    (has a keyword), and for each kind of the catalogue ``mask_<kind>`` with a bit for each phrase. A
+    phrase or keyword has no separator in it, so no match crosses the border of two lines.
+    """
+    line, header = F.col("line"), is_header(F.col("line"))
+    masks = {kind: phrase_mask(line, texts) for kind, texts in CATALOGUE.items()}
+    facts = lines.select(
+        "container_id",
+        *order,
+        *([chunk] if chunk else []),
+        header.alias("header"),
+        F.when(header, header_level(line)).alias("level"),
+        (F.length(line) + len(SEPARATOR)).cast("long").alias("n_chars"),
+        F.contains(line, F.lit(ROOT_CAUSE)).alias("cause"),
+        any_keyword(line, list(keywords)).alias("hit"),
+        *[mask.alias(f"mask_{kind}") for kind, mask in masks.items()],
+    )
+    numbered = running_counts(facts, "container_id", list(order), chunk, rec_no=F.col("header"))
+    return numbered.groupBy("container_id", "rec_no").agg(
+        F.max("level").alias("level"),
+        F.count("*").alias("n_lines"),
+        F.sum("n_chars").alias("n_chars"),
+        F.bool_or("cause").alias("cause"),
+        F.bool_or("hit").alias("hit"),
+        *[F.bit_or(f"mask_{kind}").alias(f"mask_{kind}") for kind in masks],
+    )
+
+
+def phrase_mask(text: Column, phrases: Sequence[str]) -> Column:
+    """A bit for each phrase that ``text`` contains."""
+    if any(SEPARATOR in phrase for phrase in phrases):
+        raise ValueError("a phrase with the separator may cross lines")
+    mask = F.lit(0).cast("long")
+    for bit, phrase in enumerate(phrases):
+        mask = mask.bitwiseOR(F.when(F.contains(text, F.lit(phrase)), F.lit(1 << bit).cast("long")).otherwise(F.lit(0).cast("long")))
+    return mask
+
+
 def drop_short_header_lines(lines: DataFrame) -> DataFrame:
     """Remove all lines of containers with a header of fewer than three tokens."""
     short = lines.filter(is_short_header(F.col("line"))).select("container_id").distinct()
@@ -170,10 +213,13 @@ def segments_of(pieces: Column) -> Column:
     return let(headed, with_records)
 
 
-def merge_gaps(recs: DataFrame, chunk: bool = False, rows_per_chunk: int = ROWS_PER_CHUNK) -> DataFrame:
+def merge_gaps(
+    recs: DataFrame, chunk: bool = False, rows_per_chunk: int = ROWS_PER_CHUNK, merged: Sequence[Column] | None = None
+) -> DataFrame:
     """Records to ``(container_id, seg, level, record)``; the form for records from lines.
 
-    ``chunk`` is for data in which a container is too large for one task.
+    ``chunk`` is for data in which a container is too large for one task. ``merged`` are other
+    aggregates than the joined text, for facts of records.
     """
     headed = recs.filter(F.col("rec_no") > 0)
     known = is_known(F.col("level"))
@@ -207,7 +253,7 @@ def merge_gaps(recs: DataFrame, chunk: bool = False, rows_per_chunk: int = ROWS_
         .groupBy("container_id", "seg")
         .agg(
             F.max("level").alias("level"),
-            _joined_in_order("rec_no", "record", "").alias("record"),
+            *(merged or [_joined_in_order("rec_no", "record", "").alias("record")]),
         )
     )
 

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from emberlog.catalogue import CATALOGUE
-from emberlog.plans.suite import DOCUMENT_KEYWORD, RARE_KEYWORD, SMALL_LIMIT, SPAN_KEYWORDS
+from emberlog.plans.suite import DOCUMENT_KEYWORD, RARE_KEYWORD, SMALL_LIMIT, SPAN_KEYWORDS, TEXT_KEYWORD
 
 HEADER_TEST = "regexp_matches(line, '^([0-9]{2}/[0-9]{2}/[0-9]{2}|[0-9]{4}-[0-9]{2}-[0-9]{2})')"
 SEP = "(' ' || chr(9) || ' ')"
@@ -46,23 +46,25 @@ def assembled(source: str = "numbered", name: str = "recs") -> str:
   from {source} group by container_id, rec_no)"""
 
 
-SEGMENTS = f"""prevs as (
+def merged_segments(recs: str = "recs", tag: str = "") -> str:
+    return f"""prevs{tag} as (
   select *, lag(level) over w as prev_any,
     last_value(case when level in {KNOWN} then level end ignore nulls)
       over (partition by container_id order by rec_no rows between unbounded preceding and 1 preceding) as prev_known,
     last_value(level) over (partition by container_id order by rec_no
       rows between unbounded preceding and unbounded following) as final_level
-  from recs where rec_no > 0 window w as (partition by container_id order by rec_no)),
-marked as (
+  from {recs} where rec_no > 0 window w as (partition by container_id order by rec_no)),
+marked{tag} as (
   select *, cast(sum(case when coalesce(level = prev_known and prev_any not in {KNOWN}, false) then 0 else 1 end)
     over (partition by container_id order by rec_no) as bigint) as seg
-  from prevs where level in {KNOWN}),
-counted as (select *, max(seg) over (partition by container_id) as last_seg from marked),
-segs as (
+  from prevs{tag} where level in {KNOWN}),
+counted{tag} as (select *, max(seg) over (partition by container_id) as last_seg from marked{tag}),
+segs{tag} as (
   select container_id, seg, max(level) as level, string_agg(record, '' order by rec_no) as record
-  from counted where final_level in {KNOWN} or seg < last_seg group by container_id, seg)"""
+  from counted{tag} where final_level in {KNOWN} or seg < last_seg group by container_id, seg)"""
 
 RECORDS = f"with {lines()},\n{numbered()},\n{assembled()}"
+SEGMENTS = merged_segments()
 MERGED = f"{RECORDS},\n{SEGMENTS}"
 
 
@@ -116,22 +118,42 @@ from {source} group by container_id"""
 
 def with_lists(source: str) -> str:
     def one(level: str) -> str:
-        return f"list(record order by rec_no) filter (where level = '{level}' and {KEPT})"
+        return f"list(record order by seg) filter (where level = '{level}' and {KEPT})"
 
     return f"""select container_id, {one('ERROR')} as errors, {one('WARN')} as warns, {one('INFO')} as infos
 from {source} group by container_id"""
 
 
-def printed(column: str) -> str:
-    """Length of a text as a quoted literal: escapes for backslash, tab, line feed, quotes."""
+def all_lists(source: str, recs: str) -> str:
+    """The lists of every container, also of those without a segment."""
+    return f"""select container_id, errors, warns, infos from (select distinct container_id from {recs})
+left join ({with_lists(source)}) using (container_id)"""
 
-    def times(char: str) -> str:
-        return f"(length({column}) - length(replace({column}, {char}, '')))"
 
-    return (
-        f"(length({column}) + 2 + {times('chr(92)')} + {times('chr(9)')} + {times('chr(10)')} + {times('chr(13)')}"
-        f" + case when contains({column}, chr(39)) and contains({column}, chr(34)) then {times('chr(39)')} else 0 end)"
-    )
+#: Lines of a later run, see ``sources.tables.second_run``.
+SECOND = f"""{lines(name='base_lines')},
+kept_lines as (
+  select l.* from base_lines l where not (container_id % 3 = 1 and split_part(line, ' ', 3) = 'WARN' and {HEADER_TEST})
+  union all select distinct container_id, 0, '70/01/01 00:00:00 DEBUG Utils: start' from base_lines where container_id % 2 = 0),
+again_lines as (
+  select case when container_id % 5 = 4 then container_id + 1000000 else container_id end as container_id, line_no, line from kept_lines)"""
+
+#: Documents as logs, see ``sources.tables.documents_as_logs``.
+LOGS = f"""cut as (select doc_id as container_id, string_split(text, chr(10)) as parts from documents),
+parts as (select container_id, unnest(range(1, len(parts) + 1)) as line_no, unnest(parts) as part from cut),
+all_lines as (
+  select container_id, line_no, case when container_id % 50 = 7 and line_no = 2 then '20/06/06' else coalesce(
+    '2020-06-06 22:25:17 ' || case when (line_no - 1) % 5 = 1 then 'ERROR'
+      when (line_no - 1) % 5 = 2 then case when (line_no - 1) % 10 = 2 then 'DEBUG' else 'ERROR' end
+      when (line_no - 1) % 7 = 4 then 'WARN' when (line_no - 1) % 7 = 5 then 'INFO' end
+    || case when (line_no - 1) % 3 = 0 then ' Caused by: ' else ' Executor: ' end || part, part) end as line
+  from parts),
+short as (select distinct container_id from all_lines where line = '20/06/06'),
+log_lines as (select * from all_lines where container_id not in (select container_id from short))"""
+
+
+def text_spans(test: str) -> str:
+    return spans(TEXT_KEYWORD).replace(f"contains(lower(line), {text(TEXT_KEYWORD)})", test)
 
 
 ORACLE: dict[str, str] = {
@@ -157,16 +179,18 @@ where level = 'INFO' and contains(record, 'Caused by:')""",
     "pattern_summary": phrase_summary(RECORDS, "recs"),
     "pattern_summary_merged": phrase_summary(MERGED, "segs"),
     "container_summary": f"{RECORDS} {container_counts()} order by container_id",
-    "container_dedup": f"""{RECORDS}, entries as ({with_lists('recs')}),
-twice as (select * from entries union select * from entries)
+    "container_dedup": f"""{MERGED}, {SECOND},
+{numbered('again_lines', 'numbered_2')}, {assembled('numbered_2', 'recs_2')}, {merged_segments('recs_2', '_2')},
+entries as ({all_lists('segs', 'recs')} union {all_lists('segs_2', 'recs_2')})
 select container_id, cast(coalesce(len(errors), 0) as bigint) as n_error,
   cast(coalesce(len(warns), 0) as bigint) as n_warn, cast(coalesce(len(infos), 0) as bigint) as n_info_kept
-from twice""",
+from entries""",
     "run_accumulate": f"""with {lines()}, {lines(damaged=True, name='damaged_lines')},
 readable as (select * from damaged_lines where container_id not in (
   select container_id from damaged_lines where {HEADER_TEST} and len(string_split(line, ' ')) < 3)),
 {numbered()}, {numbered('readable', 'numbered_1')}, {assembled()}, {assembled('numbered_1', 'recs_1')},
-entries as ({with_lists('recs_1')} union {with_lists('recs')})
+{SEGMENTS}, {merged_segments('recs_1', '_1')},
+entries as ({all_lists('segs_1', 'recs_1')} union {all_lists('segs', 'recs')})
 select container_id, cast(coalesce(len(errors), 0) as bigint) as n_error,
   cast(coalesce(len(warns), 0) as bigint) as n_warn from entries""",
     "sorted_listing": "select c_name, c_mktsegment from customer order by c_name",
@@ -197,24 +221,30 @@ select 'Keyword', null, container_id, hit_no, hit from spans""",
 select container_id, '{{"container_id":' || container_id || ',"n_chars":' || n_chars || ',"n_error":' || n_error
   || ',"n_info_kept":' || n_info_kept || ',"n_warn":' || n_warn || '}}' as json from counts""",
     "payload_guard": f"""{MERGED}, {spans(SPAN_KEYWORDS[0])},
-ids as (select distinct container_id from log_lines),
-kw_lists as (select container_id, count(*) as n, sum({printed('hit')} + 2) - 2 as chars from spans group by container_id),
-kw as (
-  select coalesce(sum(n), 0) as n_items,
-    2 + sum({printed('cast(i.container_id as varchar)')} + 6 + coalesce(chars, 0)) + 2 * (count(*) - 1) as n_chars
-  from ids i left join kw_lists k on i.container_id = k.container_id),
-res_lists as (select container_id, level, count(*) as n, sum({printed('record')} + 2) - 2 as chars
-  from segs where {KEPT} group by container_id, level),
-res_entries as (select container_id, sum(n) as n, sum(chars) as chars from res_lists group by container_id),
-res as (
-  select coalesce(sum(n), 0) as n_items,
-    2 + sum({printed('cast(i.container_id as varchar)')} + 41 + coalesce(chars, 0)) + 2 * (count(*) - 1) as n_chars
-  from ids i left join res_entries r on i.container_id = r.container_id),
-sized as (
-  select 'Keyword' as section, n_items, n_chars, 135000000 as max_chars from kw
-  union all select 'Keyword, small limit', n_items, n_chars, {SMALL_LIMIT} from kw
-  union all select 'res', n_items, n_chars, 135000000 from res)
-select section, cast(case when n_chars > max_chars then 0 else n_items end as bigint) as n_items,
-  cast(case when n_chars > max_chars then 2 else n_chars end as bigint) as n_chars,
-  cast(case when n_chars > max_chars then 1 else 0 end as bigint) as flag from sized""",
+kw as (select count(*) as n_items, coalesce(sum(length(hit)), 0) as n_chars from spans),
+res as (select count(*) as n_items, coalesce(sum(length(record)), 0) as n_chars from segs where {KEPT})
+select 'Keyword' as section, n_items, cast(n_chars as bigint) as n_chars, cast(n_chars > 135000000 as bigint) as flag from kw
+union all select 'Keyword, small limit', n_items, cast(n_chars as bigint), cast(n_chars > {SMALL_LIMIT} as bigint) from kw
+union all select 'res', n_items, cast(n_chars as bigint), 0 from res""",
+    "text_pieces": f"""with {LOGS}, {numbered()}
+select container_id, rec_no, max(case when hdr then split_part(line, ' ', 3) end) as level, string_agg(line, chr(10) order by line_no) as raw
+from numbered group by container_id, rec_no""",
+    "text_segments": f"with {LOGS}, {numbered()}, {assembled()}, {SEGMENTS} select container_id, seg, level, record from segs",
+    "text_entries": f"""with {LOGS}, {numbered()}, {assembled()}, {SEGMENTS}, {PHRASES}, {spans(TEXT_KEYWORD)}
+select level as section, cast(null as bigint) as pattern_no, container_id, seg as ord, record as text from segs where {KEPT}
+union all
+select case kind when 'ERROR' then 'SpecificError' else 'SpecificWarn' end, cast(pattern_no as bigint), container_id, seg, record
+from segs join phrases on level = kind and contains(record, pattern)
+union all select 'Keyword', null, container_id, hit_no, hit from spans""",
+    "text_containers": f"""with {LOGS}, {numbered()}, {assembled()}, {SEGMENTS},
+counts as ({container_counts('segs')})
+select container_id, coalesce(n_error, 0) as n_error, coalesce(n_warn, 0) as n_warn, coalesce(n_info_kept, 0) as n_info_kept,
+  cast(coalesce(n_chars, 0) as bigint) as n_chars
+from (select distinct container_id from log_lines) left join counts using (container_id)""",
+    "text_quarantine": f"with {LOGS} select container_id, 'short_header' as reason from short",
+    "text_keyword_only": f"""with {LOGS}, {numbered('all_lines')}, {spans(TEXT_KEYWORD)}
+select container_id, hit_no, hit, n_match from spans""",
+    "keyword_any": f"""with {LOGS}, {numbered('all_lines')},
+{text_spans(f"(contains(lower(line), {text(TEXT_KEYWORD)}) or contains(lower(line), {text(DOCUMENT_KEYWORD)}))")}
+select container_id, hit_no, hit, n_match from spans""",
 }

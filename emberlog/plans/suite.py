@@ -7,17 +7,27 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from emberlog.catalogue import MAX_KEYWORD_CHARS
-from emberlog.functions.text import is_header, is_short_header
+from emberlog.catalogue import CATALOGUE, MAX_KEYWORD_CHARS
+from emberlog.functions.text import is_short_header, parse_keywords
 from emberlog.operators import containers, keywords, patterns, records
 from emberlog.operators.ordering import ROWS_PER_CHUNK, cut_large_groups
 from emberlog.plans import report
-from emberlog.sources.tables import LINE_ORDER, documents_as_text, event_lines, line_position, table
+from emberlog.sources.files import has_short_header
+from emberlog.sources.tables import (
+    LINE_ORDER,
+    documents_as_logs,
+    documents_as_text,
+    event_lines,
+    line_positions,
+    second_run,
+    table,
+)
 
 SPAN_KEYWORDS = ("memorystore", "frame(")
 RARE_KEYWORD = '{"k": 7}'
 DOCUMENT_KEYWORD = "license"
 SMALL_LIMIT = 1_000
+TEXT_KEYWORD = "ation"
 
 
 class LogView:
@@ -32,21 +42,22 @@ class LogView:
         sf_dir: str,
         damaged: bool = False,
         drop_short: bool = False,
+        again: bool = False,
         rows_per_chunk: int = ROWS_PER_CHUNK,
     ):
-        # One zone for both the text of a header and the position of a line.
-        spark.conf.set("spark.sql.session.timeZone", "UTC")
         events = table(spark, sf_dir, "events")
         lines = event_lines(events, damaged)
+        if again:
+            lines = second_run(lines)
         if drop_short:
             lines = records.drop_short_header_lines(lines)
         self.rows_per_chunk = rows_per_chunk
         self.lines, self.is_cut = cut_large_groups(
             lines,
             "container_id",
-            line_position(),
+            line_positions(),
             rows_per_chunk,
-            at_most=events.count(),  # answered from the footers of the files
+            at_most=2 * events.count(),  # answered from the footers of the files
         )
         self.chunk = "chunk" if self.is_cut else None
 
@@ -62,6 +73,12 @@ class LogView:
     def segments(self) -> DataFrame:
         return records.merge_gaps(self.records(), self.is_cut, self.rows_per_chunk)
 
+    def facts(self, keyword: str = "") -> DataFrame:
+        return records.line_facts(self.lines, LINE_ORDER, self.chunk, parse_keywords(keyword))
+
+    def fingerprints(self) -> DataFrame:
+        return containers.fingerprinted(self.segments(), "seg", self.is_cut, self.rows_per_chunk)
+
     def spans(self, keyword: str) -> DataFrame:
         return keywords.spans(self.pieces(), keyword, chunk=self.is_cut, rows_per_chunk=self.rows_per_chunk)
 
@@ -89,15 +106,15 @@ def log_line_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @registered
 def header_flag(spark: SparkSession, sf_dir: str) -> DataFrame:
-    header, in_record = is_header(F.col("line")), F.col("rec_no") > 0
+    in_record = F.col("rec_no") > 0
     return (
         LogView(spark, sf_dir)
-        .numbered()
+        .facts()
         .groupBy("container_id")
         .agg(
-            F.count_if(header).alias("n_header"),
-            F.count_if(in_record & ~header).alias("n_continuation"),
-            F.count_if(~in_record).alias("n_prelude"),
+            F.count_if(in_record).alias("n_header"),
+            F.coalesce(F.sum(F.when(in_record, F.col("n_lines") - 1)), F.lit(0)).alias("n_continuation"),
+            F.coalesce(F.sum(F.when(~in_record, F.col("n_lines"))), F.lit(0)).alias("n_prelude"),
         )
     )
 
@@ -122,8 +139,8 @@ def record_assembly(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @registered
 def level_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    recs = LogView(spark, sf_dir).records().filter(F.col("rec_no") > 0)
-    return recs.groupBy("level").agg(F.count("*").alias("n"), F.sum(F.length("record")).alias("n_chars"))
+    facts = LogView(spark, sf_dir).facts().filter(F.col("rec_no") > 0)
+    return facts.groupBy("level").agg(F.count("*").alias("n"), F.sum("n_chars").alias("n_chars"))
 
 
 @registered
@@ -164,12 +181,15 @@ def warn_pattern_hits(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @registered
 def pattern_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return patterns.summary(patterns.all_hits(LogView(spark, sf_dir).records()))
+    return patterns.summary(patterns.hits_of_facts(LogView(spark, sf_dir).facts()))
 
 
 @registered
 def pattern_summary_merged(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return patterns.summary(patterns.all_hits(LogView(spark, sf_dir).segments(), order="seg"))
+    view = LogView(spark, sf_dir)
+    masks = [F.bit_or(name).alias(name) for name in (f"mask_{kind}" for kind in CATALOGUE)]
+    merged = records.merge_gaps(view.facts(), view.is_cut, view.rows_per_chunk, masks)
+    return patterns.summary(patterns.hits_of_facts(merged))
 
 
 # --- containers -----------------------------------------------------------------------------
@@ -177,24 +197,22 @@ def pattern_summary_merged(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @registered
 def container_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return containers.summary(LogView(spark, sf_dir).records()).orderBy("container_id")
+    return containers.summary_of_facts(LogView(spark, sf_dir).facts()).orderBy("container_id")
 
 
 @registered
 def container_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The same collection read twice: every entry comes once."""
-    entries = containers.fingerprinted(LogView(spark, sf_dir).records())
-    return containers.accumulate(entries, entries).select("container_id", "n_error", "n_warn", "n_info_kept")
+    """Two runs over containers of which some have changed: an entry with equal lists comes once."""
+    first, second = LogView(spark, sf_dir), LogView(spark, sf_dir, again=True)
+    both = containers.accumulate(first.fingerprints(), second.fingerprints())
+    return both.select("container_id", "n_error", "n_warn", "n_info_kept")
 
 
 @registered
 def run_accumulate(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A run over the damaged logs, then one over the repaired logs; results of both stay."""
-    first = LogView(spark, sf_dir, damaged=True, drop_short=True).records()
-    second = LogView(spark, sf_dir).records()
-    return containers.accumulate(containers.fingerprinted(first), containers.fingerprinted(second)).select(
-        "container_id", "n_error", "n_warn"
-    )
+    first, second = LogView(spark, sf_dir, damaged=True, drop_short=True), LogView(spark, sf_dir)
+    return containers.accumulate(first.fingerprints(), second.fingerprints()).select("container_id", "n_error", "n_warn")
 
 
 @registered
@@ -218,7 +236,7 @@ def keyword_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @registered
 def keyword_container(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return keywords.hits_per_container(LogView(spark, sf_dir).pieces(), RARE_KEYWORD)
+    return keywords.hits_per_container(LogView(spark, sf_dir).facts(RARE_KEYWORD))
 
 
 @registered
@@ -245,11 +263,61 @@ def report_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @registered
 def report_json(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return report.as_json(containers.summary(LogView(spark, sf_dir).records()))
+    return report.as_json(containers.summary_of_facts(LogView(spark, sf_dir).facts()))
 
 
 @registered
 def payload_guard(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Printed size of the level lists, and of the keyword lists under the usual and a small limit."""
-    sizes = containers.printed_sizes(LogView(spark, sf_dir).entries(SPAN_KEYWORDS[0]))
-    return containers.guard(sizes, {"Keyword": MAX_KEYWORD_CHARS, "Keyword, small limit": SMALL_LIMIT})
+    """Size of the level lists, and of the keyword spans with flags for the usual and a small limit."""
+    entries = LogView(spark, sf_dir).entries(SPAN_KEYWORDS[0])
+    return containers.sizes(entries, {"Keyword": MAX_KEYWORD_CHARS, "Keyword, small limit": SMALL_LIMIT})
+
+
+# --- whole texts, one log per row -----------------------------------------------------------
+
+
+def document_logs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return documents_as_logs(table(spark, sf_dir, "documents"))
+
+
+@registered
+def text_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
+    logs = document_logs(spark, sf_dir).filter(~has_short_header(F.col("value")))
+    return records.pieces_from_text(logs)
+
+
+@registered
+def text_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return records.segments_from_text(document_logs(spark, sf_dir))
+
+
+@registered
+def text_entries(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The full report: level lists, phrase buckets and keyword spans."""
+    return report.rows(containers.entries_from_text(document_logs(spark, sf_dir), [TEXT_KEYWORD]))
+
+
+@registered
+def text_containers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Counts of every container that was read, also of those without any kept record."""
+    entries = containers.entries_from_text(document_logs(spark, sf_dir), [])
+    return containers.summary(entries.select("container_id", F.col("section").alias("level"), F.col("text").alias("record")))
+
+
+@registered
+def text_quarantine(spark: SparkSession, sf_dir: str) -> DataFrame:
+    logs = document_logs(spark, sf_dir).filter(has_short_header(F.col("value")))
+    return logs.select("container_id", F.lit("short_header").alias("reason"))
+
+
+@registered
+def text_keyword_only(spark: SparkSession, sf_dir: str) -> DataFrame:
+    spans = keywords.spans_from_text(document_logs(spark, sf_dir), TEXT_KEYWORD)
+    return spans.select("container_id", "hit_no", "hit", "n_match")
+
+
+@registered
+def keyword_any(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Spans of several keywords in one pass."""
+    spans = keywords.spans_from_text(document_logs(spark, sf_dir), [TEXT_KEYWORD, DOCUMENT_KEYWORD], "any")
+    return spans.select("container_id", "hit_no", "hit", "n_match")

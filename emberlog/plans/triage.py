@@ -16,36 +16,32 @@ from emberlog.sources.files import LogFiles
 
 @dataclass(frozen=True)
 class Triage:
-    """Lazy results of one run. Each of them reads the files once, ``rows`` twice for its guard.
+    """Lazy results of one run. Each of them reads the files once, ``rows`` twice if it has a limit.
 
-    With ``exclusive`` only the keywords are searched: level lists and buckets are empty.
+    With ``exclusive`` only the keywords are searched: level lists and buckets are empty. Nothing is
+    left out for its size, unless ``max_keyword_chars`` sets a limit.
     """
 
     files: LogFiles
     keywords: tuple[str, ...]
     exclusive: bool = False
-    max_keyword_chars: int = MAX_KEYWORD_CHARS
+    max_keyword_chars: int | None = None
 
     def rows(self) -> DataFrame:
         """All sections as ``(section, pattern_no, container_id, ord, text)``.
 
-        Keyword spans are left out if together they are over the size limit.
+        Keyword spans are left out if the caller set a limit and together they are over it.
         """
         entries = self._entries(list(self.keywords), levels=True)
-        if self.keywords:
+        if self.keywords and self.max_keyword_chars is not None:
             spans = self._entries(list(self.keywords), levels=False)
-            entries = containers.guarded(entries, spans, self.max_keyword_chars)
+            entries = containers.withheld(entries, spans, self.max_keyword_chars)
         return report.rows(entries)
 
     def sizes(self) -> DataFrame:
         """``(section, n_items, n_chars, flag)`` for the level lists and the keyword lists."""
-        measured = containers.guard(
-            containers.printed_sizes(self._entries(list(self.keywords), levels=True)), {containers.KEYWORD: self.max_keyword_chars}
-        )
-        if not self.exclusive:
-            return measured
-        empty = F.when(F.col("section") == "res", len("[]")).otherwise(F.col("n_chars"))
-        return measured.withColumn("n_chars", empty.cast("long"))
+        limit = MAX_KEYWORD_CHARS if self.max_keyword_chars is None else self.max_keyword_chars
+        return containers.sizes(self._entries(list(self.keywords), levels=True), {containers.KEYWORD: limit})
 
     def pattern_summary(self) -> DataFrame:
         """Hits per phrase, phrases without a hit included."""
@@ -80,13 +76,13 @@ def triage(
     keyword: str = "",
     exclusive: bool = False,
     pattern: str | None = None,
-    match: str = "first",
+    match: str | None = None,
     **limits: int,
 ) -> Triage:
     """Report over all log files below ``path``.
 
-    ``keyword`` is a comma list of which the first non-empty part counts, or with ``match="any"``
-    all parts. ``limits`` are the size limits of ``LogFiles``.
+    ``keyword`` is a comma list; with several parts, ``match="any"`` takes all and ``match="first"``
+    the first non-empty one. ``limits`` are the size limits of ``LogFiles``.
     """
     files = LogFiles(spark, path, **({"pattern": pattern} if pattern else {}), **limits)
     return Triage(files, tuple(parse_keywords(keyword, match)), exclusive)

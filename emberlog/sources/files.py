@@ -25,10 +25,12 @@ from emberlog.operators.ordering import ROWS_PER_CHUNK
 DEFAULT_PATTERN = "*stderr.gz"
 COMPRESSED_NAME = r"\.(gz|bz2|zst|deflate|lz4|snappy)$"
 
-# Size on disk up to which a file is read as one text. Logs shrink ten- to fortyfold, so a
-# compressed file of this size stays well under the 2 GB a single value may have.
-MAX_COMPRESSED_BYTES = 8 * 1024 * 1024
+# Bytes of text up to which a file is read as one value.
+MAX_TEXT_BYTES = 512 * 1024 * 1024
 MAX_PLAIN_BYTES = 64 * 1024 * 1024
+# How much longer than the file its text can be at most, for formats that have such a bound.
+EXPANSION = {"gz": 1032, "deflate": 1032, "lz4": 255, "snappy": 22}
+BYTE_ORDER_MARK = "\ufeff"
 
 END_OF_FILE = 2**63 - 1
 
@@ -64,7 +66,11 @@ def _container_id() -> Column:
     return F.regexp_replace(F.url_decode(encoded), "^file:/+", "/")
 
 
-def _has_short_header(value: Column) -> Column:
+def _without_mark(value: Column) -> Column:
+    return F.when(F.startswith(value, F.lit(BYTE_ORDER_MARK)), F.substring(value, 2, 2**31 - 1)).otherwise(value)
+
+
+def has_short_header(value: Column) -> Column:
     """The test of ``is_short_header`` on any line of a whole text, in one scan."""
     # A line feed in front lets every header be found by the same plain start of the pattern.
     lines = F.concat(F.lit("\n"), value)
@@ -84,13 +90,16 @@ class LogFiles:
     ``full`` views leave out files with a header of fewer than three tokens, the keyword view
     does not. Unreadable files and files that are not UTF-8 are in neither; see ``quarantine``.
     An unreadable file over the size limit stops the job with its name instead: its lines cannot
-    be taken back once they are read.
+    be taken back once they are read. A byte order mark at the start of a file is dropped.
+
+    A compressed file is read as one text only if its format bounds what it can grow to, so that
+    no text is longer than ``max_text_bytes``; all other files are read as lines.
     """
 
     spark: SparkSession
     path: str
     pattern: str = DEFAULT_PATTERN
-    max_compressed_bytes: int = MAX_COMPRESSED_BYTES
+    max_text_bytes: int = MAX_TEXT_BYTES
     max_plain_bytes: int = MAX_PLAIN_BYTES
     rows_per_chunk: int = ROWS_PER_CHUNK
 
@@ -101,9 +110,11 @@ class LogFiles:
 
     def _is_large(self) -> Column:
         """Uses only what the file listing knows, so files are left out before they are opened."""
-        compressed = F.col("_metadata.file_name").rlike(COMPRESSED_NAME)
-        limit = F.when(compressed, self.max_compressed_bytes).otherwise(self.max_plain_bytes)
-        return F.col("_metadata.file_size") > limit
+        name, size = F.col("_metadata.file_name"), F.col("_metadata.file_size")
+        limit = F.when(~name.rlike(COMPRESSED_NAME), F.lit(self.max_plain_bytes))
+        for ending, factor in EXPANSION.items():
+            limit = limit.when(name.endswith(f".{ending}"), F.lit(self.max_text_bytes // factor))
+        return size > limit.otherwise(F.lit(-1))
 
     # Folders are listed once per kind of reader and object.
 
@@ -137,15 +148,20 @@ class LogFiles:
     def _decompressed(self) -> DataFrame:
         """``(container_id, value)`` of readable files up to the limit. Bytes may be invalid."""
         small = self._whole_texts.filter(~self._is_large())
-        return small.select(_container_id().alias("container_id"), "value")
+        return small.select(_container_id().alias("container_id"), _without_mark(F.col("value")).alias("value"))
 
     def texts(self, full: bool = True) -> DataFrame:
         valid = self._decompressed().filter(F.is_valid_utf8("value"))
-        return valid.filter(~_has_short_header(F.col("value"))) if full else valid
+        return valid.filter(~has_short_header(F.col("value"))) if full else valid
 
     def stream_of_texts(self) -> DataFrame:
-        """Valid texts as a stream of new files. A file over the limit stops the stream."""
-        too_large = F.raise_error(F.concat(F.lit("too large for a stream of whole texts: "), _container_id()))
+        """``(container_id, value, reason)`` as a stream of new files.
+
+        The value is null and the reason given for files that a batch run would read as lines or
+        leave out; they are not lost, as a run of ``triage`` over their paths has them.
+        """
+        reason = F.when(self._is_large(), "too_large").when(~F.is_valid_utf8("value"), "invalid_utf8")
+        reason = reason.when(has_short_header(F.col("value")), "short_header")
         files = (
             self.spark.readStream.option("recursiveFileLookup", "true")
             .option("pathGlobFilter", self.pattern)
@@ -154,10 +170,11 @@ class LogFiles:
             .text(normalised_path(self.path), wholetext=True)
             .select(
                 _container_id().alias("container_id"),
-                F.when(self._is_large(), too_large).otherwise(F.col("value")).alias("value"),
+                _without_mark(F.col("value")).alias("value"),
+                reason.alias("reason"),
             )
         )
-        return files.filter(F.is_valid_utf8("value"))
+        return files.withColumn("value", F.when(F.col("reason").isNull(), F.col("value")))
 
     # --- lines of large files ---------------------------------------------------------------
 
@@ -234,7 +251,7 @@ class LogFiles:
         small = records.segments_from_text(self.texts(full=False))
         return small.unionByName(self._large_segments(self._large_pieces(True))) if self.has_large else small
 
-    def spans(self, keyword: str | list[str], match: str = "first", full: bool = True) -> DataFrame:
+    def spans(self, keyword: str | list[str], match: str | None = None, full: bool = True) -> DataFrame:
         """Keyword spans ``(container_id, hit_no, hit, n_match)``."""
         wanted = parse_keywords(keyword, match)
         small = keywords.spans_from_text(self.texts(full), wanted, "any")
@@ -264,7 +281,7 @@ class LogFiles:
         ``short_header`` files still take part in keyword-only results.
         """
         value = F.col("value")
-        reason = F.when(~F.is_valid_utf8(value), "invalid_utf8").when(_has_short_header(value), "short_header")
+        reason = F.when(~F.is_valid_utf8(value), "invalid_utf8").when(has_short_header(value), "short_header")
         read = self._decompressed().select("container_id", reason.alias("reason"))
         if self.has_large:
             why = F.when(~F.col("valid"), "invalid_utf8").when(F.col("short"), "short_header")

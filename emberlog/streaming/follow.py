@@ -7,6 +7,7 @@ file. Results of earlier runs stay in the output folder; a file that was read is
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from emberlog.functions.text import parse_keywords
@@ -16,9 +17,13 @@ from emberlog.sources.files import DEFAULT_PATTERN, LogFiles
 
 
 def new_rows(spark: SparkSession, path: str, keyword: str = "", pattern: str = DEFAULT_PATTERN) -> DataFrame:
-    """Streaming report rows of the files below ``path``."""
+    """Streaming report rows of the files below ``path``.
+
+    A file that is left out has one row of the section ``Quarantine``, with the reason as its text.
+    """
     texts = LogFiles(spark, path, pattern).stream_of_texts()
-    return report.rows(containers.entries_from_text(texts, parse_keywords(keyword)))
+    entries = containers.entries_from_text(texts, parse_keywords(keyword), left_out=F.col("reason"))
+    return report.rows(entries)
 
 
 def run_once(

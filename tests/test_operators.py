@@ -43,7 +43,7 @@ def test_random_lines(spark, chunked):
     def check(texts):
         named, files, lines = frames(spark, texts)
         if chunked:
-            lines, was_cut = cut_large_groups(lines, "container_id", F.col("n"), 3)
+            lines, was_cut = cut_large_groups(lines, "container_id", [F.col("n")], 3)
             assert was_cut == any(text.count("\n") >= 3 for text in texts)
             chunked_now = was_cut
         else:
@@ -61,9 +61,9 @@ def test_random_lines(spark, chunked):
         assert by_place(records.segments_from_text(files).collect()) == expected
 
         expected = sorted((c, i, h) for c, text in named.items() for i, h in enumerate(machine.spans(text, ["needle"]), 1))
-        found = keywords.spans(pieces, "needle,rest", chunk=chunked_now, rows_per_chunk=2)
+        found = keywords.spans(pieces, "needle,rest", "first", chunk=chunked_now, rows_per_chunk=2)
         assert by_place(found.select("container_id", "hit_no", "hit").collect()) == expected
-        narrow = keywords.spans_from_text(files, "needle,rest")
+        narrow = keywords.spans_from_text(files, "needle,rest", "first")
         assert by_place(narrow.select("container_id", "hit_no", "hit").collect()) == expected
 
     check()
@@ -75,8 +75,9 @@ def test_any_keyword_matches_each_of_them(spark):
     for match, words in (("first", ["one"]), ("any", ["one", "two"])):
         found = keywords.spans_from_text(files, "one,,two", match).orderBy("container_id", "hit_no").collect()
         assert [r.hit for r in found] == [h for text in named.values() for h in machine.spans(text, words)]
-    with pytest.raises(ValueError):
-        fx.parse_keywords("a", "all")
+    for wrong in (("a", "all"), ("a,b",)):
+        with pytest.raises(ValueError):
+            fx.parse_keywords(*wrong)
 
 
 def test_running_counts_with_one_container_holding_most_rows(spark):
@@ -85,7 +86,7 @@ def test_running_counts_with_one_container_holding_most_rows(spark):
     )
     # A burst: half of the large key sits in a small part of the range.
     df = df.withColumn("at", F.when(F.col("at") < 2000, F.col("at") * 1_000_000).otherwise(2 * 10**9 + F.col("at")))
-    cut, was_cut = cut_large_groups(df, "k", F.col("at"), 100)
+    cut, was_cut = cut_large_groups(df, "k", [F.col("at")], 100)
     assert was_cut
     assert cut.groupBy("k", "chunk").count().agg(F.max("count")).first()[0] <= 100
     got = running_counts(cut, "k", ["at"], "chunk", totals=True, n=F.lit(1), even=F.col("at") % 2 == 0)
@@ -94,9 +95,17 @@ def test_running_counts_with_one_container_holding_most_rows(spark):
     assert sorted(map(tuple, got.select(columns).collect())) == sorted(map(tuple, want.select(columns).collect()))
 
 
+def test_burst_at_one_position_is_cut_by_the_next_one(spark):
+    df = spark.range(1000).select(F.lit(1).alias("k"), F.lit(7).cast("long").alias("at"), F.col("id").alias("no"))
+    cut, was_cut = cut_large_groups(df, "k", [F.col("at"), F.col("no")], 100)
+    assert was_cut and cut.groupBy("chunk").count().agg(F.max("count")).first()[0] <= 100
+    got = running_counts(cut, "k", ["at", "no"], "chunk", n=F.lit(1))
+    assert got.filter("n != no + 1").count() == 0
+
+
 def test_small_groups_are_not_cut(spark):
     df = spark.range(50).select(F.lit(1).alias("k"), F.col("id").alias("at"))
-    same, was_cut = cut_large_groups(df, "k", F.col("at"), 50)
+    same, was_cut = cut_large_groups(df, "k", [F.col("at")], 50)
     assert not was_cut and same is df
 
 
@@ -128,25 +137,33 @@ def test_accumulate_keeps_changed_entries(spark):
     swapped = spark.createDataFrame([("a", 1, "ERROR", "x"), ("a", 2, "ERROR", "y")], schema)
     order = spark.createDataFrame([("a", 1, "ERROR", "y"), ("a", 2, "ERROR", "x")], schema)
     assert containers.accumulate(containers.fingerprinted(swapped), containers.fingerprinted(order)).count() == 2
+    # Records that are in no list have no effect, whatever their number.
+    with_more = spark.createDataFrame([("a", 1, "INFO", "no"), ("a", 2, "ERROR", "x"), ("a", 3, "DEBUG", "no"), ("a", 4, "ERROR", "y")], schema)
+    assert containers.accumulate(containers.fingerprinted(swapped), containers.fingerprinted(with_more)).count() == 1
+    for rows_per_chunk in (1, 2, 3):
+        cut = containers.fingerprinted(with_more, chunk=True, rows_per_chunk=rows_per_chunk)
+        assert sorted(cut.collect()) == sorted(containers.fingerprinted(with_more).collect())
+
+
+def test_facts_of_lines_are_those_of_records(spark):
+    lines = [
+        ("c1", 1, "\tat b"), ("c1", 2, "20/06/06 x ERROR Executor: y"), ("c1", 3, "Job aborted due to stage failure"),
+        ("c1", 4, "20/06/06 x INFO z"), ("c1", 5, "\tCaused by: q"), ("c2", 1, "20/06/06 x WARN TaskSetManager"),
+    ]
+    df = spark.createDataFrame(lines, "container_id string, n long, line string")
+    recs = records.records(records.pieces_from_lines(df, ["n"]))
+    facts = records.line_facts(df, ["n"], keywords=["caused by"])
+    assert sorted(containers.summary_of_facts(facts).collect()) == sorted(containers.summary(recs).collect())
+    by_phrase = lambda found: sorted(map(tuple, patterns.summary(found).collect()))
+    assert by_phrase(patterns.hits_of_facts(facts)) == by_phrase(patterns.all_hits(recs))
+    assert {(r.container_id, r.n_hits) for r in keywords.hits_per_container(facts).collect()} == {("c1", 1), ("c2", 0)}
+    with pytest.raises(ValueError):
+        records.phrase_mask(F.col("line"), ["a \t b"])
 
 
 def test_sorted_listing_is_in_key_order(spark):
-    people = [("Doug", "Farrell"), ("Kent", "Brockman"), ("Bunny", "Easter")]
+    people = [("Ada", "Quill"), ("Bo", "Marsh"), ("Cy", "Nettle")]
     df = spark.createDataFrame(people, "fname string, lname string").withColumn("timestamp", fx.now_text())
     rows = containers.sorted_listing(df, "lname").collect()
-    assert [r.lname for r in rows] == ["Brockman", "Easter", "Farrell"]
+    assert [r.lname for r in rows] == ["Marsh", "Nettle", "Quill"]
     assert all(len(r.timestamp) == 19 for r in rows)
-
-
-@SETTINGS
-@given(st.lists(st.text(st.characters(max_codepoint=0x2FFF, exclude_categories=["Cs", "Cn"])), min_size=1, max_size=80))
-def test_printed_length_is_that_of_repr(spark, texts):
-    df = spark.createDataFrame([(t,) for t in texts], "t string")
-    got = df.select("t", fx.python_repr_length(F.col("t")).alias("n")).collect()
-    assert [(r.t, r.n) for r in got] == [(t, len(repr(t))) for t in texts]
-
-
-def test_printed_length_of_special_characters(spark):
-    texts = ["a'b\"c'", "it's", "\\\t\n\r\x00\x7f", " ­ ", "\U000e0001 \U0001f600", ""]
-    df = spark.createDataFrame([(t,) for t in texts], "t string")
-    assert [r[0] for r in df.select(fx.python_repr_length(F.col("t"))).collect()] == [len(repr(t)) for t in texts]

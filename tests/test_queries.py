@@ -1,6 +1,7 @@
 """Every registered query against its SQL on whole tables, in the plain and in the chunked plan."""
 
 import functools
+import re
 
 import duckdb
 import pytest
@@ -8,14 +9,16 @@ from pyspark.sql import functions as F
 
 import __spark_entry__
 from emberlog.plans import suite
+from emberlog.plans.oracle import ORACLE
 
 SF = "/root/testdata/sf0.001"
 TABLES = (
     "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels "
     "conversations"
 ).split()
-QUERIES = __spark_entry__.queries()
-LINE_QUERIES = sorted(set(QUERIES) - {"sorted_listing", "keyword_spans_docs", "file_quarantine"})
+QUERIES = dict(suite.QUERIES)
+TEXT_QUERIES = sorted(name for name in QUERIES if name.startswith("text_")) + ["keyword_any", "keyword_spans_docs"]
+LINE_QUERIES = sorted(set(QUERIES) - {"sorted_listing", "file_quarantine", *TEXT_QUERIES})
 
 
 @pytest.fixture(scope="module")
@@ -28,7 +31,7 @@ def sql():
 
 def same(spark, sql, name):
     frame = QUERIES[name](spark, SF)
-    result = sql.execute(__spark_entry__.oracle_sql()[name])
+    result = sql.execute(ORACLE[name])
     names = [column[0] for column in result.description]
     assert sorted(names) == sorted(frame.columns)
     want = sorted(result.fetchall(), key=repr)
@@ -37,7 +40,7 @@ def same(spark, sql, name):
 
 
 def test_every_query_has_sql():
-    assert set(__spark_entry__.oracle_sql()) == set(QUERIES)
+    assert set(ORACLE) == set(QUERIES)
 
 
 @pytest.mark.parametrize("name", sorted(QUERIES))
@@ -76,7 +79,22 @@ def test_plain_record_assembly_shuffles_once(spark):
 
 
 def test_whole_texts_are_not_shuffled(spark):
-    assert "Exchange" not in plan_of(QUERIES["keyword_spans_docs"](spark, SF))
+    for name in sorted(set(TEXT_QUERIES) - {"text_containers"}):
+        assert "Exchange" not in plan_of(QUERIES[name](spark, SF)), name
+
+
+def test_counts_shuffle_no_text(spark):
+    for name in ("header_flag", "level_counts", "container_summary", "report_json", "keyword_container", "pattern_summary", "pattern_summary_merged"):
+        execution = QUERIES[name](spark, SF)._jdf.queryExecution()
+        plan = spark._jvm.PythonSQLUtils.explainString(execution, "formatted")
+        moved = re.findall(r"\(\d+\) Exchange\nInput \[\d+\]: \[(.*)\]", plan)
+        assert moved and not any(re.search(r"\b(line|props|record|raw)#", columns) for columns in moved), name
+        assert "collect_list" not in plan, name
+
+
+def test_runs_that_differ_are_both_read(spark):
+    frame = QUERIES["container_dedup"](spark, SF)
+    assert "Union" in frame._jdf.queryExecution().optimizedPlan().toString()
 
 
 def test_scans_read_only_the_columns_they_need(spark):

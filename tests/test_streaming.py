@@ -4,8 +4,6 @@ import json
 from emberlog.plans.triage import triage
 from emberlog.streaming.follow import run_once
 
-import pytest
-
 
 def rows_of(folder):
     found = []
@@ -30,18 +28,23 @@ def test_runs_add_up_to_the_report(spark, tmp_path):
     put("short", "20/06/06 x\n")
     run_once(spark, str(logs), str(out), str(state), "needle").awaitTermination()
     run_once(spark, str(logs), str(out), str(state), "needle").awaitTermination()
-    report = triage(spark, str(logs), "needle").rows().collect()
-    assert rows_of(out) == sorted((tuple(r) for r in report), key=repr)
+    run = triage(spark, str(logs), "needle")
+    report = [tuple(r) for r in run.rows().collect()]
     assert len(report) == 6
+    left_out = [("Quarantine", None, r.container_id, 0, r.reason) for r in run.quarantine().collect()]
+    assert [r[4] for r in left_out] == ["short_header"]
+    assert rows_of(out) == sorted(report + left_out, key=repr)
 
 
-def test_file_over_the_limit_stops_the_stream(spark, tmp_path, monkeypatch):
+def test_file_over_the_limit_is_named_and_the_stream_goes_on(spark, tmp_path, monkeypatch):
     from emberlog.streaming import follow
 
     (tmp_path / "logs").mkdir()
     (tmp_path / "logs" / "stderr.gz").write_bytes(gzip.compress(b"20/06/06 x ERROR y\n"))
-    small = lambda *args: follow_files(*args, max_compressed_bytes=10)
+    (tmp_path / "logs" / "mystderr.gz").write_bytes(gzip.compress(b"20/06/06 x ERROR long " + bytes(range(65, 91)) * 40))
+    small = lambda *args: follow_files(*args, max_text_bytes=60 * 1032)
     follow_files = follow.LogFiles
     monkeypatch.setattr(follow, "LogFiles", small)
-    with pytest.raises(Exception, match="too large"):
-        run_once(spark, str(tmp_path / "logs"), str(tmp_path / "out"), str(tmp_path / "state")).awaitTermination()
+    run_once(spark, str(tmp_path / "logs"), str(tmp_path / "out"), str(tmp_path / "state")).awaitTermination()
+    found = {(section, path.rsplit("/", 1)[1], text) for section, _, path, _, text in rows_of(tmp_path / "out")}
+    assert found == {("ERROR", "stderr.gz", "20/06/06 x ERROR y \t  \t "), ("Quarantine", "mystderr.gz", "too_large")}
