@@ -2,8 +2,8 @@
 
 Categories are predicted in order, and the probability of each earlier one is a feature of the later ones. While the
 chain is trained, a later model sees out-of-fold probabilities: those of models that were fitted without the document.
-A model is a logistic regression with ridge penalty over the presence of words, of words' beginnings (4 and 5 bytes)
-and a few measures of form. The most telling of the words and beginnings are chosen on the training part alone.
+A model is a logistic regression with ridge penalty over the presence of words and of words' beginnings (4 and 5
+bytes), over which of them are dense (repeated, and at least ``DENSE`` of all words), and a few measures of form. The most telling of the words and beginnings are chosen on the training part alone.
 
 The chain is fitted in one task on at most about ``SAMPLE`` labelled documents, chosen by a hash of their identifier:
 the bound is a parameter. Everything else covers all documents and whole texts.
@@ -34,10 +34,13 @@ SAMPLE = 10_000
 FOLDS, FEATURES, RIDGE, STEPS = 5, 384, 1.0, 12
 #: Bytes of the words' beginnings that are features.
 HEADS = (4, 5)
+#: Share of a text's words from which a word or beginning that repeats counts as dense.
+DENSE = 0.007
 #: A word or beginning is a feature if so many training documents have it.
 LEAST = 5
 FORMS = 7
 
+DENSE_SALT = np.uint64(0x5BE0CD19137E2179)
 #: Kinds of bytes: capitals 1, marks 2, digits 3, others 0.
 KIND = np.zeros(256, np.uint8)
 KIND[65:91] = 1
@@ -66,7 +69,10 @@ def features(column: pa.Array) -> Iterator[tuple[np.ndarray, np.ndarray]]:
                 often.max() / n if n else 0.0,
                 (part.hashes[at][1:] == part.hashes[at][:-1]).mean() if n > 1 else 0.0,
             ]
-            yield np.unique(np.concatenate([own, *(h[at] for h in heads)])), np.array(form)
+            begins, repeats = np.unique(np.concatenate([h[at] for h in heads]), return_counts=True)
+            every, times = np.concatenate([own, begins]), np.concatenate([often, repeats])
+            dense = mixed(every[(times > 1) & (times >= DENSE * n)] ^ DENSE_SALT)
+            yield np.unique(np.concatenate([every, dense])), np.array(form)
 
 
 @dataclass
