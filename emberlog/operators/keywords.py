@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from emberlog.functions.text import any_keyword, keyword_span, parse_keywords, trim_first_tab
@@ -49,6 +49,28 @@ def spans(
     return _trimmed(found, wanted)
 
 
+def spans_of_each(
+    pieces: DataFrame, keywords: list[str], chunk: bool = False, rows_per_chunk: int = ROWS_PER_CHUNK
+) -> DataFrame:
+    """``(keyword, container_id, hit_no, hit)``: the spans of each keyword on its own, from one assembly."""
+    has = {f"_hit{i}": any_keyword(F.col("raw"), [keyword]) for i, keyword in enumerate(keywords)}
+    found = pieces.withColumns(has).filter(" or ".join(has))
+    if chunk:
+        found = found.withColumn("_part", record_chunk(rows_per_chunk))
+    numbers = {f"_no{i}": F.col(f"_hit{i}") for i in range(len(keywords))}
+    numbered = running_counts(found, "container_id", ["rec_no"], "_part" if chunk else None, **numbers)
+
+    def span(i: int, keyword: str) -> Column:
+        number = F.col(f"_no{i}")
+        hit = trim_first_tab(number, keyword_span(F.col("raw"), [keyword]))
+        return F.when(F.col(f"_hit{i}"), F.struct(F.lit(keyword).alias("keyword"), number.alias("hit_no"), hit.alias("hit")))
+
+    each = F.array_compact(F.array(*[span(i, keyword) for i, keyword in enumerate(keywords)]))
+    return numbered.select("container_id", F.explode(each).alias("_span")).select(
+        "_span.keyword", "container_id", "_span.hit_no", "_span.hit"
+    )
+
+
 def _trimmed(found: DataFrame, wanted: list[str]) -> DataFrame:
     hit = keyword_span(F.col("raw"), wanted)
     matching = F.filter(F.split("raw", "\n", -1), lambda line: any_keyword(line, wanted))

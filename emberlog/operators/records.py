@@ -57,13 +57,21 @@ def number_lines(lines: DataFrame, order: Sequence[str], chunk: str | None = Non
     )
 
 
-def pieces_from_lines(lines: DataFrame, order: Sequence[str], chunk: str | None = None) -> DataFrame:
+def pieces_from_lines(
+    lines: DataFrame, order: Sequence[str], chunk: str | None = None, levels: Sequence[str] = ()
+) -> DataFrame:
     """``(container_id, line, <order>)`` to pieces.
 
-    Without chunks one shuffle by container serves the numbering and the grouping.
+    Without chunks one shuffle by container serves the numbering and the grouping. With ``levels``,
+    lines of records of other levels are dropped before records are assembled.
     """
     raw = _joined_in_order("line_no", "line", "\n")
-    grouped = number_lines(lines, order, chunk).groupBy("container_id", "rec_no").agg(raw.alias("raw"))
+    numbered = number_lines(lines, order, chunk)
+    if levels:
+        own = F.max(F.when(is_header(F.col("line")), header_level(F.col("line"))))
+        numbered = numbered.withColumn("_level", own.over(Window.partitionBy("container_id", "rec_no")))
+        numbered = numbered.filter(F.col("_level").isin(*levels))
+    grouped = numbered.groupBy("container_id", "rec_no").agg(raw.alias("raw"))
     return _with_level(grouped)
 
 

@@ -40,6 +40,7 @@ def as_json(df: DataFrame, key: str = "container_id", column: str = "json") -> D
     return df.select(key, F.to_json(F.struct(*sorted(df.columns))).alias(column))
 
 
-def write_json(df: DataFrame, path: str, partition_by: str = "section") -> None:
-    """Write rows as JSON lines, keys in alphabetical order, one folder per section."""
-    df.select(*sorted(df.columns)).write.mode("errorifexists").partitionBy(partition_by).json(path)
+def write_json(df: DataFrame, path: str, partition_by: str | None = "section") -> None:
+    """Write rows as JSON lines, keys in alphabetical order, with one folder per section if asked for."""
+    writer = df.select(*sorted(df.columns)).write.mode("errorifexists")
+    (writer.partitionBy(partition_by) if partition_by else writer).json(path)

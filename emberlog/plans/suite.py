@@ -64,11 +64,11 @@ class LogView:
     def numbered(self) -> DataFrame:
         return records.number_lines(self.lines, LINE_ORDER, self.chunk)
 
-    def pieces(self) -> DataFrame:
-        return records.pieces_from_lines(self.lines, LINE_ORDER, self.chunk)
+    def pieces(self, *levels: str) -> DataFrame:
+        return records.pieces_from_lines(self.lines, LINE_ORDER, self.chunk, levels)
 
-    def records(self) -> DataFrame:
-        return records.records(self.pieces())
+    def records(self, *levels: str) -> DataFrame:
+        return records.records(self.pieces(*levels))
 
     def segments(self) -> DataFrame:
         return records.merge_gaps(self.records(), self.is_cut, self.rows_per_chunk)
@@ -145,19 +145,19 @@ def level_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @registered
 def error_records(spark: SparkSession, sf_dir: str) -> DataFrame:
-    recs = LogView(spark, sf_dir).records()
+    recs = LogView(spark, sf_dir).records("ERROR")
     return records.of_level(recs, "ERROR").select("container_id", "rec_no", "record")
 
 
 @registered
 def warn_records(spark: SparkSession, sf_dir: str) -> DataFrame:
-    recs = LogView(spark, sf_dir).records()
+    recs = LogView(spark, sf_dir).records("WARN")
     return records.of_level(recs, "WARN").select("container_id", "rec_no", "record")
 
 
 @registered
 def info_caused_by(spark: SparkSession, sf_dir: str) -> DataFrame:
-    recs = LogView(spark, sf_dir).records()
+    recs = LogView(spark, sf_dir).records("INFO")
     return records.of_level(recs, "INFO").select("container_id", "rec_no", "record")
 
 
@@ -171,12 +171,12 @@ def level_gap_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @registered
 def error_pattern_hits(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return patterns.hits(LogView(spark, sf_dir).records(), "ERROR").drop("kind")
+    return patterns.hits(LogView(spark, sf_dir).records("ERROR"), "ERROR").drop("kind")
 
 
 @registered
 def warn_pattern_hits(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return patterns.hits(LogView(spark, sf_dir).records(), "WARN").drop("kind")
+    return patterns.hits(LogView(spark, sf_dir).records("WARN"), "WARN").drop("kind")
 
 
 @registered
@@ -227,11 +227,7 @@ def sorted_listing(spark: SparkSession, sf_dir: str) -> DataFrame:
 @registered
 def keyword_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
     view = LogView(spark, sf_dir)
-    first, second = (
-        view.spans(keyword).select(F.lit(keyword).alias("keyword"), "container_id", "hit_no", "hit")
-        for keyword in SPAN_KEYWORDS
-    )
-    return first.unionByName(second)
+    return keywords.spans_of_each(view.pieces(), list(SPAN_KEYWORDS), view.is_cut, view.rows_per_chunk)
 
 
 @registered

@@ -63,8 +63,15 @@ class Triage:
         return found.filter(F.col("reason") != "short_header") if self.exclusive else found
 
     def write(self, path: str) -> None:
-        """Write all sections as JSON lines, one folder per section."""
-        report.write_json(self.rows(), path)
+        """Write the report as JSON lines below ``path``.
+
+        ``rows`` has a folder per section; ``containers`` has every container that was read, also one
+        without any result; ``patterns`` every phrase, also one without a hit; ``sizes`` and ``quarantine``.
+        """
+        report.write_json(self.rows(), f"{path}/rows")
+        parts = {"containers": self.container_summary(), "patterns": self.pattern_summary(), "sizes": self.sizes(), "quarantine": self.quarantine()}
+        for name, part in parts.items():
+            report.write_json(part, f"{path}/{name}", None)
 
     def _entries(self, keywords: list[str], levels: bool) -> DataFrame:
         return self.files.entries(keywords, levels and not self.exclusive, full=not self.exclusive)

@@ -237,12 +237,16 @@ def test_json_sink(spark, folder, tmp_path):
 
     target = tmp_path / "out"
     triage(spark, folder, "needle").write(str(target))
-    errors = [json.loads(line) for part in (target / "section=ERROR").glob("part-*") for line in part.open()]
+    errors = [json.loads(line) for part in (target / "rows" / "section=ERROR").glob("part-*") for line in part.open()]
     assert all(list(row) == sorted(row) for row in errors)
     texts = expected(folder)
     assert sorted((r["container_id"], r["text"]) for r in errors) == sorted(
         (name, record) for name, text in texts.items() for level, record in machine.kept(text) if level == "ERROR"
     )
+    saved = {name: spark.read.json(str(target / name)) for name in ("containers", "patterns", "sizes", "quarantine")}
+    assert {r.container_id for r in saved["containers"].collect()} == set(texts)
+    assert saved["patterns"].count() == 33 and saved["sizes"].count() == 2
+    assert {r.reason for r in saved["quarantine"].collect()} == {"unreadable", "invalid_utf8", "short_header"}
 
 
 def test_paths(spark):
