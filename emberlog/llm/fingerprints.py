@@ -28,8 +28,6 @@ from emberlog.llm.hamming import classes
 from emberlog.llm.words import mixed, shingles, words
 
 WIDTH, RADIUS = 3, 3
-#: Ranges of identifiers for each shuffle partition, so that partitions are of about the same size.
-RANGES = 4
 #: Code points of 1 / EDITED of a text are replaced in its edited form.
 EDITED = 3
 
@@ -75,15 +73,14 @@ def neighbours(docs: DataFrame) -> DataFrame:
     """Rows in ranges of ``doc_id``, each range from the highest to the lowest, and then the row that follows.
 
     ``bucket``, ``ghost`` (true for the row that follows the range), ``doc_id``, ``text``. The texts are shuffled once. Where
-    ranges begin comes from quantiles of the identifiers, ``RANGES`` for each shuffle partition; what follows a
+    ranges begin comes from quantiles of the identifiers, one for each shuffle partition; what follows a
     range is the highest row of the next lower one that has rows, and after the lowest comes the highest of all.
     """
     spark = docs.sparkSession
     parts = partitions(spark)
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
     order = F.coalesce(F.col("doc_id"), F.lit(-(1 << 63)))
-    ranges = RANGES * parts
-    shares = [i / ranges for i in range(1, ranges)]
+    shares = [i / parts for i in range(1, parts)]
     bounds = np.array((rows.select(F.percentile_approx("doc_id", shares, 20_000).alias("q")).first()["q"] if shares else None) or [], np.int64)
 
     @F.pandas_udf("long")
@@ -92,12 +89,12 @@ def neighbours(docs: DataFrame) -> DataFrame:
 
     rows = rows.select(bucket_of(order).alias("bucket"), order.alias("place"), F.xxhash64("text").alias("digest"), "doc_id", "text")
     heads = cut(rows.groupBy("bucket").agg(F.max_by(F.struct("place", "digest", "doc_id", "text"), F.struct("place", "digest")).alias("head")))
-    used = sorted(r["bucket"] for r in heads.select("bucket").collect())  # at most RANGES numbers for each shuffle partition
+    used = sorted(r["bucket"] for r in heads.select("bucket").collect())  # at most one number for each shuffle partition
     before = spark.createDataFrame(list(zip(used, used[1:] + used[:1], strict=True)), "bucket long, goes long")
     ghosts = heads.join(F.broadcast(before), "bucket").select(F.col("goes").alias("bucket"), F.lit(True).alias("ghost"), "head.*")
     both = rows.select("bucket", F.lit(False).alias("ghost"), "place", "digest", "doc_id", "text").unionByName(ghosts)
     return (
-        both.repartition(parts, "bucket")
+        both.repartitionById(parts, F.col("bucket").cast("int"))
         .sortWithinPartitions("bucket", "ghost", F.desc("place"), F.desc("digest"))
         .select("ghost", "doc_id", "text")
     )
