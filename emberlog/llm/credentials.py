@@ -23,6 +23,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from emberlog.llm.common import small
+
 #: Code points between two parts of a credential at most.
 REACH = 400
 #: Kinds in the order of spans that begin together; the first three are the base.
@@ -122,7 +124,7 @@ def scan(docs: DataFrame) -> DataFrame:
     schema = "doc_id long, n_assign long, n_access long, n_hex long, base_sha256 string, spans string, n_weak long, n_links long"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in small(batches):
             rows = [found(text.as_py()) for text in batch.column(1)]
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0), *(pa.array([r[n] for r in rows], pa.string() if n in ("base_sha256", "spans") else pa.int64()) for n in names)],

@@ -24,6 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from emberlog.llm.common import small
 from emberlog.llm.words import Words, shingles, words
 
 WIDTH = 3
@@ -117,7 +118,7 @@ def occurrences(docs: DataFrame, items: Items) -> np.ndarray:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         block = shared.value
         total = np.zeros(len(block.vocabulary), np.int64)
-        for batch in batches:
+        for batch in small(batches):
             for part in words(batch.column(0)):
                 some = part.hashes[block.word_sieve[part.hashes >> np.uint64(64 - SIEVE)]]
                 number = np.minimum(np.searchsorted(block.vocabulary, some), len(total) - 1)
@@ -215,7 +216,7 @@ def searched(spark: SparkSession, items: Items, threshold: float):  # noqa: ANN2
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known: dict = {}
-        for batch in batches:
+        for batch in small(batches):
             found = list(matches(batch.column(1), shared.value, threshold, known))
             yield pa.RecordBatch.from_arrays(
                 [
@@ -239,7 +240,7 @@ def keep_clean(docs: DataFrame, benchmark: DataFrame, threshold: float = THRESHO
 
         def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:  # noqa: ANN001
             known: dict = {}
-            for batch in batches:
+            for batch in small(batches):
                 keep = np.ones(batch.num_rows, bool)
                 keep[[f[0] for f in matches(batch.column(place), shared.value, threshold, known)]] = False
                 yield batch.filter(pa.array(keep))

@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from emberlog.llm.common import cut, partitions
+from emberlog.llm.common import cut, partitions, small
 from emberlog.llm.hamming import classes
 from emberlog.llm.words import mixed, shingles, words
 
@@ -106,9 +106,7 @@ SCHEMA = "doc_id long, n_chars long, edited_sha256 string, fp long, edited_fp lo
 def compared(batches: Iterator[pa.RecordBatch], width: int = WIDTH) -> Iterator[pa.RecordBatch]:
     """Each row with the one that follows it in ``neighbours``."""
     held: tuple[bool, int | None, str, np.uint64] | None = None
-    for batch in batches:
-        if not batch.num_rows:
-            continue
+    for batch in small(batches):
         ghost = batch.column(0).to_pylist()
         ids = batch.column(1).to_pylist()
         fps = fingerprint(batch.column(2), width)

@@ -29,7 +29,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from emberlog.llm.common import cut, pieces, texts
+from emberlog.llm.common import cut, pieces, small, texts
 
 DIMENSIONS = 4096
 #: Centroids of a language, and training documents that they are fitted on at most, about.
@@ -153,7 +153,7 @@ def train(docs: DataFrame, folds: int = FOLDS, sample: int = SAMPLE) -> Model:
 
     def frequencies(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         present = np.zeros(DIMENSIONS + 1, np.int64)  # last: documents with letters
-        for batch in batches:
+        for batch in small(batches):
             for text in filter(has_letter, texts(batch.column(0))):
                 count = counts(text)
                 present[:-1] += count > 0
@@ -170,7 +170,7 @@ def train(docs: DataFrame, folds: int = FOLDS, sample: int = SAMPLE) -> Model:
     chosen = known.join(per_language, "lang").where(F.pmod("order", F.lit(1_000_003)) / 1_000_003.0 < share)
 
     def vectors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in small(batches):
             told = list(texts(batch.column(2)))
             keep = [i for i, t in enumerate(told) if has_letter(t)]
             found = {i: counts(told[i]) for i in keep}
@@ -215,7 +215,7 @@ def identify(docs: DataFrame, folds: int = FOLDS, sample: int = SAMPLE) -> DataF
     model = docs.sparkSession.sparkContext.broadcast(train(docs, folds, sample))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in small(batches):
             found = [model.value.predict(t) for t in texts(batch.column(2))]
             yield pa.RecordBatch.from_arrays(
                 [
@@ -238,7 +238,7 @@ def keep_known(docs: DataFrame, folds: int = FOLDS, sample: int = SAMPLE) -> Dat
     place = docs.columns.index("text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in small(batches):
             low = pc.utf8_lower(pc.fill_null(batch.column(place).cast(pa.large_string()), ""))
             yield batch.filter(pa.array([not model.value.predict(t)[2] for t in texts(low)], pa.bool_()))
 

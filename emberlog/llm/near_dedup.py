@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 from xxhash import xxh64_intdigest
 
-from emberlog.llm.common import cut, pieces, texts
+from emberlog.llm.common import cut, pieces, small, texts
 from emberlog.llm.hamming import classes
 
 SHINGLE, RADIUS, SEED = 4, 4, 42
@@ -127,7 +127,7 @@ def fingerprints(docs: DataFrame, width: int = SHINGLE) -> DataFrame:
     """``doc_id`` and ``fp`` (the fingerprint's bits as a long) of each row."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in small(batches):
             values = np.array([simhash(t, width) for t in texts(batch.column(1))], np.uint64)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(values.view(np.int64))], ["doc_id", "fp"])
 

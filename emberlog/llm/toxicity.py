@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from emberlog.llm.common import buffers, cut
+from emberlog.llm.common import buffers, cut, small
 from emberlog.llm.words import mixed, words
 
 #: Labelled documents that the chain is fitted on at most, about.
@@ -214,7 +214,7 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Chain:
     """The chain ``low_quality``, ``toxic``."""
 
     def measured(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in small(batches):
             found = list(features(batch.column(0)))
             yield pa.RecordBatch.from_arrays(
                 [*(batch.column(i) for i in (1, 2, 3)), pa.array([p.tobytes() for p, _ in found], pa.binary()), pa.array([d.tobytes() for _, d in found], pa.binary())],
@@ -244,7 +244,7 @@ def score(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> DataFrame
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         chain: Chain = shared.value
-        for batch in batches:
+        for batch in small(batches):
             ids, found = [], []
             held: list[tuple[np.ndarray, np.ndarray]] = []
             for pair in [*features(batch.column(1)), None]:
