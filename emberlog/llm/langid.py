@@ -29,7 +29,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from emberlog.llm.common import cut, pieces, small, texts
+from emberlog.llm.common import cut, if_small, pieces, small, texts
 
 DIMENSIONS = 4096
 #: Centroids of a language, and training documents that they are fitted on at most, about.
@@ -167,7 +167,7 @@ def train(docs: DataFrame, folds: int = FOLDS, sample: int = SAMPLE) -> Model:
 
     per_language = cut(known.groupBy("lang").agg(F.count("*").alias("rows")))
     share = F.least(F.lit(1.0), F.lit(float(sample)) / F.col("rows"))
-    chosen = known.join(per_language, "lang").where(F.pmod("order", F.lit(1_000_003)) / 1_000_003.0 < share)
+    chosen = known.join(if_small(per_language), "lang").where(F.pmod("order", F.lit(1_000_003)) / 1_000_003.0 < share)
 
     def vectors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in small(batches):
