@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from emberlog.llm import credentials, decontaminate, fingerprints, langid, licenses, line_dedup, mixing, near_dedup, toxicity, warc
+from emberlog.llm import credentials, decontaminate, fim, fingerprints, langid, licenses, line_dedup, mixing, near_dedup, toxicity, warc, whitening
 from emberlog.llm.common import table
 
 
@@ -50,6 +50,14 @@ def op10_simhash_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprints.fingerprinted(table(spark, sf_dir, "documents"))
 
 
+def op12_piece_table_fim(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fim.digests(table(spark, sf_dir, "documents"))
+
+
+def op13_lanczos_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitening.whiten(table(spark, sf_dir, "embeddings"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_credential_links": op1_credential_links,
     "op2_simhash_near_dedup": op2_simhash_near_dedup,
@@ -61,10 +69,13 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_benchmark_decontamination": op8_benchmark_decontamination,
     "op9_nearest_centroid_language": op9_nearest_centroid_language,
     "op10_simhash_fingerprints": op10_simhash_fingerprints,
+    "op12_piece_table_fim": op12_piece_table_fim,
+    "op13_lanczos_whitening": op13_lanczos_whitening,
 }
 ORACLE: dict[str, str] = {
     "op7_positional_license_index": licenses.SQL,
     "op6_log_template_line_dedup": line_dedup.SQL,
+    "op12_piece_table_fim": fim.SQL,
     "op3_warc_chunk_table": """
         with p as (select page_id, coalesce(html, '') as body from pages),
         d as (select page_id, octet_length(encode(body)) as n, sha1(body) as h from p),
