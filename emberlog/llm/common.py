@@ -5,13 +5,13 @@ from __future__ import annotations
 import os
 import re
 import tempfile
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: White space between words, as ``bytes.split()`` takes it: blank and 0x09 to 0x0D.
@@ -64,6 +64,31 @@ def if_small(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
     return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
 
 
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body`` of ``value``, which is evaluated once: a lambda's variable is never put in place of its uses."""
+    return F.transform(F.array(value), body).getItem(0)
+
+
+def running(steps: Column, block: int = 256) -> Column:
+    """Running sums of an array of longs, in time that grows with its length.
+
+    Appending to an array copies it, so sums are made inside blocks, and blocks begin with the sums of those before.
+    """
+
+    def sums(part: Column, start: Column) -> Column:
+        return F.aggregate(part, F.array(start), lambda done, step: F.concat(done, F.array(F.element_at(done, -1) + step)))
+
+    def of_blocks(parts: Column) -> Column:
+        totals = F.transform(parts, lambda part: F.aggregate(part, F.lit(0).cast("long"), lambda a, b: a + b))
+        return let(sums(totals, F.lit(0).cast("long")), lambda before: F.flatten(F.transform(parts, lambda part, i: let(sums(part, F.get(before, i)), lambda s: F.slice(s, 2, F.size(part))))))
+
+    def cut_up(steps: Column) -> Column:
+        numbers = F.sequence(F.lit(0), F.greatest(F.size(steps) - 1, F.lit(0)), F.lit(block))
+        return let(F.transform(numbers, lambda at: F.slice(steps, at + 1, F.lit(block))), of_blocks)
+
+    return let(F.transform(steps, lambda step: step.cast("long")), cut_up)
+
+
 def small(batches: Iterator[pa.RecordBatch], rows: int = 1000) -> Iterator[pa.RecordBatch]:
     """The batches in slices, so that what is made of a batch at once stays small."""
     for batch in batches:

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from emberlog.llm import credentials, decontaminate, fim, fingerprints, langid, licenses, line_dedup, mixing, near_dedup, toxicity, warc, whitening
+from emberlog.llm import credentials, decontaminate, fim, fingerprints, langid, licenses, line_dedup, mixing, near_dedup, pii, toxicity, warc, whitening
 from emberlog.llm.common import table
 
 
@@ -50,6 +50,10 @@ def op10_simhash_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprints.fingerprinted(table(spark, sf_dir, "documents"))
 
 
+def op11_boosted_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.scan(table(spark, sf_dir, "documents"))
+
+
 def op12_piece_table_fim(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fim.digests(table(spark, sf_dir, "documents"))
 
@@ -69,6 +73,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_benchmark_decontamination": op8_benchmark_decontamination,
     "op9_nearest_centroid_language": op9_nearest_centroid_language,
     "op10_simhash_fingerprints": op10_simhash_fingerprints,
+    "op11_boosted_pii": op11_boosted_pii,
     "op12_piece_table_fim": op12_piece_table_fim,
     "op13_lanczos_whitening": op13_lanczos_whitening,
 }
