@@ -3,7 +3,8 @@
 from __future__ import annotations
 
 from emberlog.catalogue import CATALOGUE
-from emberlog.plans.suite import DOCUMENT_KEYWORD, RARE_KEYWORD, SMALL_LIMIT, SPAN_KEYWORDS, TEXT_KEYWORD
+from emberlog.plans.nested import MAX_CHARS
+from emberlog.plans.suite import DOCUMENT_KEYWORD, PART_CHARS, RARE_KEYWORD, SMALL_LIMIT, SPAN_KEYWORDS, TEXT_KEYWORD
 
 HEADER_TEST = "regexp_matches(line, '^([0-9]{2}/[0-9]{2}/[0-9]{2}|[0-9]{4}-[0-9]{2}-[0-9]{2})')"
 SEP = "(' ' || chr(9) || ' ')"
@@ -156,6 +157,49 @@ def text_spans(test: str) -> str:
     return spans(TEXT_KEYWORD).replace(f"contains(lower(line), {text(TEXT_KEYWORD)})", test)
 
 
+def nested_rows(ids: str, max_chars: int, limit: int = 135_000_000, withhold: bool = False) -> str:
+    """Nested report: ``segs``, ``spans`` and ``phrases`` are given. All nested values are JSON texts with sorted keys."""
+
+    def one(section: str) -> str:
+        return f"coalesce(cast(to_json(list(text order by ord) filter (where section = '{section}')) as varchar), '[]')"
+
+    def bucket(section: str) -> str:
+        return f"""'{{' || coalesce((select string_agg(cast(to_json(pattern) as varchar) || ':' || texts, ',' order by pattern) from (
+    select pattern, cast(to_json(list(text order by ord)) as varchar) as texts from cut_up c
+    join phrases p on c.pattern_no = p.pattern_no and p.kind = '{'ERROR' if section == 'SpecificError' else 'WARN'}'
+    where c.container_id = n.container_id and c.part_no = n.part_no and section = '{section}' group by pattern)), '') || '}}'"""
+
+    return f"""all_entries as (
+  select container_id, 'container' as section, -1 as pattern_no, 0 as ord, '' as text from {ids}
+  union all select container_id, level, -1, seg, record from segs where {KEPT}
+  union all select container_id, case kind when 'ERROR' then 'SpecificError' else 'SpecificWarn' end, pattern_no, seg, record
+    from segs join phrases on level = kind and contains(record, pattern)
+  union all select container_id, 'Keyword', -1, hit_no, hit from spans),
+sizes as (
+  select cast(coalesce(sum(length(text)) filter (where section in {KNOWN}), 0) as bigint) as res_len,
+    cast(coalesce(sum(length(text)) filter (where section = 'Keyword'), 0) as bigint) as all_len from all_entries),
+own_size as (select res_len, all_len, cast(all_len > {limit} as int) as flag from sizes),
+left_in as (select a.* from all_entries a, own_size where not ({withhold} and flag = 1 and section = 'Keyword')),
+widths as (select greatest({max_chars} - max(length(text) + 1), 1) as width from left_in),
+cut_up as (
+  select l.*, cast((sum(length(text) + 1) over (partition by container_id order by section, pattern_no, ord) - length(text) - 1) // width as bigint) as part_no
+  from left_in l, widths),
+n as (
+  select container_id, part_no, '{{"ERROR":' || {one('ERROR')} || ',"INFO":' || {one('INFO')} || ',"WARN":' || {one('WARN')} || '}}' as res, {one('Keyword')} as kw
+  from cut_up group by container_id, part_no),
+nested as (
+  select container_id, part_no, res, {bucket('SpecificError')} as "SpecificError", {bucket('SpecificWarn')} as "SpecificWarn", kw as "Keyword", res_len as "resLen",
+    case when {withhold} and flag = 1 then 0 else all_len end as "KeywordLen", flag
+  from n, own_size)"""
+
+
+DOCUMENT = """select container_id, part_no, '{"Keyword":' || "Keyword" || ',"KeywordLen":' || "KeywordLen" || ',"SpecificError":' || "SpecificError"
+  || ',"SpecificWarn":' || "SpecificWarn" || ',"container_id":' || container_id || ',"flag":' || flag || ',"part_no":' || part_no
+  || ',"res":' || res || ',"resLen":' || "resLen" || '}' as json from nested"""
+
+IDS = "(select distinct container_id from log_lines)"
+
+
 ORACLE: dict[str, str] = {
     "log_line_scan": f"with {lines()} select container_id, line_no, line from log_lines",
     "header_flag": f"""with {lines()}, {numbered()}
@@ -220,6 +264,12 @@ select 'Keyword', null, container_id, hit_no, hit from spans""",
     "report_json": f"""{RECORDS}, counts as ({container_counts()})
 select container_id, '{{"container_id":' || container_id || ',"n_chars":' || n_chars || ',"n_error":' || n_error
   || ',"n_info_kept":' || n_info_kept || ',"n_warn":' || n_warn || '}}' as json from counts""",
+    "report_nested": f"""{MERGED}, {PHRASES}, {spans(SPAN_KEYWORDS[1])},
+{nested_rows(IDS, PART_CHARS)} select * from nested""",
+    "report_documents": f"""{MERGED}, {PHRASES}, {spans(SPAN_KEYWORDS[0])},
+{nested_rows(IDS, MAX_CHARS)} {DOCUMENT}""",
+    "text_documents": f"""with {LOGS}, {numbered()}, {assembled()}, {SEGMENTS}, {PHRASES}, {spans(TEXT_KEYWORD)},
+{nested_rows(IDS, MAX_CHARS, SMALL_LIMIT, True)} {DOCUMENT}""",
     "payload_guard": f"""{MERGED}, {spans(SPAN_KEYWORDS[0])},
 kw as (select count(*) as n_items, coalesce(sum(length(hit)), 0) as n_chars from spans),
 res as (select count(*) as n_items, coalesce(sum(length(record)), 0) as n_chars from segs where {KEPT})

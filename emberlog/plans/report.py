@@ -17,6 +17,11 @@ BUCKETS = {"ERROR": "SpecificError", "WARN": "SpecificWarn"}
 
 def rows(entry_rows: DataFrame) -> DataFrame:
     """Entries as report rows; a record is repeated for every phrase it contains. No shuffle."""
+    return placed(entry_rows.filter(F.col("section") != MARKER))
+
+
+def placed(entry_rows: DataFrame) -> DataFrame:
+    """The same with the rows that make a container appear."""
     place = "struct<section:string,pattern_no:bigint>"
     section, text = F.col("section"), F.col("text")
 
@@ -29,8 +34,7 @@ def rows(entry_rows: DataFrame) -> DataFrame:
     for kind in BUCKETS:
         places = F.when(section == kind, F.concat(own, bucket(kind))).otherwise(places)
     return (
-        entry_rows.filter(section != MARKER)
-        .select("container_id", "ord", "text", F.explode(places).alias("_at"))
+        entry_rows.select("container_id", "ord", "text", F.explode(places).alias("_at"))
         .select("_at.section", "_at.pattern_no", "container_id", "ord", "text")
     )
 

@@ -11,7 +11,7 @@ from emberlog.catalogue import CATALOGUE, MAX_KEYWORD_CHARS
 from emberlog.functions.text import is_short_header, parse_keywords
 from emberlog.operators import containers, keywords, patterns, records
 from emberlog.operators.ordering import ROWS_PER_CHUNK, cut_large_groups
-from emberlog.plans import report
+from emberlog.plans import nested, report
 from emberlog.sources.files import has_short_header
 from emberlog.sources.tables import (
     LINE_ORDER,
@@ -28,6 +28,8 @@ RARE_KEYWORD = '{"k": 7}'
 DOCUMENT_KEYWORD = "license"
 SMALL_LIMIT = 1_000
 TEXT_KEYWORD = "ation"
+#: Characters in a part of the nested report, few enough for containers to have several.
+PART_CHARS = 2_000
 
 
 class LogView:
@@ -262,6 +264,29 @@ def report_json(spark: SparkSession, sf_dir: str) -> DataFrame:
     return report.as_json(containers.summary_of_facts(LogView(spark, sf_dir).facts()))
 
 
+@registered
+def report_nested(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The whole report by container, in parts of at most ``PART_CHARS`` characters."""
+    view = LogView(spark, sf_dir)
+    entries = view.entries(SPAN_KEYWORDS[1])
+    return nested.flat(nested.nested(entries, PART_CHARS, chunk=view.is_cut, rows_per_chunk=view.rows_per_chunk))
+
+
+@registered
+def report_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The whole report as one JSON object for each container: lists, buckets and spans with all their texts."""
+    view = LogView(spark, sf_dir)
+    entries = view.entries(SPAN_KEYWORDS[0])
+    return nested.documents(nested.nested(entries, chunk=view.is_cut, rows_per_chunk=view.rows_per_chunk))
+
+
+@registered
+def text_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same over whole texts; spans are over a small limit and left out."""
+    entries = containers.entries_from_text(document_logs(spark, sf_dir), [TEXT_KEYWORD])
+    return nested.documents(nested.nested(entries, max_keyword_chars=SMALL_LIMIT, withhold=True))
+
+
 @registered
 def payload_guard(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Size of the level lists, and of the keyword spans with flags for the usual and a small limit."""

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from emberlog.catalogue import MAX_KEYWORD_CHARS
 from emberlog.functions.text import parse_keywords
 from emberlog.operators import containers, patterns
-from emberlog.plans import report
+from emberlog.plans import nested, report
 from emberlog.sources.files import LogFiles
 
 
@@ -38,6 +38,12 @@ class Triage:
             entries = containers.withheld(entries, spans, self.max_keyword_chars)
         return report.rows(entries)
 
+    def nested(self, max_chars: int = nested.MAX_CHARS) -> DataFrame:
+        """The report as one row for each container, in parts of at most ``max_chars`` characters; see ``plans.nested``."""
+        limit = MAX_KEYWORD_CHARS if self.max_keyword_chars is None else self.max_keyword_chars
+        entries = self._entries(list(self.keywords), levels=True)
+        return nested.nested(entries, max_chars, limit, self.max_keyword_chars is not None, self.files.has_large, self.files.rows_per_chunk)
+
     def sizes(self) -> DataFrame:
         """``(section, n_items, n_chars, flag)`` for the level lists and the keyword lists."""
         limit = MAX_KEYWORD_CHARS if self.max_keyword_chars is None else self.max_keyword_chars
@@ -65,10 +71,11 @@ class Triage:
     def write(self, path: str) -> None:
         """Write the report as JSON lines below ``path``.
 
-        ``rows`` has a folder per section; ``containers`` has every container that was read, also one
+        ``rows`` has a folder per section; ``nested`` an object for each container with all its lists; ``containers`` has every container that was read, also one
         without any result; ``patterns`` every phrase, also one without a hit; ``sizes`` and ``quarantine``.
         """
         report.write_json(self.rows(), f"{path}/rows")
+        report.write_json(self.nested().withColumnRenamed("container_id", "filepath"), f"{path}/nested", None)
         parts = {"containers": self.container_summary(), "patterns": self.pattern_summary(), "sizes": self.sizes(), "quarantine": self.quarantine()}
         for name, part in parts.items():
             report.write_json(part, f"{path}/{name}", None)
