@@ -5,8 +5,10 @@ which keeps every line feed and carriage return and lets all work on a file stay
 Files over a size limit are read as lines and numbered in chunks, so that no task holds such a
 file in memory.
 
-Known differences to a plain directory walk: names starting with ``_`` or ``.`` are not listed by
-Spark, and a file of zero bytes gives no row. (A compressed empty text does.)
+Files are listed by ``sources.walk``: hidden names and files of zero bytes as well, which Spark's readers pass over.
+Large gzip and bzip2 files are read as streams that end with a status, so a damaged one costs that file only. Where
+a path has a scheme that only Spark knows, Spark lists the files: hidden and empty ones are then missing, and a large
+damaged file stops the job.
 """
 
 from __future__ import annotations
@@ -21,6 +23,7 @@ from emberlog.catalogue import ASCII_WHITESPACE, HEADER, WHITESPACE
 from emberlog.functions.text import is_short_header, parse_keywords
 from emberlog.operators import containers, keywords, records
 from emberlog.operators.ordering import ROWS_PER_CHUNK
+from emberlog.sources import walk
 
 DEFAULT_PATTERN = "*stderr.gz"
 COMPRESSED_NAME = r"\.(gz|bz2|zst|deflate|lz4|snappy)$"
@@ -89,11 +92,13 @@ class LogFiles:
 
     ``full`` views leave out files with a header of fewer than three tokens, the keyword view
     does not. Unreadable files and files that are not UTF-8 are in neither; see ``quarantine``.
-    An unreadable file over the size limit stops the job with its name instead: its lines cannot
-    be taken back once they are read. A byte order mark at the start of a file is dropped.
+    A byte order mark at the start of a file is dropped.
 
     A compressed file is read as one text only if its format bounds what it can grow to, so that
     no text is longer than ``max_text_bytes``; all other files are read as lines.
+
+    ``cluster_id`` and ``application_id`` take the files of one cluster or application of the layout
+    ``<path>/<cluster>/containers/<application>``; no other folder is listed.
     """
 
     spark: SparkSession
@@ -102,53 +107,100 @@ class LogFiles:
     max_text_bytes: int = MAX_TEXT_BYTES
     max_plain_bytes: int = MAX_PLAIN_BYTES
     rows_per_chunk: int = ROWS_PER_CHUNK
+    cluster_id: str | None = None
+    application_id: str | None = None
 
     # --- discovery --------------------------------------------------------------------------
 
     def _reader(self) -> DataFrameReader:
         return self.spark.read.option("recursiveFileLookup", "true").option("pathGlobFilter", self.pattern)
 
-    def _is_large(self) -> Column:
+    @property
+    def root(self) -> str:
+        """What Spark's readers list: the path, or the folders of a cluster or application below it."""
+        path = normalised_path(self.path)
+        if self.cluster_id is None and self.application_id is None:
+            return path
+        return application_path(path, self.cluster_id or "*", self.application_id or "*")
+
+    def _is_large(self, name: Column, size: Column) -> Column:
         """Uses only what the file listing knows, so files are left out before they are opened."""
-        name, size = F.col("_metadata.file_name"), F.col("_metadata.file_size")
         limit = F.when(~name.rlike(COMPRESSED_NAME), F.lit(self.max_plain_bytes))
         for ending, factor in EXPANSION.items():
             limit = limit.when(name.endswith(f".{ending}"), F.lit(self.max_text_bytes // factor))
         return size > limit.otherwise(F.lit(-1))
 
+    def _read_large(self) -> Column:
+        """``_is_large`` for rows of Spark's readers."""
+        return self._is_large(F.col("_metadata.file_name"), F.col("_metadata.file_size"))
+
     # Folders are listed once per kind of reader and object.
 
+    @cached_property
+    def _opened(self) -> bool:
+        """Whether files can be opened outside of Spark's readers."""
+        return walk.walkable(normalised_path(self.path))
+
+    @property
+    def _walked(self) -> bool:
+        """Spark resolves paths with wildcards, and then lists them."""
+        return self._opened and not any(c in self.path for c in "*?[{")
+
     @cached_property
     def _listing(self) -> DataFrame:
-        return self._reader().format("binaryFile").load(normalised_path(self.path))
+        """``path, n_bytes, how``: ``empty``, ``hidden``, ``small``, ``large`` or ``streamed``."""
+        if self._walked:
+            files = walk.walk(self.spark, normalised_path(self.path), self.pattern)
+            for name in ("cluster_id", "application_id"):
+                if (value := getattr(self, name)) is not None:
+                    files = files.filter(F.col(name) == value)
+        else:
+            found = self._reader().format("binaryFile").load(self.root)
+            files = found.select(_container_id().alias("path"), F.col("_metadata.file_name").alias("name"), F.col("length").alias("n_bytes"), F.lit(False).alias("hidden"))
+        large, hidden = self._is_large(F.col("name"), F.col("n_bytes")), F.col("hidden")
+        streamed = large & (hidden | walk.is_streamed(F.col("name"))) & F.lit(self._opened)
+        how = F.when(F.col("n_bytes") == 0, "empty").when(streamed, "streamed").when(large, "large").when(hidden, "hidden").otherwise("small")
+        return files.select("path", "n_bytes", how.alias("how"))
+
+    @cached_property
+    def _kinds(self) -> set[str]:
+        return {row["how"] for row in self._listing.select("how").distinct().collect()}
+
+    def _listed_as(self, how: str) -> DataFrame:
+        return self._listing.filter(F.col("how") == how).select("path")
 
     @cached_property
     def _whole_texts(self) -> DataFrame:
         reader = self._reader().option("ignoreCorruptFiles", "true").option("ignoreMissingFiles", "true")
-        return reader.text(normalised_path(self.path), wholetext=True)
+        return reader.text(self.root, wholetext=True)
 
     @cached_property
     def _lines(self) -> DataFrame:
-        return self._reader().option("lineSep", "\n").text(normalised_path(self.path))
+        return self._reader().option("lineSep", "\n").text(self.root)
 
     @cached_property
     def _words(self) -> DataFrame:
-        return self._reader().option("lineSep", " ").text(normalised_path(self.path))
+        return self._reader().option("lineSep", " ").text(self.root)
 
     def listed(self) -> DataFrame:
         """``(container_id, n_bytes)`` of every file, without reading any."""
-        return self._listing.select(_container_id().alias("container_id"), F.col("length").alias("n_bytes"))
+        return self._listing.select(F.col("path").alias("container_id"), "n_bytes")
 
-    @cached_property
+    @property
     def has_large(self) -> bool:
-        return not self._listing.filter(self._is_large()).select("length").isEmpty()
+        return bool({"large", "streamed"} & self._kinds)
 
     # --- whole texts ------------------------------------------------------------------------
 
     def _decompressed(self) -> DataFrame:
         """``(container_id, value)`` of readable files up to the limit. Bytes may be invalid."""
-        small = self._whole_texts.filter(~self._is_large())
-        return small.select(_container_id().alias("container_id"), _without_mark(F.col("value")).alias("value"))
+        small = self._whole_texts.filter(~self._read_large() & (F.col("_metadata.file_size") > 0))
+        found = small.select(_container_id().alias("container_id"), F.col("value"))
+        if "hidden" in self._kinds:
+            found = found.unionByName(walk.whole(self._listed_as("hidden")).filter(F.col("value").isNotNull()).withColumnRenamed("path", "container_id"))
+        if "empty" in self._kinds:
+            found = found.unionByName(self._listed_as("empty").select(F.col("path").alias("container_id"), F.lit("").alias("value")))
+        return found.select("container_id", _without_mark(F.col("value")).alias("value"))
 
     def texts(self, full: bool = True) -> DataFrame:
         valid = self._decompressed().filter(F.is_valid_utf8("value"))
@@ -160,14 +212,14 @@ class LogFiles:
         The value is null and the reason given for files that a batch run would read as lines or
         leave out; they are not lost, as a run of ``triage`` over their paths has them.
         """
-        reason = F.when(self._is_large(), "too_large").when(~F.is_valid_utf8("value"), "invalid_utf8")
+        reason = F.when(self._read_large(), "too_large").when(~F.is_valid_utf8("value"), "invalid_utf8")
         reason = reason.when(has_short_header(F.col("value")), "short_header")
         files = (
             self.spark.readStream.option("recursiveFileLookup", "true")
             .option("pathGlobFilter", self.pattern)
             .option("ignoreCorruptFiles", "true")
             .option("ignoreMissingFiles", "true")
-            .text(normalised_path(self.path), wholetext=True)
+            .text(self.root, wholetext=True)
             .select(
                 _container_id().alias("container_id"),
                 _without_mark(F.col("value")).alias("value"),
@@ -183,46 +235,62 @@ class LogFiles:
 
         Tasks get files or blocks of files, and number their rows in reading order.
         """
-        return cut.filter(self._is_large()).select(
+        mine = self._read_large()
+        if self._opened:
+            mine = mine & ~walk.is_streamed(F.col("_metadata.file_name"))
+        return cut.filter(mine).select(
             _container_id().alias("container_id"),
             F.col("_metadata.file_block_start").alias("block"),
             F.monotonically_increasing_id().alias("row"),
             F.col("value").alias("line"),
         )
 
+    def _streamed(self) -> DataFrame:
+        """The same of large compressed files, each read by one task, with ``status`` in the last row of a file."""
+        lines = walk.streamed(self._listed_as("streamed"))
+        return lines.select(F.col("path").alias("container_id"), F.lit(0).cast("long").alias("block"), "row", "line", "status")
+
     @cached_property
     def _large_file_facts(self) -> DataFrame:
-        """Per large file: valid UTF-8, short header, and whether it ends with a line feed.
+        """Per large file: readable, valid UTF-8, short header, and whether a last empty line has to be added.
 
         A reader drops a separator at the end of a file. Cut at line feeds, the pieces with one
         byte for each separator are as long as the file if it ends with a line feed, and one byte
         longer if not; the same holds for blanks. So the line feed is there if and only if the
-        first sum is the smaller one.
+        first sum is the smaller one. Streams have that line already.
         """
         size = F.sum(F.octet_length("line") + 1)
         line = F.col("line")
-        by_line = self._large(self._lines).groupBy("container_id").agg(
-            size.alias("by_line"),
-            F.bool_and(F.is_valid_utf8("line")).alias("valid"),
-            F.bool_or(is_short_header(line)).alias("short"),
-        )
+        tests = [F.bool_and(F.is_valid_utf8("line")).alias("valid"), F.bool_or(is_short_header(line)).alias("short")]
+        by_line = self._large(self._lines).groupBy("container_id").agg(size.alias("by_line"), *tests)
         by_blank = self._large(self._words).groupBy("container_id").agg(size.alias("by_blank"))
         facts = by_line.join(by_blank, "container_id").select(
-            "container_id", "valid", "short", (F.col("by_line") < F.col("by_blank")).alias("ends_line")
+            "container_id", F.lit(True).alias("readable"), "valid", "short", (F.col("by_line") < F.col("by_blank")).alias("ends_line")
         )
+        if "streamed" in self._kinds:
+            streamed = self._streamed().groupBy("container_id").agg((F.max("status") == walk.OK).alias("readable"), *tests)
+            streamed = streamed.select(
+                "container_id", "readable", F.coalesce("valid", F.lit(True)).alias("valid"), F.coalesce("short", F.lit(False)).alias("short"), F.lit(False).alias("ends_line")
+            )
+            facts = facts.unionByName(streamed) if "large" in self._kinds else streamed
         return durable(facts)
 
     def large_lines(self, full: bool = True) -> DataFrame:
         """``(container_id, block, row, chunk, line)`` of large files, with the last empty line."""
         facts = self._large_file_facts
-        left_out = facts.filter(~F.col("valid") | F.col("short") if full else ~F.col("valid"))
+        bad = ~F.col("readable") | ~F.col("valid")
+        left_out = facts.filter(bad | F.col("short") if full else bad)
         last = facts.filter("ends_line").select(
             "container_id",
             F.lit(END_OF_FILE).alias("block"),
             F.lit(0).cast("long").alias("row"),
             F.lit("").alias("line"),
         )
-        lines = self._large(self._lines).unionByName(last)
+        lines = last
+        if "large" in self._kinds:
+            lines = lines.unionByName(self._large(self._lines))
+        if "streamed" in self._kinds:
+            lines = lines.unionByName(self._streamed().filter(F.col("status").isNull()).drop("status"))
         part = F.floor(F.col("row") / self.rows_per_chunk).cast("long")
         return lines.join(left_out, "container_id", "left_anti").select(
             "container_id", "block", "row", F.array("block", part).alias("chunk"), "line"
@@ -267,7 +335,8 @@ class LogFiles:
         return keywords.spans(pieces, wanted, "any", True, self.rows_per_chunk)
 
     def _large_ids(self, full: bool) -> DataFrame:
-        good = F.col("valid") & ~F.col("short") if full else F.col("valid")
+        good = F.col("readable") & F.col("valid")
+        good = good & ~F.col("short") if full else good
         return self._large_file_facts.filter(good).select("container_id")
 
     def containers(self, full: bool = True) -> DataFrame:
@@ -284,7 +353,7 @@ class LogFiles:
         reason = F.when(~F.is_valid_utf8(value), "invalid_utf8").when(has_short_header(value), "short_header")
         read = self._decompressed().select("container_id", reason.alias("reason"))
         if self.has_large:
-            why = F.when(~F.col("valid"), "invalid_utf8").when(F.col("short"), "short_header")
+            why = F.when(~F.col("readable"), "unreadable").when(~F.col("valid"), "invalid_utf8").when(F.col("short"), "short_header")
             read = read.unionByName(self._large_file_facts.select("container_id", why.alias("reason")))
         # One row per file on both sides.
         return (

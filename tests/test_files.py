@@ -6,6 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from emberlog.plans.triage import triage
+from emberlog.sources import walk
 from emberlog.sources.files import LogFiles, application_path, normalised_path, with_path_columns
 
 import line_machine as machine
@@ -135,9 +136,77 @@ def test_large_quarantine(spark, folder):
     assert got == {"bad_bytes/stderr.gz": "invalid_utf8", "short/stderr.gz": "short_header"}
 
 
-def test_unreadable_large_file_stops_the_job(spark, folder):
-    with pytest.raises(Exception, match="truncated/stderr.gz"):
-        LogFiles(spark, folder + "/truncated", **LARGE).pieces().collect()
+def test_unreadable_large_file_costs_that_file_only(spark, folder):
+    """All files as streams: what a damaged one gave before its fault is taken back, and the run goes on."""
+    logs = LogFiles(spark, folder, **LARGE)
+    small = LogFiles(spark, folder)
+    assert {r[0][len(folder) + 1 :]: r[1] for r in logs.quarantine().collect()} == {r[0][len(folder) + 1 :]: r[1] for r in small.quarantine().collect()}
+    order = ["container_id", "rec_no", "level", "raw"]
+    assert sorted(map(tuple, logs.pieces().select(order).collect()), key=repr) == sorted(map(tuple, small.pieces().select(order).collect()), key=repr)
+    rows = triage(spark, folder, "needle", **LARGE).rows().collect()
+    assert not any("/truncated/" in r.container_id or "/not_gzip/" in r.container_id for r in rows) and len(rows) > 20
+
+
+def test_damage_late_in_a_long_stream(spark, tmp_path):
+    text = "".join(f"20/06/06 22:25:17 ERROR A: {i} {i * i}\n" for i in range(60_000)).encode()
+    data = bytearray(gzip.compress(text))
+    (tmp_path / "cut").mkdir()
+    (tmp_path / "cut" / "stderr.gz").write_bytes(data[:-9])
+    data[len(data) * 3 // 4] ^= 0xFF
+    (tmp_path / "flipped").mkdir()
+    (tmp_path / "flipped" / "stderr.gz").write_bytes(data)
+    (tmp_path / "good").mkdir()
+    (tmp_path / "good" / "stderr.gz").write_bytes(gzip.compress(text))
+    logs = LogFiles(spark, str(tmp_path), max_text_bytes=0, rows_per_chunk=10_000)
+    assert {r[0].split("/")[-2]: r[1] for r in logs.quarantine().collect()} == {"cut": "unreadable", "flipped": "unreadable"}
+    pieces = logs.pieces()
+    assert {(r[0].split("/")[-2], r[1]) for r in pieces.groupBy("container_id").count().collect()} == {("good", 60_000)}
+    assert pieces.agg(F.max("rec_no")).first()[0] == 60_000
+
+
+def test_hidden_and_empty_files_have_entries(spark, tmp_path):
+    def put(name, data):
+        (tmp_path / name).parent.mkdir(parents=True, exist_ok=True)
+        (tmp_path / name).write_bytes(data)
+
+    record = gzip.compress(f"{E}one\n".encode())
+    for name in ("_hidden/stderr.gz", ".dot/a/stderr.gz", "shown/_stderr.gz", "shown/stderr.gz"):
+        put(name, record)
+    put("zero/stderr.gz", b"")
+    put("_bad/stderr.gz", record[:-5])
+    for limits in ({}, LARGE):
+        run = triage(spark, str(tmp_path), "one", **limits)
+        found = {r.container_id[len(str(tmp_path)) + 1 :]: r.n_error for r in run.container_summary().collect()}
+        assert found == {"_hidden/stderr.gz": 1, ".dot/a/stderr.gz": 1, "shown/_stderr.gz": 1, "shown/stderr.gz": 1, "zero/stderr.gz": 0}
+        assert [(r.container_id.split("/")[-2], r.reason) for r in run.quarantine().collect()] == [("_bad", "unreadable")]
+    assert {r.n_bytes for r in LogFiles(spark, str(tmp_path)).listed().collect()} == {0, len(record), len(record) - 5}
+
+
+def test_only_folders_of_an_application_are_listed(spark, tmp_path):
+    for cluster in ("j-1", "j-2"):
+        for application in ("app_1", "app_2", "app_3"):
+            folder = tmp_path / cluster / "containers" / application / "c"
+            folder.mkdir(parents=True)
+            (folder / "stderr.gz").write_bytes(gzip.compress(f"{E}{cluster} {application}\n".encode()))
+    root = str(tmp_path)
+    one = LogFiles(spark, root, cluster_id="j-1", application_id="app_2")
+    assert [r.container_id for r in one.listed().collect()] == [f"{root}/j-1/containers/app_2/c/stderr.gz"]
+    assert [r.raw.split()[-1] for r in one.pieces().collect()] == ["app_2"]
+    assert one._listing.rdd.getNumPartitions() == 1  # one folder is looked into
+    both = LogFiles(spark, root, application_id="app_1")
+    assert both._listing.rdd.getNumPartitions() == 2 and both.listed().count() == 2
+    assert sorted(r.container_id.split("/")[-5] for r in both.segments().collect()) == ["j-1", "j-2"]
+    files = walk.walk(spark, root, "*stderr.gz")
+    assert files.filter("cluster_id in ('j-2') and application_id in ('app_1', 'app_2')").rdd.getNumPartitions() == 2
+    assert files.filter("cluster_id = 'none'").count() == 0
+
+
+def test_lines_of_a_stream():
+    def cut(*pieces):
+        return list(walk.cut_lines(iter(pieces)))
+
+    assert cut(b"a\nb", b"c\n", b"\n", b"d") == [b"a", b"bc", b"", b"d"]
+    assert cut(b"a\n") == [b"a", b""] and cut() == [b""] and cut(b"x", b"y") == [b"xy"]
 
 
 def test_large_plain_file_is_split_into_blocks(spark, tmp_path):
