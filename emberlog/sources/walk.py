@@ -113,7 +113,9 @@ class Lister(DataSourceReader):
                         found.append(Folder(f"{below}/{application}", cluster, application, True))
         return found
 
-    def read(self, folder: Folder) -> Iterator[tuple]:
+    def read(self, folder: Folder | None) -> Iterator[tuple]:
+        if folder is None:  # there is no partition
+            return
         files, root = opened(self.path)
         info = files.get_file_info(folder.path)
         waiting = [folder.path]
