@@ -3,9 +3,10 @@
 Three kinds stand for themselves: an assignment to a secret's name, an access key identifier, a hexadecimal run. Weaker
 signs (short assigned values, mixed tokens, names of accounts, addresses of services) are reported only with a
 complementary part: a secret goes with an identifier or an endpoint, an identifier or endpoint with a secret. They
-must be in one scope (a block without a blank line) and at most ``REACH`` code points apart. This interval join is a
-sweep over the parts of a scope sorted by place: the furthest end among the parts that begin early enough tells
-whether any reaches back far enough, so no pairs are made, however many parts a text has.
+must be in one scope (a block without a blank line), at most ``REACH`` code points apart, and no part of one another: a
+digest inside an address is no secret that the address opens. User, password and host that an address spells out are
+parts of their own. This interval join counts by bisection of the sorted begins and ends of a scope, those in reach
+less those that overlap, so no pairs are made, however many parts a text has.
 
 Defined cases: a null text counts as empty and has no spans; a row is answered for each row, also for rows that
 repeat; an empty table gives none. Only ``doc_id`` and ``text`` are read. A text is searched as a whole.
@@ -41,6 +42,8 @@ IDENTIFIER = re.compile(r"""(?ai)\b(?:user(?:_?name)?|login|account(?:_?id)?|cli
 MAIL = re.compile(r"(?a)[\w.+-]{1,64}@[\w-]+(?:\.[\w-]+)+")
 ADDRESS = re.compile(r"""(?ai)\b[a-z][a-z0-9+.-]{1,20}://[^\s"'<>]+""")
 HOST = re.compile(r"""(?ai)\b(?:host(?:_?name)?|endpoint|server|url)["']?\x20*[:=]\x20*["']?[A-Za-z0-9:/_.-]{3,}""")
+#: User, password and host in an address.
+LOGIN = re.compile(r"""(?a)://([^\s:/@"'<>]{1,64}):([^\s/@"'<>]{6,})@([^\s:/@"'<>]+)""")
 BLANK_LINE = re.compile(r"\n[\x20\t\r]*\n")
 #: An assigned value of fewer characters is weak; of fewer than WEAK none.
 STRONG, WEAK = 12, 6
@@ -76,7 +79,8 @@ def weak_spans(text: str, base: list[Span]) -> list[Span]:
         spans += [(m.start(), 4, m.end()) for m in MAIL.finditer(text)]
     if "://" in text:
         spans += [(m.start(), 5, m.end()) for m in ADDRESS.finditer(text)]
-    return spans
+        spans += [(m.start(part), kind, m.end(part)) for m in LOGIN.finditer(text) for part, kind in ((1, 4), (2, 3), (3, 5))]
+    return list(dict.fromkeys(spans))
 
 
 def linked(text: str, base: list[Span], weak: list[Span], reach: int = REACH) -> tuple[list[Span], int]:
@@ -93,7 +97,8 @@ def linked(text: str, base: list[Span], weak: list[Span], reach: int = REACH) ->
         partners = 0
         for role in PARTNERS[ROLE[KINDS[kind]]]:
             if side := sides.get((scope, role)):
-                partners += bisect_right(side[0], end + reach) - bisect_left(side[1], begin - reach)
+                near = bisect_right(side[0], end + reach) - bisect_left(side[1], begin - reach)
+                partners += near - (bisect_left(side[0], end) - bisect_right(side[1], begin))
         if partners:
             kept.append(span)
             links += partners

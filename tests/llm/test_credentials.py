@@ -59,6 +59,15 @@ def test_weak_parts_need_a_partner():
     assert kinds("paſsword=abcdefghijkl") == []  # only ASCII letters have two cases
 
 
+def test_no_part_is_its_own_partner():
+    assert kinds("https://example.com/commit/0123456789abcdef0123") == ["hex"]
+    assert kinds("see https://x.org/watch/q8Zk2LmN4pRt6VwX8yBc0 for it") == []
+    assert kinds("https://x.org/a?user=bob1") == []
+    spans = credentials.found("postgres://bob:hunter22@db.example/x")["spans"]
+    assert [s.split(":")[0] for s in spans.split(",")] == ["identifier", "weak_secret", "endpoint"]
+    assert kinds("https://example.com/commit/0123456789abcdef0123 token=abc123") == ["endpoint", "hex", "weak_secret"]
+
+
 def test_many_parts_are_linked_without_pairs():
     row = credentials.found("user: bob password=abc123 " * 20_000)
     assert row["n_weak"] == 40_000 and row["n_links"] > 40_000
@@ -79,7 +88,7 @@ def test_sweep_equals_all_pairs(parts):
     for w in weak:
         n = sum(
             role(o) in credentials.PARTNERS[role(w)] and sum(g < w[0] for g in gaps) == sum(g < o[0] for g in gaps)
-            and o[0] <= w[2] + credentials.REACH and o[2] >= w[0] - credentials.REACH
+            and o[0] <= w[2] + credentials.REACH and o[2] >= w[0] - credentials.REACH and (o[0] >= w[2] or o[2] <= w[0])
             for o in base + weak
         )
         links += n
