@@ -1,7 +1,7 @@
 """WARC archives as a table of chunks.
 
-A payload becomes rows of a record identifier, a chunk number and at most ``chunk`` bytes, so neither the writer nor
-the reader holds a large record as one value beyond the cell that it came from. On disk a chunk is a WARC 1.1 record
+A payload becomes rows of a record identifier, a chunk number and at most ``chunk`` bytes, so the reader never holds
+a large record as one value, and the writer only as the cell that it came from: that is digested and cut as a whole. On disk a chunk is a WARC 1.1 record
 of its own: the first has the record's type and ``WARC-Segment-Number: 1``, the others are ``continuation`` records,
 as the format has for records that are cut. Short records are one plain record.
 
@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from emberlog.llm.common import cut, partitions, shared_dir
+from emberlog.llm.common import cut, let, partitions, running, shared_dir
 
 VERSION = "WARC/1.1\r\n"
 #: Bytes of a chunk at most.
@@ -60,7 +60,8 @@ def payload(pages: DataFrame) -> DataFrame:
 def typed(pages: DataFrame, least: int = LEAST) -> DataFrame:
     """``payload(pages)`` with ``bytes``, ``digest`` and ``refers_to`` (null for responses).
 
-    Equal payloads are found by digest, on rows without payload. Only revisits are looked up again.
+    Equal payloads are found by digest, on rows without payload. Rows then look up the first of several equal ones by
+    digest, payloads with them where those digests are too many to be broadcast.
     """
     rows = payload(pages).withColumn("bytes", F.length("body").cast("long")).withColumn("digest", base32(F.sha1("body")))
     first = cut(rows.where(F.col("bytes") >= least).groupBy("digest", "bytes").agg(F.min("page_id").alias("first"), F.count("*").alias("n")).where("n > 1").drop("n"))
@@ -71,15 +72,11 @@ def typed(pages: DataFrame, least: int = LEAST) -> DataFrame:
 def starts(body: Column, chunk: int) -> Column:
     """Where chunks begin: every ``chunk`` bytes, and inside each version line. Ascending, the first is 0."""
     even = F.sequence(F.lit(0), F.greatest(F.length(body) - 1, F.lit(0)), F.lit(chunk))
-    text = F.decode(body, "ISO-8859-1")
-    line = F.split(text, "WARC/1[.]1\r\n", -1)
-    step = F.transform(line, lambda part: F.length(part))
-    places = F.transform(
-        F.sequence(F.lit(1), F.size(line) - 1),
-        lambda i: F.aggregate(F.slice(step, 1, i), F.lit(0), lambda a, b: a + b) + (i - 1) * len(VERSION) + 4,
-    )
-    found = F.when(F.contains(body, F.lit(VERSION.encode())), F.sort_array(F.array_union(even, places))).otherwise(even)
-    return found
+    between = F.split(F.decode(body, "ISO-8859-1"), "WARC/1[.]1\r\n", -1)
+    # what stands before a version line, and that line; the last piece has none after it
+    steps = F.transform(between, lambda part: F.length(part) + len(VERSION))
+    places = let(running(steps), lambda ends: F.transform(F.slice(ends, F.lit(1), F.size(ends) - 1), lambda end: (end - len(VERSION) + 4).cast("int")))
+    return F.when(F.contains(body, F.lit(VERSION.encode())), F.sort_array(F.array_union(even, places))).otherwise(even)
 
 
 def chunks(records: DataFrame, chunk: int = CHUNK) -> DataFrame:

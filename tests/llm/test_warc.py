@@ -80,3 +80,13 @@ def test_extra_columns_and_empty_table(spark):
     wide = spark.createDataFrame([(*p, 1, "b", "d") for p in PAGES], warc.PAGES + ", bytes int, body string, digest string")
     assert sorted(map(tuple, warc.round_trip(wide).collect()), key=repr) == plain(PAGES)
     assert warc.round_trip(spark.createDataFrame([], warc.PAGES)).collect() == []
+
+
+def test_version_lines_are_cut_in_linear_time(spark):
+    import time
+
+    pages = [(1, "dump", (LINE + "x") * 100_000), (2, "u", "plain")]
+    start = time.time()
+    rows = warc.round_trip(spark.createDataFrame(pages, warc.PAGES)).collect()
+    assert sorted(map(tuple, rows), key=repr) == plain(pages)
+    assert time.time() - start < 90
