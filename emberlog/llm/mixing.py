@@ -10,8 +10,11 @@ Rates become whole copies by carrying the rounding error on, from large document
 about ``CHUNK`` documents of a source; what is left over is made up by a few single copies. So a source misses its
 target by a few words for each chunk.
 
+Rows with the same identifier and text are counted before they are dealt to chunks, ``CHUNK`` of them at a time, so
+copies of one row fill as many chunks as they need.
+
 Defined cases: a null text has size 0 and no copies; null is a source of its own, sorted last; rows that repeat are
-rows of their own; an empty table gives none. Sums that decide a copy are decimal, so reruns agree.
+rows of their own; an empty table gives none. A column ``mix_copies`` that is there already is renamed. Sums that decide a copy are decimal, so reruns agree.
 """
 
 from __future__ import annotations
@@ -33,6 +36,8 @@ CHUNK = 1000
 REPAIRS = 8
 #: A source's words may miss its target by this share before rounding.
 TOLERANCE = 1e-7
+#: And by so many words, which is above what rounding takes from sums: a small source's share of a word is never met.
+WORDS_OFF = 0.01
 STEPS = 60
 WORD = r"[^\x20\x09-\x0D]+"
 
@@ -93,7 +98,7 @@ def multipliers(counts: DataFrame, sources: DataFrame, cap: float = CAP) -> Data
         excess = F.col("got") - F.col("target")
         stepped = (
             state.join(if_small(cut(sums)), "name")
-            .withColumn("missed", F.abs(excess) / F.col("target"))
+            .withColumn("missed", F.abs(excess) / F.greatest(F.col("target"), F.lit(WORDS_OFF / TOLERANCE)))
             .withColumn("low", F.when(excess < 0, F.col("tilt")).otherwise(F.col("low")))
             .withColumn("high", F.when(excess > 0, F.col("tilt")).otherwise(F.col("high")))
             .withColumn("newton", F.col("tilt") - F.try_divide(excess, F.col("slope")))
@@ -150,12 +155,16 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, cap: int = CAP) ->
     solved = cut(multipliers(counts.where("size > 0"), sources, cap))
     tilted = F.exp(F.least(F.col("tilt") * F.col("size") / F.col("scale"), F.lit(50.0)))
     rate = F.when(F.col("size") == 0, F.lit(0.0)).when(F.col("tilt").isNull(), F.lit(float(cap))).otherwise(F.least(F.lit(float(cap)), tilted))
-    chunk = F.pmod(F.xxhash64(F.col("doc_id").cast("string"), F.col("digest")), F.ceil(F.col("documents") / CHUNK))
-    rated = rows.join(if_small(solved.select("name", "source_size", "target", "tilt", "scale", "documents")), "name").select(
-        "doc_id", "digest", "name", chunk.alias("chunk"), "size", "source_size", "target", rate.alias("rate")
+    blocks = rows.groupBy("doc_id", "digest", "name", "size").agg(F.count("*").alias("n"))
+    blocks = blocks.withColumn("block", F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("n") - 1) / CHUNK).cast("long"))))
+    equal = F.least(F.lit(CHUNK).cast("long"), F.col("n") - F.col("block") * CHUNK)
+    chunk = F.pmod(F.xxhash64(F.col("doc_id").cast("string"), F.col("digest"), F.col("block")), F.ceil(F.col("documents") / CHUNK))
+    rated = blocks.join(if_small(solved.select("name", "source_size", "target", "tilt", "scale", "documents")), "name").select(
+        "doc_id", "digest", "name", chunk.alias("chunk"), "size", "source_size", "target", rate.alias("rate"), equal.alias("equal")
     )
 
     def rounded(part: pd.DataFrame) -> pd.DataFrame:
+        part = part.loc[part.index.repeat(part["equal"])].reset_index(drop=True)
         part["copies"] = copies(part, cap)
         part["taken"] = part["copies"] * part["size"]
         return part[["doc_id", "size", "source_size", "target", "taken", "copies", "rate", "digest"]]
@@ -169,6 +178,11 @@ def apply(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, cap: int = CAP) -
 
     Rows with the same identifier and text become one row, whose copies add up.
     """
+    while (old := next((n for n in docs.columns if n.lower() == "mix_copies"), None)) is not None:
+        new = f"{old}_before"
+        while new.lower() in map(str.lower, docs.columns):
+            new += "_before"
+        docs = docs.withColumnRenamed(old, new)
     key = F.coalesce(F.col("doc_id").cast("string"), F.lit(""))
     taken = mix(docs, weights, cap).where("copies > 0").groupBy(key.alias("_key"), F.col("digest").alias("_digest")).agg(F.sum("copies").alias("_copies"))
     held = docs.select(key.alias("_key"), F.xxhash64("text").alias("_digest"), F.struct(*[F.col(f"`{n}`") for n in docs.columns]).alias("_row"))

@@ -81,3 +81,70 @@ def test_odd_rows(spark, odd, nothing):
     assert mixing.mix(nothing).collect() == []
     blank = mixing.mix(odd.where("doc_id in (2, 3, 4)")).collect()
     assert {(r.size, r.target, r.taken) for r in blank} == {(0, 0.0, 0)}
+
+
+def frame(spark, rows):
+    return spark.createDataFrame(rows, "doc_id long, text string, source string")
+
+
+def steps_of(spark, docs, monkeypatch):
+    """How many Newton steps ``docs`` take, and the rows."""
+    taken = []
+    real = mixing.cut
+
+    def counted(df):
+        if df.columns == ["name", "target", "scale", "tilt", "low", "high", "missed"]:
+            taken.append(1)
+        return real(df)
+
+    monkeypatch.setattr(mixing, "cut", counted)
+    rows = mixing.mix(docs).collect()
+    return len(taken) - 1, rows
+
+
+def test_few_steps_beside_tiny_sources(spark, monkeypatch):
+    docs = [(1, "one two three", "a"), (2, "one two", "a"), (3, "x", "b"), *[(10 + i, "w " * (1 + i * 37 % 400), "c") for i in range(500)]]
+    steps, _ = steps_of(spark, frame(spark, docs), monkeypatch)
+    assert steps <= 12
+    steps, _ = steps_of(spark, frame(spark, docs[:2]), monkeypatch)
+    assert steps <= 12
+
+
+def test_rates_solve_the_dual(spark):
+    """Rates against a multiplier found by plain bisection of each source."""
+    import math
+
+    docs = [(i, "w " * (1 + i * i % 97), "abc"[i % 7 % 3]) for i in range(400)]
+    rows = mixing.mix(frame(spark, docs)).collect()
+    size = {i: 1 + i * i % 97 for i, _, _ in docs}
+    sizes = {s: sum(size[i] for i, _, x in docs if x == s) for s in "abc"}
+    target = plain_targets(sizes)
+    for source in "abc":
+        own = [size[i] for i, _, x in docs if x == source]
+        low, high = -50.0, 50.0
+        for _ in range(200):
+            tilt = (low + high) / 2
+            got = sum(s * min(3.0, math.exp(min(50.0, tilt * s / 97))) for s in own)
+            low, high = (tilt, high) if got < target[source] else (low, tilt)
+        for r in rows:
+            if docs[r.doc_id][2] == source and target[source] < 3 * sizes[source] * (1 - 1e-9):
+                assert abs(r.rate - min(3.0, math.exp(tilt * size[r.doc_id] / 97))) < 1e-3
+
+
+def test_repeated_rows_are_spread(spark, monkeypatch):
+    monkeypatch.setattr(mixing, "CHUNK", 50)
+    docs = [(None, "same text here", "a")] * 1000 + [(i, "w " * (i % 30 + 1), "b") for i in range(300)]
+    rows = mixing.mix(frame(spark, docs)).collect()
+    assert len(rows) == 1300 and sum(r.doc_id is None for r in rows) == 1000
+    sizes = {"a": 3000, "b": sum(i % 30 + 1 for i in range(300))}
+    target = plain_targets(sizes)
+    assert abs(sum(r.taken for r in rows if r.doc_id is None) - target["a"]) <= 3 * 1000 / 50
+    plan = mixing.mix(frame(spark, docs))._jdf.queryExecution().optimizedPlan().toString()
+    assert "FlatMapGroupsInPandas" in plan and "explode" in plan
+
+
+def test_a_column_of_that_name_is_kept(spark, tmp_path):
+    docs = frame(spark, [(1, "a b c", "s"), (2, "d e", "s")]).selectExpr("*", "7 as Mix_Copies", "8 as mix_copies_before")
+    kept = mixing.apply(docs)
+    kept.write.parquet(str(tmp_path / "out"))
+    assert kept.columns[-1] == "mix_copies" and "Mix_Copies_before_before" in kept.columns
