@@ -1,135 +1,169 @@
-"""Recurring lines, found as log templates.
-
-Lines are parsed by a tree of fixed depth: by the number of tokens, then by the first ``LEADING`` tokens. A token with
-a digit is a variable field from the start. In a leaf that lines of ``MIN_DOCS`` documents reach, the tokens that
-stand at their place in lines of that many documents are constant, and the others are variable fields as well. A
-line's template is its leaf and its constants, if they make up ``CONSTANT`` of its tokens. A template recurs if at
-least ``MIN_DOCS`` documents have a line of it. The document with the smallest identifier keeps its lines of the
-template, all others lose them.
-
-Documents with equal texts count as one, so a text's exact copies alone don't make its lines recur.
-
-All is DataFrame functions. Texts stay where they are read, unless so many documents lose lines that their list can't
-be broadcast. What is shuffled is hashes of lines, and tokens of lines in leaves that recur. Nothing is grouped by
-template without being aggregated first, so a line in a third of all documents costs a row per task.
-
-Defined cases: a null text stays null and has no lines; blank lines have no template and stay; a document that loses
-all lines has an empty text; rows that repeat are one document in counts and lose the same lines; a null identifier
-counts as larger than any; an empty table gives none. Other columns of the rows may have any name.
+"""Recurring lines and sentences, found as log templates.
+
+A text is cut into segments: its lines, and these after each sentence end that is followed by a blank, so a passage that
+recurs inside of longer lines is found as well. A segment that is only a part of its line takes part with ``LONG`` tokens
+or more. A token with a digit is a variable field from the start, and a segment needs ``CONSTANT`` of its tokens to be
+none.
+
+Segments are parsed by a tree of fixed depth: by the number of tokens, then by the first ``LEADING`` tokens. In a leaf
+each document has one vote, divided among its segments there. The word with most votes at a place is the constant there if
+it has half of all; the place is a variable field for every segment of the leaf if none has. The leaf's template is its
+constants, if they are ``CONSTANT`` of all places. A segment that agrees with ``AGREE`` of them belongs to it, also one
+with a word edited; any other is a template of its own. A template recurs if ``MIN_DOCS`` documents have it, or two for templates of ``LONG`` tokens or more, which do not come about by
+chance. The document with the smallest identifier keeps its segments of the template, all others lose them.
+
+Documents are told apart by their texts: exact copies count as one, keep or lose the same segments, and stay copies.
+
+All is DataFrame functions, and one plan for all sizes: what is found out is joined by the hash of the text, so texts are
+shuffled once, and before that only hashes of segments. A segment in a third of all documents is counted by document
+first and then added up, and joins by segment or text may be split by Spark, as one of their sides has a row for each.
+
+Defined cases: a null text stays null and has no segments; blank ones have no template and stay; a line that loses all
+its segments goes with its line end, in another the rest stays as it is; a document that loses all lines has an empty
+text; rows that repeat lose the same; a null identifier counts as larger than any; an empty table gives none. Other
+columns of the rows may have any name. The noncharacter ``MARK`` is dropped from texts that lose something.
 """
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from emberlog.llm.common import cut, if_small
+from emberlog.llm.common import cut, let, shared_dir
 
-LEADING, MIN_DOCS, CONSTANT = 3, 3, 0.6
+LEADING, MIN_DOCS, CONSTANT, AGREE, LONG = 3, 3, 0.6, 0.8, 6
 FIELD = "<*>"
-#: Lines, or places of lines, of which a list is broadcast at most (some 50 MB); beyond, the texts are shuffled.
-LISTED = 1_000_000
+#: Tiles a text: up to a sentence end with its blanks, or to the end of a line.
+PIECE = r"(?s)(?=.)(?:[^\n.!?]++|[.!?]++(?![ \t\r]))*+(?:[.!?]++[ \t\r]++\n?+|\n|\z)"
 #: A token with a digit, from its first character on.
-VARIABLE = r"(?<![^ \t\r])[^ \t\r0-9]*+[0-9][^ \t\r]*+"
+VARIABLE = r"(?<![^ ])[^ 0-9]*+[0-9][^ ]*+"
+#: A document's vote, which many numbers divide.
+VOTE = 720_720
+#: Stands for a lost segment until its line is known to stay.
+MARK = "\uffff"
 
 
-def tokens(line: Column) -> Column:
-    """Tokens between blanks, tabs and carriage returns, variable fields masked. ``line`` has none of these at its ends."""
-    masked = F.when(F.regexp_like(line, F.lit("[0-9]")), F.regexp_replace(line, VARIABLE, FIELD)).otherwise(line)
-    return F.split(masked, "[ \t\r]+")
+def pieces(text: Column) -> Column:
+    return F.regexp_extract_all(text, F.lit(PIECE), F.lit(0))
 
 
-def lines(docs: DataFrame) -> DataFrame:
-    """``id``, ``digest`` of the text, ``no`` (from 0), ``raw``, ``leaf`` and ``line`` (hashes) of each line that isn't blank."""
-    rows = docs.select(
-        F.col("doc_id").alias("id"),
-        F.xxhash64(F.col("text").cast("string")).alias("digest"),
-        F.posexplode(F.split(F.col("text").cast("string"), "\n", -1)).alias("no", "raw"),
-    )
-    words = F.col("words")
-    return (
-        rows.withColumn("raw", F.btrim("raw", F.lit(" \t\r")))
-        .where("raw <> ''")
-        .withColumn("words", tokens(F.col("raw")))
-        .select("id", "digest", "no", "raw", F.xxhash64(F.size(words), F.slice(words, 1, LEADING)).alias("leaf"), F.xxhash64(words).alias("line"))
+def segments(docs: DataFrame, constant: float = CONSTANT) -> DataFrame:
+    """``id``, ``digest`` of the text, ``no`` (from 0), ``masked``, ``n`` (tokens), ``leaf`` and ``line`` (hashes) of each segment that takes part."""
+
+    def with_place(all_pieces: Column) -> Column:
+        def one(piece: Column, i: Column) -> Column:
+            opens = (i == 0) | F.endswith(F.get(all_pieces, i - 1), F.lit("\n"))
+            closes = (i == F.size(all_pieces) - 1) | F.endswith(piece, F.lit("\n"))
+            return F.struct(piece.alias("piece"), (opens & closes).alias("whole"))
+
+        return F.transform(all_pieces, one)
+
+    text = F.col("text").cast("string")
+    # an inner explode would make the array twice, to test its size
+    rows = docs.select(F.col("doc_id").cast("long").alias("id"), F.xxhash64(text).alias("digest"), F.posexplode_outer(let(pieces(text), with_place)).alias("no", "at"))
+    line, masked = F.col("line"), F.col("masked")
+    rows = rows.select("id", "digest", "no", F.btrim("at.piece", F.lit(" \t\r\n")).alias("line"), "at.whole").where("line <> ''")
+    rows = rows.withColumn("line", F.when(F.regexp_like(line, F.lit("[\t\r]|  ")), F.regexp_replace(line, "[ \t\r]+", " ")).otherwise(line))
+    rows = rows.withColumn("masked", F.when(F.regexp_like(line, F.lit("[0-9]")), F.regexp_replace(line, VARIABLE, FIELD)).otherwise(line))
+    rows = rows.withColumn("n", F.length(masked) - F.length(F.replace(masked, F.lit(" "), F.lit(""))) + 1)
+    fields = F.when(F.contains(masked, F.lit(FIELD)), F.regexp_count(masked, F.lit(r"(?<![^ ])<\*>(?![^ ])"))).otherwise(0)
+    rows = rows.where((F.col("whole") | (F.col("n") >= LONG)) & (F.col("n") - fields >= F.lit(constant) * F.col("n")))
+    return rows.select(
+        "id", "digest", "no", "masked", "n", F.xxhash64("n", F.substring_index("masked", " ", LEADING)).alias("leaf"), F.xxhash64("masked").alias("line")
     )
 
 
+def needed(n: Column, min_docs: int) -> Column:
+    return F.when(n >= LONG, 2).otherwise(min_docs)
+
+
+def holder() -> Column:
+    """The text that keeps a template: that of the smallest identifier."""
+    return F.min(F.struct(F.coalesce("id", F.lit(2**63 - 1)).alias("id"), "digest"))
+
+
 def recurring(docs: DataFrame, min_docs: int = MIN_DOCS, constant: float = CONSTANT) -> tuple[DataFrame, DataFrame]:
-    """Places of all lines (``id``, ``digest``, ``no``, ``leaf``, ``line``), and the lines whose template recurs.
+    """Places of all segments (``digest``, ``no``, ``leaf``, ``line`` and others), and the segments whose template recurs.
 
-    The latter are ``leaf``, ``line``, ``first`` (the smallest identifier that has the template) and ``docs``, how many have it.
+    The latter are ``leaf``, ``line`` and ``kept``, the digest of the text that keeps the template.
     """
-    places = cut(lines(docs).select("id", "digest", "no", "leaf", "line"))
-    # each line of each text once
-    held = places.groupBy("leaf", "line", "digest").agg(F.min("id").alias("id"))
-    common = places.select("leaf", "digest").distinct().groupBy("leaf").count().where(F.col("count") >= min_docs).select("leaf")
-    held = cut(held.join(if_small(cut(common)), "leaf", "left_semi"))
-    kinds = cut(held.groupBy("leaf", "line").agg(F.count("*").alias("docs")))
-    told = lines(docs).select("leaf", "line", "raw").join(if_small(kinds, LISTED), ["leaf", "line"]).groupBy("leaf", "line").agg(F.any_value("raw").alias("raw"), F.any_value("docs").alias("docs"))
-    each = told.withColumn("words", tokens(F.col("raw"))).select("leaf", "line", "docs", F.size("words").alias("n"), F.posexplode("words").alias("at", "word"))
-    each = cut(each.select("leaf", "line", "docs", "n", F.xxhash64("at", "word").alias("token"), (F.col("word") == FIELD).alias("field")))
-    fixed = cut(each.where("not field").groupBy("leaf", "token").agg(F.sum("docs").alias("often")).where(F.col("often") >= min_docs).select("leaf", "token"))
-    template = (
-        each.join(if_small(fixed), ["leaf", "token"])
-        .groupBy("leaf", "line")
-        .agg(F.count("*").alias("constants"), F.bit_xor("token").alias("template"), F.any_value("n").alias("n"))
-        .where(F.col("constants") >= F.lit(constant) * F.col("n"))
-        .select("leaf", "line", F.struct("leaf", "template").alias("template"))
-    )
-    template = cut(template)
-    known = held.join(if_small(template), ["leaf", "line"])
+    spark = docs.sparkSession
+    path = f"{shared_dir(spark)}/segments-{uuid.uuid4().hex}"
+    segments(docs, constant).drop("masked").write.parquet(path)
+    places = spark.read.schema("id long, digest long, no int, n int, leaf long, line long").parquet(path)
+
+    def held(rows: DataFrame) -> DataFrame:
+        return rows.groupBy("leaf", "line", "digest").agg(F.min("id").alias("id"), F.any_value("n").alias("n"))
+
+    kinds = cut(held(places).groupBy("leaf", "line").agg(F.count("*").alias("docs"), holder().alias("first"), F.any_value("n").alias("n")))
+    leaves = kinds.groupBy("leaf").agg(F.count("*").alias("lines"), F.min("first.digest").alias("low"), F.max("first.digest").alias("high"), F.max("docs").alias("most"))
+    mixed = cut(leaves.where("lines > 1 and (low <> high or most > 1)").select("leaf"))
+    alone = kinds.join(mixed, "leaf", "left_anti").where(F.col("docs") >= needed(F.col("n"), min_docs)).select("leaf", "line", F.col("first.digest").alias("kept"))
+
+    # leaves with several kinds of segments: votes by place
+    inside = cut(held(places.join(mixed, "leaf", "left_semi")))
+    shares = inside.join(inside.groupBy("leaf", "digest").agg(F.count("*").alias("own")), ["leaf", "digest"])
+    votes = shares.groupBy("leaf", "line").agg(F.sum(F.floor(F.lit(VOTE) / F.col("own")).cast("long")).alias("votes"))
+    told = segments(docs, constant).select("leaf", "line", "masked").join(cut(votes), ["leaf", "line"])
+    told = told.groupBy("leaf", "line").agg(F.any_value("masked").alias("masked"), F.any_value("votes").alias("votes"))
+    each = cut(told.select("leaf", "line", "votes", F.posexplode_outer(F.split("masked", " ")).alias("at", "word")))
+    values = each.groupBy("leaf", "at", "word").agg(F.sum("votes").alias("votes"))
+    top = F.max(F.when(F.col("word") != FIELD, F.struct("votes", "word")))
+    fixed = values.groupBy("leaf", "at").agg(F.sum("votes").alias("all"), top.alias("top")).where("2 * top.votes >= all").select("leaf", "at", F.col("top.word").alias("constant"))
+    own = each.join(fixed, ["leaf", "at"], "left")
+    template = own.groupBy("leaf", "line").agg(F.count("*").alias("n"), F.count("constant").alias("fixed"), F.count_if(F.col("word") == F.col("constant")).alias("agrees"))
+    general = (F.col("fixed") >= F.lit(constant) * F.col("n")) & (F.col("agrees") >= F.lit(AGREE) * F.col("fixed"))
+    template = cut(template.select("leaf", "line", "n", F.when(general, F.lit(None).cast("long")).otherwise(F.col("line")).alias("template")))
+    known = inside.select("leaf", "line", "digest", "id").join(template, ["leaf", "line"])
     often = (
-        known.groupBy("template", "digest").agg(F.min("id").alias("id"))
-        .groupBy("template").agg(F.count("*").alias("docs"), F.min("id").alias("first"))
-        .where(F.col("docs") >= min_docs)
+        known.groupBy("leaf", "template", "digest").agg(F.min("id").alias("id"), F.any_value("n").alias("n"))
+        .groupBy("leaf", "template").agg(F.count("*").alias("docs"), holder().alias("first"), F.any_value("n").alias("n"))
+        .where(F.col("docs") >= needed(F.col("n"), min_docs))
     )
-    return places, cut(template.join(if_small(cut(often)), "template").select("leaf", "line", "first", "docs"))
-
-
-def places_in(lost: DataFrame) -> int:
-    return lost.agg(F.coalesce(F.sum(F.size("_lost") + 1), F.lit(0)).alias("n")).first()["n"]
+    often = often.select(F.col("leaf").alias("_leaf"), F.col("template").alias("_template"), F.col("first.digest").alias("kept"))
+    several = template.join(often, (F.col("leaf") == F.col("_leaf")) & F.col("template").eqNullSafe(F.col("_template"))).select("leaf", "line", "kept")
+    return places, alone.unionByName(several)
 
 
 def cleaned(docs: DataFrame, min_docs: int = MIN_DOCS, constant: float = CONSTANT) -> DataFrame:
-    """Each row of ``docs`` as ``row``, with ``text`` after the lines are dropped, ``n_lines`` and ``n_dropped``."""
+    """Each row of ``docs`` as ``row``, with ``text`` after segments are dropped, ``n_segments`` and ``n_dropped``."""
     places, found = recurring(docs, min_docs, constant)
-    lost = (
-        places.join(if_small(found), ["leaf", "line"])
-        .where(~F.col("id").eqNullSafe(F.col("first")))
-        .groupBy(F.coalesce(F.col("id").cast("string"), F.lit("")).alias("_key"), F.col("digest").alias("_digest"))
-        .agg(F.collect_set("no").alias("_lost"))
-    )
-    lost = cut(lost)
-    if places_in(lost) <= LISTED:
-        lost = F.broadcast(lost)
+    lost = places.join(found, ["leaf", "line"]).where("digest <> kept").groupBy(F.col("digest").alias("_digest")).agg(F.sort_array(F.collect_set("no")).alias("_lost"))
     text = F.col("text").cast("string")
-    rows = docs.select(
-        F.coalesce(F.col("doc_id").cast("string"), F.lit("")).alias("_key"),
-        F.xxhash64(text).alias("_digest"),
-        text.alias("_text"),
-        F.struct(*[F.col(f"`{n}`") for n in docs.columns]).alias("row"),
-    ).join(lost, ["_key", "_digest"], "left")
-    split = F.split(F.col("_text"), "\n", -1)
-    kept = F.array_except(F.sequence(F.lit(0), F.size(split) - 1), F.col("_lost"))
-    left = F.array_join(F.transform(kept, lambda i: F.get(split, i)), "\n")
+    rows = docs.select(F.xxhash64(text).alias("_digest"), text.alias("_text"), F.struct(*[F.col(f"`{n}`") for n in docs.columns]).alias("row"))
+    rows = rows.join(lost, "_digest", "left").withColumn("_pieces", pieces(F.col("_text")))
+
+    def rest(lost: Column) -> Column:
+        """Runs of pieces between lost ones, each followed by what stands for the lost one."""
+
+        def run(at: Column, i: Column) -> Column:
+            begin = F.coalesce(F.get(lost, i - 1), F.lit(-1)) + 1
+            piece = F.get(F.col("_pieces"), at)
+            return F.concat(F.array_join(F.slice("_pieces", begin + 1, at - begin), ""), F.lit(MARK), F.when(F.endswith(piece, F.lit("\n")), "\n").otherwise(""))
+
+        last = F.element_at(lost, -1)
+        return F.concat(F.array_join(F.transform(lost, run), ""), F.array_join(F.slice("_pieces", last + 2, F.size("_pieces")), ""))
+
+    gone = F.regexp_replace(rest(F.col("_lost")), rf"(?<![^\n])[ \t\r]*+{MARK}[ \t\r{MARK}]*+(?:\n|\z)", "")
     return rows.select(
         "row",
-        F.when(F.col("_lost").isNull(), F.col("_text")).otherwise(left).alias("text"),
-        F.when(F.col("_text").isNull(), F.lit(0)).otherwise(F.length("_text") - F.length(F.replace("_text", F.lit("\n"))) + 1).cast("long").alias("n_lines"),
+        F.when(F.col("_lost").isNull(), F.col("_text")).otherwise(F.replace(gone, F.lit(MARK), F.lit(""))).alias("text"),
+        F.coalesce(F.size("_pieces"), F.lit(0)).cast("long").alias("n_segments"),
         F.coalesce(F.size("_lost"), F.lit(0)).cast("long").alias("n_dropped"),
     )
 
 
 def drop_recurring(docs: DataFrame, min_docs: int = MIN_DOCS, constant: float = CONSTANT) -> DataFrame:
-    """``doc_id``, ``n_lines``, ``n_dropped`` and the ``text`` that is left of each row."""
-    return cleaned(docs, min_docs, constant).select("row.doc_id", "n_lines", "n_dropped", "text")
+    """``doc_id``, ``n_segments``, ``n_dropped`` and the ``text`` that is left of each row."""
+    return cleaned(docs, min_docs, constant).select("row.doc_id", "n_segments", "n_dropped", "text")
 
 
 def keep_rest(docs: DataFrame, min_docs: int = MIN_DOCS, constant: float = CONSTANT) -> DataFrame:
-    """``docs`` with the recurring lines dropped from the text, and without the documents that lose all they have.
+    """``docs`` with the recurring segments dropped from the text, and without the documents that lose all they have.
 
-    ``n_chars`` is set to the length of what is left where lines were dropped.
+    ``n_chars`` is set to the length of what is left where segments were dropped.
     """
     rest = cleaned(docs, min_docs, constant)
     rest = rest.where((F.col("n_dropped") == 0) | F.regexp_like("text", F.lit(r"[^\x20\x09-\x0D]")))
@@ -143,32 +177,47 @@ def keep_rest(docs: DataFrame, min_docs: int = MIN_DOCS, constant: float = CONST
     return rest.select(*[value(n).alias(n) for n in docs.columns])
 
 
-#: The same in DuckDB, with texts in place of hashes.
+#: The definition in DuckDB: texts, lists of tokens and places themselves, no hashes.
 SQL = f"""
-with t as (select doc_id as id, text, unnest(string_split(text, chr(10))) as raw, generate_subscripts(string_split(text, chr(10)), 1) - 1 as no from documents),
+with t as (select distinct text, min(doc_id) over (partition by text) as id from documents where text is not null),
+by_line as (select id, text, unnest(string_split(text, chr(10))) as raw, generate_subscripts(string_split(text, chr(10)), 1) as line_no, len(string_split(text, chr(10))) as n_lines from t),
+cut as (
+  select id, text, line_no, n_lines, list_filter(string_split(regexp_replace(raw, '([.!?]+[ \t\r]+)', '\\1' || chr(1), 'g'), chr(1)), lambda x: x <> '') as segs from by_line),
+s as (select id, text, line_no, n_lines, unnest(segs) as seg, generate_subscripts(segs, 1) as seg_no, len(segs) = 1 as whole from cut),
 w as (
-  select id, text, no, list_filter(string_split_regex(raw, '[ \\t\\r]+'), lambda x: x <> '') as bare from t),
-l as (
-  select id, text, no, list_transform(bare, lambda x: case when regexp_matches(x, '[0-9]') then '{FIELD}' else x end) as words
-  from w where len(bare) > 0),
-p as (select id, text, no, words, (len(words), words[1:{LEADING}])::varchar as leaf from l),
-held as (select leaf, words, text, min(id) as id from p group by all),
-common as (select leaf from (select distinct leaf, text from p) group by leaf having count(*) >= {MIN_DOCS}),
-kinds as (select leaf, words, count(*) as docs from held where leaf in (select leaf from common) group by all),
-each as (select leaf, words, docs, unnest(words) as word, generate_subscripts(words, 1) as place from kinds),
-fixed as (select leaf, place, word from each where word <> '{FIELD}' group by all having sum(docs) >= {MIN_DOCS}),
+  select *, list_transform(list_filter(string_split_regex(seg, '[ \t\r]+'), lambda x: x <> ''), lambda x: case when regexp_matches(x, '[0-9]') then '{FIELD}' else x end) as words from s),
+p as (
+  select *, (len(words), words[1:{LEADING}])::varchar as leaf from w
+  where len(words) > 0 and (whole or len(words) >= {LONG}) and len(list_filter(words, lambda x: x <> '{FIELD}')) >= {CONSTANT} * len(words)),
+held as (select distinct leaf, words, id, text from p),
+votes as (
+  select leaf, words, sum({VOTE} // own) as votes from held join (select leaf, text, count(*) as own from held group by all) using (leaf, text) group by all),
+each as (select leaf, words, votes, unnest(words) as word, generate_subscripts(words, 1) as place from votes),
+tops as (
+  select leaf, place, word, v, sum(v) over (partition by leaf, place) as whole from (select leaf, place, word, sum(votes) as v from each group by all)),
+fixed as (
+  select leaf, place, word as constant from tops where word <> '{FIELD}' and 2 * v >= whole
+  qualify row_number() over (partition by leaf, place order by v desc, word desc) = 1),
+agree as (
+  select leaf, words, count(constant) as fixed, count(*) filter (where word = constant) as agrees from each left join fixed using (leaf, place) group by leaf, words),
 template as (
-  select leaf, words, (leaf, list((place, word) order by place))::varchar as template from each join fixed using (leaf, place, word)
-  group by leaf, words having count(*) >= {CONSTANT} * len(words)),
+  select leaf, words, case when fixed >= {CONSTANT} * len(words) and agrees >= {AGREE} * fixed then 'the template of the leaf' else words::varchar end as template from agree),
 often as (
-  select template, count(*) as docs, min(id) as first from (
-    select template, text, min(id) as id from held join template using (leaf, words) group by all)
-  group by template having count(*) >= {MIN_DOCS}),
+  select leaf, template, arg_min(text, id) as kept from (select distinct leaf, template, id, text, len(words) as n from held join template using (leaf, words))
+  group by leaf, template having count(*) >= case when max(n) >= {LONG} then 2 else {MIN_DOCS} end),
 lost as (
-  select p.id, p.text, list(distinct p.no) as lost from p join template using (leaf, words) join often using (template) where p.id <> first group by all),
-d as (select doc_id, documents.text, coalesce(lost, []) as lost from documents left join lost on documents.doc_id = lost.id and documents.text = lost.text)
-select doc_id, cast(coalesce(len(string_split(text, chr(10))), 0) as bigint) as n_lines, cast(len(lost) as bigint) as n_dropped,
-  case when len(lost) = 0 then text
-    else array_to_string(list_filter(string_split(text, chr(10)), lambda x, i: not list_contains(lost, i - 1)), chr(10)) end as text
-from d
+  select p.text, line_no, seg_no from p join template using (leaf, words) join often using (leaf, template) where p.text <> kept),
+marked as (select s.*, l.seg_no is not null as gone from s left join lost l on s.text = l.text and s.line_no = l.line_no and s.seg_no = l.seg_no),
+lines as (
+  select text, line_no, n_lines, count(*) filter (where gone) as dropped, bool_and(gone or regexp_matches(seg, '^[ \t\r]*$')) as blank,
+    string_agg(case when gone then '' else seg end, '' order by seg_no) as rest from marked group by all),
+all_lines as (select c.text, c.line_no, c.n_lines, len(segs) as n_segs, coalesce(dropped, 0) as dropped, coalesce(blank, true) as blank, coalesce(rest, '') as rest
+  from cut c left join lines l on c.text = l.text and c.line_no = l.line_no),
+done as (
+  select text, sum(dropped) as dropped,
+    coalesce(string_agg(rest || case when line_no < n_lines then chr(10) else '' end, '' order by line_no) filter (where not (dropped > 0 and blank)), '') as rest
+  from all_lines group by text),
+pieces as (select text, sum(case when n_segs = 0 then case when line_no < n_lines then 1 else 0 end else n_segs end) as n from all_lines group by text)
+select doc_id, cast(coalesce(n, 0) as bigint) as n_segments, cast(coalesce(dropped, 0) as bigint) as n_dropped, case when coalesce(dropped, 0) = 0 then d.text else rest end as text
+from documents d left join done on d.text = done.text left join pieces on d.text = pieces.text
 """
