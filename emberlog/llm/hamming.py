@@ -192,7 +192,8 @@ def components(links: DataFrame) -> DataFrame:
 
 
 def classes(rows: DataFrame, radius: int, near: Near) -> DataFrame:
-    """``rows`` (``doc_id``, ``fp``; cut) with ``component_id``, the smallest ``doc_id`` that links within ``radius`` reach.
+    """``rows`` (``doc_id``, ``fp``; cut) with ``component_id``, the smallest ``doc_id`` that links within ``radius`` reach,
+    and ``top``, the fingerprint that stands for the component.
 
     Links between fingerprints are found among the distinct ones. A null ``doc_id`` is passed over when the smallest
     one is taken; a component without any other has null.
@@ -200,7 +201,7 @@ def classes(rows: DataFrame, radius: int, near: Near) -> DataFrame:
     distinct = cut(rows.groupBy("fp").agg(F.min("doc_id").alias("least")))
     found = components(edges(distinct, distinct.count(), radius, near))
     named = distinct.join(found.select(F.col("a").alias("fp"), F.col("b").alias("top")), "fp", "left").withColumn("top", F.coalesce("top", "fp"))
-    linked = named.join(named.where("top <> fp").select("top").distinct(), "top", "left_semi")
-    least = linked.groupBy("top").agg(F.min("least").alias("lowest"))
-    named = cut(named.join(least, "top", "left").select("fp", F.coalesce("lowest", "least").alias("component_id")))
+    # a component with a third of all fingerprints is added up before the shuffle, and its row goes to them
+    groups = cut(named.groupBy("top").agg(F.min("least").alias("lowest"), F.count("*").alias("n")).where("n > 1").drop("n"))
+    named = cut(named.join(if_small(groups), "top", "left").select("fp", "top", F.coalesce("lowest", "least").alias("component_id")))
     return rows.join(named, "fp")

@@ -123,15 +123,16 @@ def near(pivots: np.ndarray, others: np.ndarray, radius: int) -> np.ndarray:
     return out
 
 
-def fingerprints(docs: DataFrame, width: int = SHINGLE) -> DataFrame:
-    """``doc_id`` and ``fp`` (the fingerprint's bits as a long) of each row."""
+def fingerprints(docs: DataFrame, width: int = SHINGLE, *also: str) -> DataFrame:
+    """``doc_id``, columns ``also`` (longs) and ``fp`` (the fingerprint's bits as a long) of each row."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in small(batches):
             values = np.array([simhash(t, width) for t in texts(batch.column(1))], np.uint64)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(values.view(np.int64))], ["doc_id", "fp"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), *batch.columns[2:], pa.array(values.view(np.int64))], ["doc_id", *also, "fp"])
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(run, "doc_id long, fp long")
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), *also)
+    return rows.mapInArrow(run, ", ".join(f"{name} long" for name in ("doc_id", *also, "fp")))
 
 
 def near_duplicates(docs: DataFrame, width: int = SHINGLE, radius: int = RADIUS) -> DataFrame:
@@ -141,14 +142,18 @@ def near_duplicates(docs: DataFrame, width: int = SHINGLE, radius: int = RADIUS)
 
 
 def keep_one(docs: DataFrame, width: int = SHINGLE, radius: int = RADIUS) -> DataFrame:
-    """The row of ``docs`` with the smallest identifier of each component, whole.
+    """One row of ``docs`` of each component, whole: that of the smallest identifier.
 
-    Of rows with the same identifier and text one stays; different texts under that identifier all stay, and so do
-    different texts without an identifier if no other document is in their component.
+    Rows are told apart by identifier and text: of different texts under the smallest identifier, or without any in the
+    whole component, the one with the smallest hash stays, and of equal rows one.
     """
-    key = F.coalesce(F.col("doc_id").cast("string"), F.lit(""))
-    groups = near_duplicates(docs, width, radius)
-    stay = cut(groups.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(key.alias("_key")).distinct())
-    held = docs.select(key.alias("_key"), F.struct(*[F.col(f"`{n}`") for n in docs.columns]).alias("_row"))
-    one = Window.partitionBy("_key", "_row.text").orderBy(F.lit(0))
-    return held.join(stay, "_key", "left_semi").withColumn("_no", F.row_number().over(one)).where("_no = 1").select("_row.*")
+    rows = docs.select("doc_id", "text", F.xxhash64("text").alias("digest"))
+    found = classes(cut(fingerprints(rows, width, "digest")), radius, near)
+    whose = F.struct(F.col("doc_id").isNull().alias("nameless"), "doc_id", "digest")
+    first = found.groupBy("top").agg(F.min(whose).alias("first"))
+    stay = cut(first.select(F.coalesce(F.col("first.doc_id").cast("string"), F.lit("")).alias("_key"), F.col("first.digest").alias("_digest")).distinct())
+    held = docs.select(
+        F.coalesce(F.col("doc_id").cast("long").cast("string"), F.lit("")).alias("_key"), F.xxhash64("text").alias("_digest"), F.struct(*[F.col(f"`{n}`") for n in docs.columns]).alias("_row")
+    )
+    one = Window.partitionBy("_key", "_digest").orderBy(F.lit(0))
+    return held.join(stay, ["_key", "_digest"], "left_semi").withColumn("_no", F.row_number().over(one)).where("_no = 1").select("_row.*")

@@ -114,3 +114,17 @@ def test_large_buckets_are_cut(spark, monkeypatch):
     rows = spark.createDataFrame([(i, int(f)) for i, f in enumerate(fps.astype(np.int64))], "doc_id long, fp long")
     found = sorted((r.doc_id, r.component_id) for r in hamming.classes(rows, 4, near_dedup.near).collect())
     assert [c for _, c in found] == plain_components(range(len(fps)), fps, 4)
+
+
+def test_one_row_of_each_component_stays(spark):
+    """Also where no row has an identifier, or the identifier repeats with another text."""
+    base = " ".join(f"word{i}" for i in range(400))
+    other = " ".join(f"other{i}" for i in range(400))
+    near_base, near_other = base + " more", other + " more"
+    rows = [(None, base), (None, near_base), (None, base), (4, other), (4, near_other), (7, other), (9, "alone"), (None, "all by itself")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    links = near_dedup.near_duplicates(docs).collect()
+    assert len({r.fingerprint for r in links}) >= 4
+    kept = [(r.doc_id, r.text) for r in near_dedup.keep_one(docs).collect()]
+    assert len(kept) == 4 and sum(i is None for i, _ in kept) == 2 and sum(i == 4 for i, _ in kept) == 1 and (9, "alone") in kept
+    assert sum(t in (base, near_base) for _, t in kept) == 1
