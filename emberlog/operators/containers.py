@@ -8,7 +8,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from emberlog.catalogue import MAX_KEYWORD_CHARS
+from emberlog.catalogue import LEVELS, MAX_KEYWORD_CHARS
 from emberlog.functions.text import any_keyword, keyword_span, let, trim_first_tab
 from emberlog.operators.ordering import ROWS_PER_CHUNK, running_counts
 from emberlog.operators.records import is_kept, segments_of, split_records
@@ -91,11 +91,13 @@ QUARANTINE = "Quarantine"
 
 
 def entries_from_text(
-    files: DataFrame, keywords: list[str], levels: bool = True, left_out: Column | None = None
+    files: DataFrame, keywords: list[str], levels: bool = True, left_out: Column | None = None, once: bool = False
 ) -> DataFrame:
     """Entries of whole files in one narrow pass; with levels, none of files with a short header.
 
-    A file with a null value gives one entry of section QUARANTINE if ``left_out`` has a reason for it.
+    A file with a null value gives one entry of section QUARANTINE if ``left_out`` has a reason for it. With ``once``,
+    files with the same ``container_id`` and equal lists give their entries once; of a stream, the hashes of the lists
+    are the state that is kept.
     """
     entry = "array<struct<section:string,ord:bigint,text:string>>"
     marker = F.array(F.struct(F.lit(MARKER), F.lit(0), F.lit(None).cast("string"))).cast(entry)
@@ -117,7 +119,11 @@ def entries_from_text(
     if left_out is not None:
         why = F.array(F.struct(F.lit(QUARANTINE), F.lit(0), left_out)).cast(entry)
         found = F.when(F.col("value").isNotNull(), found).otherwise(F.when(left_out.isNotNull(), why))
-    rows = files.select("container_id", F.explode(found).alias("_entry"))
+    rows = files.select("container_id", found.alias("_found"))
+    if once:
+        rows = rows.withColumns({f"_hash{seed}": lists_hash(F.col("_found"), seed) for seed in (1, 2)})
+        rows = rows.dropDuplicates(["container_id", "_hash1", "_hash2"])
+    rows = rows.select("container_id", F.explode("_found").alias("_entry"))
     flat = rows.select("container_id", "_entry.section", "_entry.ord", "_entry.text")
     section, text = F.col("section"), F.col("text")
     kept = flat.filter(section.isin(KEYWORD, MARKER, QUARANTINE) | is_kept(section, text))
@@ -127,6 +133,16 @@ def entries_from_text(
     return kept.withColumn("text", F.when(section == KEYWORD, span).otherwise(text))
 
 
+def lists_hash(found: Column, seed: int) -> Column:
+    """Hash of the lists that the entries of a file make: by section, without the places of what is in none of them."""
+
+    def texts(section: str) -> Column:
+        own = F.filter(found, lambda entry: (entry["section"] == section) & (is_kept(entry["section"], entry["text"]) | F.lit(section in (KEYWORD, QUARANTINE))))
+        return F.transform(own, lambda entry: entry["text"])
+
+    return F.xxhash64(F.lit(seed), *[x for section in (*LEVELS, KEYWORD, QUARANTINE) for x in (F.lit(section), texts(section))])
+
+
 def entries(ids: DataFrame, segments: DataFrame | None, spans: DataFrame | None) -> DataFrame:
     """The same rows from parts: container ids, merged records and keyword spans."""
     rows = ids.select(

@@ -48,3 +48,32 @@ def test_file_over_the_limit_is_named_and_the_stream_goes_on(spark, tmp_path, mo
     run_once(spark, str(tmp_path / "logs"), str(tmp_path / "out"), str(tmp_path / "state")).awaitTermination()
     found = {(section, path.rsplit("/", 1)[1], text) for section, _, path, _, text in rows_of(tmp_path / "out")}
     assert found == {("ERROR", "stderr.gz", "20/06/06 x ERROR y \t  \t "), ("Quarantine", "mystderr.gz", "too_large")}
+
+
+def test_a_container_delivered_twice_gives_one_entry(spark, tmp_path):
+    """Equal lists of a container come once, in one run, in a later one and after a restart; changed lists are added."""
+    logs, out, state = (tmp_path / name for name in ("logs", "out", "state"))
+
+    def put(day, name, text):
+        (logs / day / name).mkdir(parents=True)
+        (logs / day / name / "stderr.gz").write_bytes(gzip.compress(text.encode()))
+
+    def run():
+        run_once(spark, str(logs), str(out), str(state), "needle", identity="container_[0-9]+").awaitTermination()
+        return sorted((row[0], row[2], row[4]) for row in rows_of(out) if row[0] in ("ERROR", "WARN", "Keyword", "Quarantine"))
+
+    first = "20/06/06 x ERROR Executor needle\n20/06/06 x INFO one\n20/06/06 x WARN y"
+    put("monday", "container_1", first)
+    put("tuesday", "container_1", first)
+    put("tuesday", "container_2", first)
+    one = run()
+    assert [(s, c) for s, c, _ in one] == [(s, c) for s in ("ERROR", "Keyword", "WARN") for c in ("container_1", "container_2")]
+    put("wednesday", "container_1", first)
+    put("thursday", "container_2", first.replace("INFO one", "INFO other"))  # a record that is in no list
+    assert run() == one
+    put("friday", "container_1", first + " changed")
+    put("friday", "container_3", "20/06/06 x\n")
+    put("saturday", "container_3", "20/06/06 x\n")
+    more = run()
+    assert [(s, c) for s, c, _ in more if (s, c, _) not in one] == [("Quarantine", "container_3"), ("WARN", "container_1")]
+    assert len(more) == len(one) + 4  # the other two lists of the changed entry come again with it
