@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from emberlog.catalogue import LEVELS, MAX_KEYWORD_CHARS
 from emberlog.functions.text import any_keyword, keyword_span, let, trim_first_tab
 from emberlog.operators.ordering import ROWS_PER_CHUNK, running_counts
-from emberlog.operators.records import is_kept, segments_of, split_records
+from emberlog.operators.records import hash_names, is_kept, segments_of, split_records
 
 
 def summary(recs: DataFrame, extra: dict[str, Column] | None = None) -> DataFrame:
@@ -44,35 +44,41 @@ def summary_of_facts(facts: DataFrame) -> DataFrame:
 
 
 def fingerprinted(
-    recs: DataFrame, order: str = "rec_no", chunk: bool = False, rows_per_chunk: int = ROWS_PER_CHUNK
+    facts: DataFrame, order: str = "seg", chunk: bool = False, rows_per_chunk: int = ROWS_PER_CHUNK, ids: DataFrame | None = None
 ) -> DataFrame:
-    """Summary with a fingerprint of the three lists of the container.
+    """Summary with a fingerprint of the three lists of the container, from ``records.merged_facts`` (or facts with hashes).
 
     A record's place is its number among the kept records of its level, so records that are in no
-    list have no effect. Level, place and text are hashed with two seeds, and a container has the
+    list have no effect. Level, place and the hashes of the text are hashed with two seeds, and a container has the
     exclusive or of both hashes, the sum of a third one, and the number and length of its records:
-    equal lists give equal fingerprints, and different ones the same 192 bits by chance only
-    (hashes are not cryptographic). All of it can be built in any order and in parts.
+    equal lists give equal fingerprints, and different ones the same by chance only: 128 bits stand for a text and 192 for
+    the lists (hashes are not cryptographic). All of it can be built in any order and in parts, and no text is shuffled.
+    ``ids`` has the ``container_id`` of all containers, also of those without any record.
     """
-    level, record = F.col("level"), F.col("record")
-    keep = F.coalesce(is_kept(level, record), F.lit(False))
+    level = F.col("level")
+    keep = F.coalesce(level.isin("ERROR", "WARN") | ((level == "INFO") & F.col("cause")), F.lit(False))
     own = {f"_{name.lower()}": keep & (level == name) for name in ("ERROR", "WARN", "INFO")}
     if chunk:
-        recs = recs.withColumn("_part", F.floor(F.col(order) / rows_per_chunk).cast("long"))
-    numbered = running_counts(recs, "container_id", [order], "_part" if chunk else None, **own)
+        facts = facts.withColumn("_part", F.floor(F.col(order) / rows_per_chunk).cast("long"))
+    numbered = running_counts(facts, "container_id", [order], "_part" if chunk else None, **own)
     place = F.coalesce(*[F.when(level == name[1:].upper(), F.col(name)) for name in own])
 
     def hashed(seed: int) -> Column:
-        return F.when(keep, F.xxhash64(F.lit(seed), level, place, record))
-
-    return summary(
-        numbered,
-        {
-            "fp_a": F.coalesce(F.bit_xor(hashed(1)), F.lit(0)),
-            "fp_b": F.coalesce(F.bit_xor(hashed(2)), F.lit(0)),
-            "fp_c": F.coalesce(F.sum(hashed(3).cast("decimal(38,0)")), F.lit(0)).cast("string"),
-        },
+        return F.when(keep, F.xxhash64(F.lit(seed), level, place, *hash_names()))
+
+    found = numbered.groupBy("container_id").agg(
+        F.count_if(level == "ERROR").alias("n_error"),
+        F.count_if(level == "WARN").alias("n_warn"),
+        F.count_if((level == "INFO") & keep).alias("n_info_kept"),
+        F.sum(F.when(keep, F.col("n_chars"))).alias("n_chars"),
+        F.bit_xor(hashed(1)).alias("fp_a"),
+        F.bit_xor(hashed(2)).alias("fp_b"),
+        F.sum(hashed(3).cast("decimal(38,0)")).alias("fp_c"),
     )
+    if ids is not None:
+        found = ids.join(found, "container_id", "left")
+    zeros = {name: F.coalesce(name, F.lit(0)).cast("string" if name == "fp_c" else "long") for name in found.columns if name != "container_id"}
+    return found.withColumns(zeros)
 
 
 def accumulate(previous: DataFrame, new: DataFrame) -> DataFrame:
@@ -173,14 +179,23 @@ def entries(ids: DataFrame, segments: DataFrame | None, spans: DataFrame | None)
     return rows
 
 
+def entry_sizes(merged_facts: DataFrame, spans: DataFrame) -> DataFrame:
+    """``(section, n_chars)`` of the kept records, from ``records.merged_facts`` without their texts, and of the spans."""
+    keep = F.col("level").isin("ERROR", "WARN") | ((F.col("level") == "INFO") & F.col("cause"))
+    kept_rows = merged_facts.filter(keep).select(F.col("level").alias("section"), "n_chars")
+    return kept_rows.unionByName(spans.select(F.lit(KEYWORD).alias("section"), F.length("hit").cast("long").alias("n_chars")))
+
+
 def sizes(entry_rows: DataFrame, limits: dict[str, int | None] | None = None) -> DataFrame:
     """``(section, n_items, n_chars, flag)``: texts and their characters, of level lists and keyword spans.
 
+    Entries with ``n_chars`` in place of ``text`` do as well, see ``entry_sizes``.
+
     The flag is 1 if the characters are over the section's limit in ``limits``, by default
     ``MAX_KEYWORD_CHARS`` for keyword spans. The true size is reported in any case.
     """
     is_span, is_marker = F.col("section") == KEYWORD, F.col("section") == MARKER
-    chars = F.length("text").cast("long")
+    chars = (F.col("n_chars") if "n_chars" in entry_rows.columns else F.length("text")).cast("long")
 
     def total(what: Column, of: Column) -> Column:
         return F.coalesce(F.sum(F.when(of, what)), F.lit(0)).cast("long")

@@ -93,6 +93,30 @@ def running_counts(
     return out.drop("_key", "_chunk", *extra)
 
 
+def running_last(df: DataFrame, key: str, order: list[str], chunk: str | None = None, **values: Column) -> DataFrame:
+    """Add the last value so far (the own row included) that isn't null, in ``order`` within each ``key``.
+
+    As for ``running_counts``, no key is put into one task if there is a ``chunk``.
+    """
+    if chunk is None:
+        window = Window.partitionBy(key).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
+        return df.withColumns({name: F.last(value, ignorenulls=True).over(window) for name, value in values.items()})
+    local = Window.partitionBy(key, chunk).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
+    earlier = Window.partitionBy(key).orderBy(chunk).rowsBetween(Window.unboundedPreceding, -1)
+    marked = df.withColumns({f"_own_{name}": value for name, value in values.items()})
+    place = F.struct(*order)
+    ends = marked.groupBy(key, chunk).agg(*[F.max_by(f"_own_{name}", F.when(F.col(f"_own_{name}").isNotNull(), place)).alias(f"_end_{name}") for name in values])
+    carried = ends.select(
+        F.col(key).alias("_key"),
+        F.col(chunk).alias("_chunk"),
+        *[F.last(f"_end_{name}", ignorenulls=True).over(earlier).alias(f"_in_{name}") for name in values],
+    )
+    seen = marked.withColumns({name: F.last(f"_own_{name}", ignorenulls=True).over(local) for name in values})
+    joined = seen.join(carried, (F.col(key) == F.col("_key")) & (F.col(chunk) == F.col("_chunk")), "left")
+    out = joined.withColumns({name: F.coalesce(name, f"_in_{name}") for name in values})
+    return out.drop("_key", "_chunk", *[f"_{part}_{name}" for part in ("own", "in") for name in values])
+
+
 def record_chunk(rows: int = ROWS_PER_CHUNK) -> Column:
     """Chunk of a record: record numbers are dense, so every chunk has at most ``rows`` records."""
     return F.floor(F.col("rec_no") / rows).cast("long")

@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 
 from emberlog.catalogue import CATALOGUE, HEADER, ROOT_CAUSE, SEPARATOR
 from emberlog.functions.text import any_keyword, header_level, is_header, is_known, is_short_header, joined, let, line_count
-from emberlog.operators.ordering import ROWS_PER_CHUNK, record_chunk, running_counts
+from emberlog.operators.ordering import ROWS_PER_CHUNK, record_chunk, running_counts, running_last
 
 _BREAK_BEFORE_HEADER = rf"\n(?={HEADER})"
 
@@ -80,14 +80,29 @@ def _with_level(pieces: DataFrame) -> DataFrame:
     return pieces.select("container_id", "rec_no", level.alias("level"), "raw")
 
 
+#: Seeds of the two hashes that stand for a text.
+SEEDS = (1, 2)
+
+
+def hash_names() -> list[str]:
+    return [f"hash_{seed}" for seed in SEEDS]
+
+
+def hash_of_parts(place: Column) -> list[Column]:
+    """Aggregates: the two hashes of a whole, from those of its parts and their places in it, in any order."""
+    return [F.bit_xor(F.xxhash64(F.lit(seed), place, *hash_names())).alias(f"hash_{seed}") for seed in SEEDS]
+
+
 def line_facts(
-    lines: DataFrame, order: Sequence[str], chunk: str | None = None, keywords: Sequence[str] = ()
+    lines: DataFrame, order: Sequence[str], chunk: str | None = None, keywords: Sequence[str] = (), hashes: bool = False
 ) -> DataFrame:
     """Facts of each piece, from facts of its lines; no text is shuffled.
 
     ``container_id, rec_no, level, n_lines, n_chars`` (of the joined record), ``cause``, ``hit``
     (has a keyword), and for each kind of the catalogue ``mask_<kind>`` with a bit for each phrase. A
-    phrase or keyword has no separator in it, so no match crosses the border of two lines.
+    phrase or keyword has no separator in it, so no match crosses the border of two lines. With
+    ``hashes``, ``hash_1`` and ``hash_2`` stand for the text: hashes of lines with their places in the
+    piece, which are known when lines are numbered.
     """
     line, header = F.col("line"), is_header(F.col("line"))
     masks = {kind: phrase_mask(line, texts) for kind, texts in CATALOGUE.items()}
@@ -101,9 +116,13 @@ def line_facts(
         F.contains(line, F.lit(ROOT_CAUSE)).alias("cause"),
         any_keyword(line, list(keywords)).alias("hit"),
         *[mask.alias(f"mask_{kind}") for kind, mask in masks.items()],
+        *([F.xxhash64(F.lit(seed), line).alias(f"hash_{seed}") for seed in SEEDS] if hashes else []),
     )
-    numbered = running_counts(facts, "container_id", list(order), chunk, rec_no=F.col("header"))
+    numbered = running_counts(facts, "container_id", list(order), chunk, rec_no=F.col("header"), **({"line_no": F.lit(1)} if hashes else {}))
+    if hashes:
+        numbered = running_last(numbered, "container_id", list(order), chunk, opened=F.when(F.col("header"), F.col("line_no")))
     return numbered.groupBy("container_id", "rec_no").agg(
+        *(hash_of_parts(F.col("line_no") - F.coalesce("opened", F.lit(0))) if hashes else []),
         F.max("level").alias("level"),
         F.count("*").alias("n_lines"),
         F.sum("n_chars").alias("n_chars"),
@@ -113,10 +132,21 @@ def line_facts(
     )
 
 
+def merged_facts(facts: DataFrame, chunk: bool = False, rows_per_chunk: int = ROWS_PER_CHUNK) -> DataFrame:
+    """``container_id, seg, level, n_chars, cause, hash_1, hash_2`` of merged records, from facts with hashes.
+
+    A header line always opens a record, so equal texts are equal sequences of records, and are hashed as such.
+    """
+    place = F.col("known_no") - F.col("opened_at")
+    return merge_gaps(facts, chunk, rows_per_chunk, [F.sum("n_chars").alias("n_chars"), F.bool_or("cause").alias("cause"), *hash_of_parts(place)])
+
+
 def phrase_mask(text: Column, phrases: Sequence[str]) -> Column:
     """A bit for each phrase that ``text`` contains."""
     if any(SEPARATOR in phrase for phrase in phrases):
         raise ValueError("a phrase with the separator may cross lines")
+    if len(phrases) > 63:
+        raise ValueError(f"a mask has bits for 63 phrases, not {len(phrases)}; patterns.hits has no such limit")
     mask = F.lit(0).cast("long")
     for bit, phrase in enumerate(phrases):
         mask = mask.bitwiseOR(F.when(F.contains(text, F.lit(phrase)), F.lit(1 << bit).cast("long")).otherwise(F.lit(0).cast("long")))
@@ -256,6 +286,9 @@ def merge_gaps(
         seg=known & ~continues,
     )
     lost = ~is_known(F.col("_final")) & (F.col("seg") == F.col("seg_total"))
+    if set(hash_names()) <= set(recs.columns):  # a record's place in its segment
+        numbered = running_counts(numbered, "container_id", ["rec_no"], "_part" if chunk else None, known_no=known)
+        numbered = running_last(numbered, "container_id", ["rec_no"], "_part" if chunk else None, opened_at=F.when(known & ~continues, F.col("known_no")))
     return (
         numbered.filter(known & ~lost)
         .groupBy("container_id", "seg")

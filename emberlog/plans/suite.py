@@ -78,8 +78,12 @@ class LogView:
     def facts(self, keyword: str = "") -> DataFrame:
         return records.line_facts(self.lines, LINE_ORDER, self.chunk, parse_keywords(keyword))
 
+    def merged_facts(self) -> DataFrame:
+        facts = records.line_facts(self.lines, LINE_ORDER, self.chunk, hashes=True)
+        return records.merged_facts(facts, self.is_cut, self.rows_per_chunk)
+
     def fingerprints(self) -> DataFrame:
-        return containers.fingerprinted(self.segments(), "seg", self.is_cut, self.rows_per_chunk)
+        return containers.fingerprinted(self.merged_facts(), "seg", self.is_cut, self.rows_per_chunk, self.lines.select("container_id").distinct())
 
     def spans(self, keyword: str) -> DataFrame:
         return keywords.spans(self.pieces(), keyword, chunk=self.is_cut, rows_per_chunk=self.rows_per_chunk)
@@ -290,7 +294,8 @@ def text_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
 @registered
 def payload_guard(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Size of the level lists, and of the keyword spans with flags for the usual and a small limit."""
-    entries = LogView(spark, sf_dir).entries(SPAN_KEYWORDS[0])
+    view = LogView(spark, sf_dir)
+    entries = containers.entry_sizes(view.merged_facts(), view.spans(SPAN_KEYWORDS[0]))
     return containers.sizes(entries, {"Keyword": MAX_KEYWORD_CHARS, "Keyword, small limit": SMALL_LIMIT})
 
 

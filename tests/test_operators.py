@@ -1,5 +1,7 @@
 """Operators against an independent line machine, on random lines and in both plans."""
 
+import random
+
 import pytest
 from hypothesis import HealthCheck, given, settings
 from hypothesis import strategies as st
@@ -128,21 +130,50 @@ def test_phrases(spark):
     assert sum(1 for r in summary if r.n_records == 0) == 29
 
 
+def fingerprints(recs, **options):
+    """Of records that are given with their texts."""
+    text = F.col("record")
+    hashes = [F.xxhash64(F.lit(seed), text).alias(f"hash_{seed}") for seed in records.SEEDS]
+    facts = recs.select("container_id", F.col("rec_no").alias("seg"), "level", F.length(text).cast("long").alias("n_chars"), F.contains(text, F.lit("Caused by:")).alias("cause"), *hashes)
+    return containers.fingerprinted(facts, **options)
+
+
 def test_accumulate_keeps_changed_entries(spark):
     schema = "container_id string, rec_no bigint, level string, record string"
     one = spark.createDataFrame([("a", 1, "ERROR", "x"), ("b", 1, "WARN", "y"), ("p", 0, None, "z")], schema)
     two = spark.createDataFrame([("a", 1, "ERROR", "x"), ("b", 1, "WARN", "other"), ("c", 1, "INFO", "no")], schema)
-    both = containers.accumulate(containers.fingerprinted(one), containers.fingerprinted(two))
+    both = containers.accumulate(fingerprints(one), fingerprints(two))
     assert sorted(r.container_id for r in both.collect()) == ["a", "b", "b", "c", "p"]
     swapped = spark.createDataFrame([("a", 1, "ERROR", "x"), ("a", 2, "ERROR", "y")], schema)
     order = spark.createDataFrame([("a", 1, "ERROR", "y"), ("a", 2, "ERROR", "x")], schema)
-    assert containers.accumulate(containers.fingerprinted(swapped), containers.fingerprinted(order)).count() == 2
+    assert containers.accumulate(fingerprints(swapped), fingerprints(order)).count() == 2
     # Records that are in no list have no effect, whatever their number.
     with_more = spark.createDataFrame([("a", 1, "INFO", "no"), ("a", 2, "ERROR", "x"), ("a", 3, "DEBUG", "no"), ("a", 4, "ERROR", "y")], schema)
-    assert containers.accumulate(containers.fingerprinted(swapped), containers.fingerprinted(with_more)).count() == 1
+    assert containers.accumulate(fingerprints(swapped), fingerprints(with_more)).count() == 1
     for rows_per_chunk in (1, 2, 3):
-        cut = containers.fingerprinted(with_more, chunk=True, rows_per_chunk=rows_per_chunk)
-        assert sorted(cut.collect()) == sorted(containers.fingerprinted(with_more).collect())
+        cut = fingerprints(with_more, chunk=True, rows_per_chunk=rows_per_chunk)
+        assert sorted(cut.collect()) == sorted(fingerprints(with_more).collect())
+
+
+def test_hashes_of_lines_stand_for_texts(spark):
+    """Containers have equal fingerprints if and only if their merged records are equal, in both plans."""
+    draw = random.Random(17)
+    parts = ["20/06/06 x ERROR a", "20/06/06 x WARN b", "20/06/06 x INFO Caused by: c", "20/06/06 x DEBUG d", "\tat e", "\tat f", ""]
+    logs = {f"c{i}": [draw.choice(parts) for _ in range(draw.randrange(1, 5))] for i in range(400)}
+    lines = spark.createDataFrame([(c, n, n // 3, line) for c, ls in logs.items() for n, line in enumerate(ls)], "container_id string, at bigint, part bigint, line string")
+    ids = lines.select("container_id").distinct()
+    both = []
+    for chunk in (None, "part"):
+        facts = records.line_facts(lines, ["at"], chunk, hashes=True)
+        merged = records.merged_facts(facts, chunk is not None, 2)
+        both.append({r.container_id: tuple(r)[1:] for r in containers.fingerprinted(merged, "seg", chunk is not None, 2, ids).collect()})
+    assert both[0] == both[1] and set(both[0]) == set(logs)
+    pieces = records.records(records.pieces_from_lines(lines, ["at"]))
+    lists = {c: {"ERROR": [], "WARN": [], "INFO": []} for c in logs}
+    for r in sorted(records.kept(records.merge_gaps(pieces).withColumnRenamed("seg", "rec_no")).collect(), key=lambda r: r.rec_no):
+        lists[r.container_id][r.level].append(r.record)
+    texts = {c: repr(found) for c, found in lists.items()}
+    assert len(set(texts.values())) == len(set(both[0].values())) == len({(texts[c], both[0][c]) for c in logs}) > 50
 
 
 def test_facts_of_lines_are_those_of_records(spark):

@@ -84,7 +84,7 @@ def test_whole_texts_are_not_shuffled(spark):
 
 
 def test_counts_shuffle_no_text(spark):
-    for name in ("header_flag", "level_counts", "container_summary", "report_json", "keyword_container", "pattern_summary", "pattern_summary_merged"):
+    for name in ("header_flag", "level_counts", "container_summary", "report_json", "keyword_container", "pattern_summary", "pattern_summary_merged", "container_dedup", "run_accumulate"):
         execution = QUERIES[name](spark, SF)._jdf.queryExecution()
         plan = spark._jvm.PythonSQLUtils.explainString(execution, "formatted")
         moved = re.findall(r"\(\d+\) Exchange\nInput \[\d+\]: \[(.*)\]", plan)
