@@ -21,7 +21,8 @@ first and then added up, and joins by segment or text may be split by Spark, as
 Defined cases: a null text stays null and has no segments; blank ones have no template and stay; a line that loses all
 its segments goes with its line end, in another the rest stays as it is; a document that loses all lines has an empty
 text; rows that repeat lose the same; a null identifier counts as larger than any; an empty table gives none. Other
-columns of the rows may have any name. The noncharacter ``MARK`` is dropped from texts that lose something.
+columns of the rows may have any name. The noncharacter ``MARK`` is dropped from texts that lose something, and a control character
+``OPEN`` of a text counts as nothing or, at the ends of segments, as a blank.
 """
 
 from __future__ import annotations
@@ -31,16 +32,19 @@ import uuid
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from emberlog.llm.common import cut, let, shared_dir
+from emberlog.llm.common import cut, shared_dir
 
 LEADING, MIN_DOCS, CONSTANT, AGREE, LONG = 3, 3, 0.6, 0.8, 6
 FIELD = "<*>"
 #: Tiles a text: up to a sentence end with its blanks, or to the end of a line.
 PIECE = r"(?s)(?=.)(?:[^\n.!?]++|[.!?]++(?![ \t\r]))*+(?:[.!?]++[ \t\r]++\n?+|\n|\z)"
-#: A token with a digit, from its first character on.
-VARIABLE = r"(?<![^ ])[^ 0-9]*+[0-9][^ ]*+"
+#: A token with a digit, without punctuation at its end, so that a sentence end stays one.
+VARIABLE = r"(?<![^ \n\x02])[^ \n\x020-9]*+[0-9](?:[^ \n.!?]++|[.!?]++(?=[^ \n.!?]))*+"
+IS_FIELD = r"^<\*>[.!?]*$"
 #: A document's vote, which many numbers divide.
 VOTE = 720_720
+#: Begin of a line, while segments are found.
+OPEN = "\x02"
 #: Stands for a lost segment until its line is known to stay.
 MARK = "\uffff"
 
@@ -52,24 +56,25 @@ def pieces(text: Column) -> Column:
 def segments(docs: DataFrame, constant: float = CONSTANT) -> DataFrame:
     """``id``, ``digest`` of the text, ``no`` (from 0), ``masked``, ``n`` (tokens), ``leaf`` and ``line`` (hashes) of each segment that takes part."""
 
-    def with_place(all_pieces: Column) -> Column:
-        def one(piece: Column, i: Column) -> Column:
-            opens = (i == 0) | F.endswith(F.get(all_pieces, i - 1), F.lit("\n"))
-            closes = (i == F.size(all_pieces) - 1) | F.endswith(piece, F.lit("\n"))
-            return F.struct(piece.alias("piece"), (opens & closes).alias("whole"))
-
-        return F.transform(all_pieces, one)
-
-    text = F.col("text").cast("string")
-    # an inner explode would make the array twice, to test its size
-    rows = docs.select(F.col("doc_id").cast("long").alias("id"), F.xxhash64(text).alias("digest"), F.posexplode_outer(let(pieces(text), with_place)).alias("no", "at"))
-    line, masked = F.col("line"), F.col("masked")
-    rows = rows.select("id", "digest", "no", F.btrim("at.piece", F.lit(" \t\r\n")).alias("line"), "at.whole").where("line <> ''")
-    rows = rows.withColumn("line", F.when(F.regexp_like(line, F.lit("[\t\r]|  ")), F.regexp_replace(line, "[ \t\r]+", " ")).otherwise(line))
-    rows = rows.withColumn("masked", F.when(F.regexp_like(line, F.lit("[0-9]")), F.regexp_replace(line, VARIABLE, FIELD)).otherwise(line))
-    rows = rows.withColumn("n", F.length(masked) - F.length(F.replace(masked, F.lit(" "), F.lit(""))) + 1)
-    fields = F.when(F.contains(masked, F.lit(FIELD)), F.regexp_count(masked, F.lit(r"(?<![^ ])<\*>(?![^ ])"))).otherwise(0)
-    rows = rows.where((F.col("whole") | (F.col("n") >= LONG)) & (F.col("n") - fields >= F.lit(constant) * F.col("n")))
+    text, masked = F.col("text").cast("string"), F.col("masked")
+    # OPEN at the begin of each line and a line end after the last one, so that a piece tells whether it is a whole line.
+    # Blanks and fields are seen to in the whole text, which moves no cut.
+    marked = F.concat(F.lit(OPEN), F.replace(text, F.lit("\n"), F.lit(f"\n{OPEN}")), F.lit("\n"))
+    gaps = F.contains(text, F.lit("\t")) | F.contains(text, F.lit("\r")) | F.contains(text, F.lit("  "))
+    marked = F.when(gaps, F.regexp_replace(marked, "[ \t\r]+", " ")).otherwise(marked)
+    marked = F.when(F.regexp_like(text, F.lit("[0-9]")), F.regexp_replace(marked, VARIABLE, FIELD)).otherwise(marked)
+    # what stands beside an explode is made anew for each of its rows, so the digest comes out of one before
+    one = F.array(F.struct(F.col("doc_id").cast("long").alias("id"), F.xxhash64(text).alias("digest"), pieces(marked).alias("pieces")))
+    rows = docs.select(F.inline_outer(one)).select("id", "digest", F.posexplode_outer("pieces").alias("no", "piece"))
+    whole = F.startswith("piece", F.lit(OPEN)) & F.endswith("piece", F.lit("\n"))
+    bare = F.trim(F.replace(F.replace("piece", F.lit("\n"), F.lit("")), F.lit(OPEN), F.lit("")))
+    rows = rows.select("id", "digest", "no", whole.alias("whole"), bare.alias("masked"))
+    fields = F.when(F.contains(masked, F.lit(FIELD)), F.regexp_count(masked, F.lit(r"(?<![^ ])<\*>[.!?]*+(?![^ ])"))).otherwise(0)
+    rows = rows.withColumns({"n": F.octet_length(masked) - F.octet_length(F.replace(masked, F.lit(" "), F.lit(""))) + 1, "fields": fields})
+    keep = (F.col("whole") | (F.col("n") >= LONG)) & (F.col("n") - F.col("fields") >= F.lit(constant) * F.col("n")) & (masked != "")
+    # A filter on these columns would be pushed below them and make them all again, and so would the test of its array
+    # that an inner explode adds. What an outer one gives can't be pushed.
+    rows = rows.select("*", F.explode_outer(F.when(keep, F.array(F.lit(1)))).alias("keep")).where(F.col("keep").isNotNull())
     return rows.select(
         "id", "digest", "no", "masked", "n", F.xxhash64("n", F.substring_index("masked", " ", LEADING)).alias("leaf"), F.xxhash64("masked").alias("line")
     )
@@ -110,7 +115,7 @@ def recurring(docs: DataFrame, min_docs: int = MIN_DOCS, constant: float = CONST
     told = told.groupBy("leaf", "line").agg(F.any_value("masked").alias("masked"), F.any_value("votes").alias("votes"))
     each = cut(told.select("leaf", "line", "votes", F.posexplode_outer(F.split("masked", " ")).alias("at", "word")))
     values = each.groupBy("leaf", "at", "word").agg(F.sum("votes").alias("votes"))
-    top = F.max(F.when(F.col("word") != FIELD, F.struct("votes", "word")))
+    top = F.max(F.when(~F.regexp_like("word", F.lit(IS_FIELD)), F.struct("votes", "word")))
     fixed = values.groupBy("leaf", "at").agg(F.sum("votes").alias("all"), top.alias("top")).where("2 * top.votes >= all").select("leaf", "at", F.col("top.word").alias("constant"))
     own = each.join(fixed, ["leaf", "at"], "left")
     template = own.groupBy("leaf", "line").agg(F.count("*").alias("n"), F.count("constant").alias("fixed"), F.count_if(F.col("word") == F.col("constant")).alias("agrees"))
@@ -185,10 +190,10 @@ cut as (
   select id, text, line_no, n_lines, list_filter(string_split(regexp_replace(raw, '([.!?]+[ \t\r]+)', '\\1' || chr(1), 'g'), chr(1)), lambda x: x <> '') as segs from by_line),
 s as (select id, text, line_no, n_lines, unnest(segs) as seg, generate_subscripts(segs, 1) as seg_no, len(segs) = 1 as whole from cut),
 w as (
-  select *, list_transform(list_filter(string_split_regex(seg, '[ \t\r]+'), lambda x: x <> ''), lambda x: case when regexp_matches(x, '[0-9]') then '{FIELD}' else x end) as words from s),
+  select *, list_transform(list_filter(string_split_regex(seg, '[ \t\r]+'), lambda x: x <> ''), lambda x: case when regexp_matches(x, '[0-9]') then '{FIELD}' || regexp_extract(x, '[.!?]*$') else x end) as words from s),
 p as (
   select *, (len(words), words[1:{LEADING}])::varchar as leaf from w
-  where len(words) > 0 and (whole or len(words) >= {LONG}) and len(list_filter(words, lambda x: x <> '{FIELD}')) >= {CONSTANT} * len(words)),
+  where len(words) > 0 and (whole or len(words) >= {LONG}) and len(list_filter(words, lambda x: not regexp_matches(x, '{IS_FIELD}'))) >= {CONSTANT} * len(words)),
 held as (select distinct leaf, words, id, text from p),
 votes as (
   select leaf, words, sum({VOTE} // own) as votes from held join (select leaf, text, count(*) as own from held group by all) using (leaf, text) group by all),
@@ -196,7 +201,7 @@ each as (select leaf, words, votes, unnest(words) as word, generate_subscripts(w
 tops as (
   select leaf, place, word, v, sum(v) over (partition by leaf, place) as whole from (select leaf, place, word, sum(votes) as v from each group by all)),
 fixed as (
-  select leaf, place, word as constant from tops where word <> '{FIELD}' and 2 * v >= whole
+  select leaf, place, word as constant from tops where not regexp_matches(word, '{IS_FIELD}') and 2 * v >= whole
   qualify row_number() over (partition by leaf, place order by v desc, word desc) = 1),
 agree as (
   select leaf, words, count(constant) as fixed, count(*) filter (where word = constant) as agrees from each left join fixed using (leaf, place) group by leaf, words),
