@@ -76,7 +76,7 @@ def test_passages_inside_longer_lines(spark):
     for i in range(90):
         before, after = passage(30), passage(30)
         mine = passages[i % 30] if i < 75 else ""
-        rows.append((i, f"{before} {mine} {after}\nlast line {word()}"))
+        rows.append((i, f"{before} {mine} {after}\nlast line {'z' * (i + 1)}"))
         if i >= 30 and mine:
             where[i] = (mine, before, after)
     found = dedup(spark, rows)
