@@ -15,7 +15,8 @@ chance. The document with the smallest identifier keeps its segments of the temp
 Documents are told apart by their texts: exact copies count as one, keep or lose the same segments, and stay copies.
 
 All is DataFrame functions, and one plan for all sizes: what is found out is joined by the hash of the text, so texts are
-shuffled once, and before that only hashes of segments. A segment in a third of all documents is counted by document
+shuffled once, and before that only hashes of segments and the segments of leaves that have several kinds, which a bitmap
+of fixed size sifts out. A segment in a third of all documents is counted by document
 first and then added up, and joins by segment or text may be split by Spark, as one of their sides has a row for each.
 
 Defined cases: a null text stays null and has no segments; blank ones have no template and stay; a line that loses all
@@ -41,6 +42,8 @@ PIECE = r"(?s)(?=.)(?:[^\n.!?]++|[.!?]++(?![ \t\r]))*+(?:[.!?]++[ \t\r]++\n?+|\n
 #: A token with a digit, without punctuation at its end, so that a sentence end stays one.
 VARIABLE = r"(?<![^ \n\x02])[^ \n\x020-9]*+[0-9](?:[^ \n.!?]++|[.!?]++(?=[^ \n.!?]))*+"
 IS_FIELD = r"^<\*>[.!?]*$"
+#: Size of the bitmaps that keep rows out of a shuffle (2 MB); beyond so many leaves it only keeps out fewer.
+BITS = 1 << 24
 #: A document's vote, which many numbers divide.
 VOTE = 720_720
 #: Begin of a line, while segments are found.
@@ -80,6 +83,22 @@ def segments(docs: DataFrame, constant: float = CONSTANT) -> DataFrame:
     )
 
 
+def bitmap(hashes: DataFrame) -> DataFrame:
+    """One row ``bits``: ``BITS`` bits as longs, of which those of the given ``leaf`` hashes are set. It has one size for any number of them."""
+    bit = F.pmod(F.col("leaf"), F.lit(BITS))
+    words = hashes.select(F.floor(bit / 64).cast("int").alias("word"), F.expr(f"shiftleft(1L, cast(pmod(leaf, {BITS}L) % 64 as int))").alias("bit"))
+    words = words.groupBy("word").agg(F.bit_or("bit").alias("bits"))
+    every = hashes.sparkSession.range(BITS // 64).select(F.col("id").cast("int").alias("word")).join(words, "word", "left")
+    return every.agg(F.sort_array(F.collect_list(F.struct("word", F.coalesce("bits", F.lit(0)).alias("bits")))).alias("w")).select(F.col("w.bits").alias("bits"))
+
+
+def sifted(rows: DataFrame, bits: DataFrame) -> DataFrame:
+    """``rows`` whose ``leaf`` may be one of those in the bitmap; all that are one are among them."""
+    word = F.get("bits", F.expr(f"cast(floor(pmod(leaf, {BITS}L) / 64) as int)"))
+    test = word.bitwiseAND(F.expr(f"shiftleft(1L, cast(pmod(leaf, {BITS}L) % 64 as int))")) != 0
+    return rows.crossJoin(F.broadcast(bits)).where(test).drop("bits")
+
+
 def needed(n: Column, min_docs: int) -> Column:
     return F.when(n >= LONG, 2).otherwise(min_docs)
 
@@ -108,10 +127,11 @@ def recurring(docs: DataFrame, min_docs: int = MIN_DOCS, constant: float = CONST
     alone = kinds.join(mixed, "leaf", "left_anti").where(F.col("docs") >= needed(F.col("n"), min_docs)).select("leaf", "line", F.col("first.digest").alias("kept"))
 
     # leaves with several kinds of segments: votes by place
-    inside = cut(held(places.join(mixed, "leaf", "left_semi")))
+    bits = cut(bitmap(mixed))
+    inside = cut(held(sifted(places, bits).join(mixed, "leaf", "left_semi")))
     shares = inside.join(inside.groupBy("leaf", "digest").agg(F.count("*").alias("own")), ["leaf", "digest"])
     votes = shares.groupBy("leaf", "line").agg(F.sum(F.floor(F.lit(VOTE) / F.col("own")).cast("long")).alias("votes"))
-    told = segments(docs, constant).select("leaf", "line", "masked").join(cut(votes), ["leaf", "line"])
+    told = sifted(segments(docs, constant).select("leaf", "line", "masked"), bits).join(cut(votes), ["leaf", "line"])
     told = told.groupBy("leaf", "line").agg(F.any_value("masked").alias("masked"), F.any_value("votes").alias("votes"))
     each = cut(told.select("leaf", "line", "votes", F.posexplode_outer(F.split("masked", " ")).alias("at", "word")))
     values = each.groupBy("leaf", "at", "word").agg(F.sum("votes").alias("votes"))
