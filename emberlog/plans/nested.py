@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 
 from emberlog.catalogue import CATALOGUE, MAX_KEYWORD_CHARS
 from emberlog.operators import patterns
-from emberlog.operators.containers import KEYWORD, MARKER
+from emberlog.operators.containers import KEYWORD
 from emberlog.operators.ordering import ROWS_PER_CHUNK, running_counts
 from emberlog.plans import report
 
