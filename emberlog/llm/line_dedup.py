@@ -33,7 +33,7 @@ import uuid
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from emberlog.llm.common import cut, shared_dir
+from emberlog.llm.common import cut, let, shared_dir
 
 LEADING, MIN_DOCS, CONSTANT, AGREE, LONG = 3, 3, 0.6, 0.8, 6
 FIELD = "<*>"
@@ -158,24 +158,25 @@ def cleaned(docs: DataFrame, min_docs: int = MIN_DOCS, constant: float = CONSTAN
     lost = places.join(found, ["leaf", "line"]).where("digest <> kept").groupBy(F.col("digest").alias("_digest")).agg(F.sort_array(F.collect_set("no")).alias("_lost"))
     text = F.col("text").cast("string")
     rows = docs.select(F.xxhash64(text).alias("_digest"), text.alias("_text"), F.struct(*[F.col(f"`{n}`") for n in docs.columns]).alias("row"))
-    rows = rows.join(lost, "_digest", "left").withColumn("_pieces", pieces(F.col("_text")))
+    rows = rows.join(lost, "_digest", "left")
 
-    def rest(lost: Column) -> Column:
+    def rest(parts: Column) -> Column:
         """Runs of pieces between lost ones, each followed by what stands for the lost one."""
+        lost = F.col("_lost")
 
         def run(at: Column, i: Column) -> Column:
             begin = F.coalesce(F.get(lost, i - 1), F.lit(-1)) + 1
-            piece = F.get(F.col("_pieces"), at)
-            return F.concat(F.array_join(F.slice("_pieces", begin + 1, at - begin), ""), F.lit(MARK), F.when(F.endswith(piece, F.lit("\n")), "\n").otherwise(""))
+            return F.concat(F.array_join(F.slice(parts, begin + 1, at - begin), ""), F.lit(MARK), F.when(F.endswith(F.get(parts, at), F.lit("\n")), "\n").otherwise(""))
 
         last = F.element_at(lost, -1)
-        return F.concat(F.array_join(F.transform(lost, run), ""), F.array_join(F.slice("_pieces", last + 2, F.size("_pieces")), ""))
+        return F.concat(F.array_join(F.transform(lost, run), ""), F.array_join(F.slice(parts, last + 2, F.size(parts)), ""))
 
-    gone = F.regexp_replace(rest(F.col("_lost")), rf"(?<![^\n])[ \t\r]*+{MARK}[ \t\r{MARK}]*+(?:\n|\z)", "")
+    # The pieces are bound once: a filter on the result would else make them anew for every lost one.
+    gone = F.regexp_replace(let(pieces(F.col("_text")), rest), rf"(?<![^\n])[ \t\r]*+{MARK}[ \t\r{MARK}]*+(?:\n|\z)", "")
     return rows.select(
         "row",
         F.when(F.col("_lost").isNull(), F.col("_text")).otherwise(F.replace(gone, F.lit(MARK), F.lit(""))).alias("text"),
-        F.coalesce(F.size("_pieces"), F.lit(0)).cast("long").alias("n_segments"),
+        F.coalesce(F.size(pieces(F.col("_text"))), F.lit(0)).cast("long").alias("n_segments"),
         F.coalesce(F.size("_lost"), F.lit(0)).cast("long").alias("n_dropped"),
     )
 
