@@ -14,9 +14,10 @@ chance. The document with the smallest identifier keeps its segments of the temp
 
 Documents are told apart by their texts: exact copies count as one, keep or lose the same segments, and stay copies.
 
-All is DataFrame functions, and one plan for all sizes: what is found out is joined by the hash of the text, so texts are
-shuffled once, and before that only hashes of segments and the segments of leaves that have several kinds, which a bitmap
-of fixed size sifts out. A segment in a third of all documents is counted by document
+All is DataFrame functions, and one plan for all sizes: texts are parsed once, into a table of segments in the shared
+folder, and what is found out is joined by the hash of the text. So texts are shuffled once, and before that only hashes of
+segments and the segments of leaves that have several kinds. Bitmaps of fixed size sift the table, so only segments that
+may be looked for are shuffled again. A segment in a third of all documents is counted by document
 first and then added up, and joins by segment or text may be split by Spark, as one of their sides has a row for each.
 
 Defined cases: a null text stays null and has no segments; blank ones have no template and stay; a line that loses all
@@ -37,10 +38,11 @@ from emberlog.llm.common import cut, let, shared_dir
 
 LEADING, MIN_DOCS, CONSTANT, AGREE, LONG = 3, 3, 0.6, 0.8, 6
 FIELD = "<*>"
-#: Tiles a text: up to a sentence end with its blanks, or to the end of a line.
-PIECE = r"(?s)(?=.)(?:[^\n.!?]++|[.!?]++(?![ \t\r]))*+(?:[.!?]++[ \t\r]++\n?+|\n|\z)"
+#: Tiles a text: up to a sentence end with its blanks, or to the end of a line. Runs are greedy, as possessive ones are slower
+#: in Java; what follows them always matches, so nothing is tried again.
+PIECE = r"(?s)(?=.)[^\n.!?]*(?:[.!?]+(?![ \t\r.!?])[^\n.!?]*)*+(?:[.!?]+[ \t\r]+\n?|\n|\z)"
 #: A token with a digit, without punctuation at its end, so that a sentence end stays one.
-VARIABLE = r"(?<![^ \n\x02])[^ \n\x020-9]*+[0-9](?:[^ \n.!?]++|[.!?]++(?=[^ \n.!?]))*+"
+VARIABLE = r"(?<![^ \n\x02])[^ \n\x020-9]*[0-9](?:[^ \n.!?]++|[.!?]++(?=[^ \n.!?]))*+"
 IS_FIELD = r"^<\*>[.!?]*$"
 #: Size of the bitmaps that keep rows out of a shuffle (2 MB); beyond so many leaves it only keeps out fewer.
 BITS = 1 << 24
@@ -64,8 +66,8 @@ def segments(docs: DataFrame, constant: float = CONSTANT) -> DataFrame:
     # Blanks and fields are seen to in the whole text, which moves no cut.
     marked = F.concat(F.lit(OPEN), F.replace(text, F.lit("\n"), F.lit(f"\n{OPEN}")), F.lit("\n"))
     gaps = F.contains(text, F.lit("\t")) | F.contains(text, F.lit("\r")) | F.contains(text, F.lit("  "))
-    marked = F.when(gaps, F.regexp_replace(marked, "[ \t\r]+", " ")).otherwise(marked)
-    marked = F.when(F.regexp_like(text, F.lit("[0-9]")), F.regexp_replace(marked, VARIABLE, FIELD)).otherwise(marked)
+    marked = F.when(gaps, F.regexp_replace(marked, "[ \t\r]{2,}+|[\t\r]", " ")).otherwise(marked)
+    marked = F.when(F.regexp_like(text, F.lit(r"\A[^0-9]*\z")), marked).otherwise(F.regexp_replace(marked, VARIABLE, FIELD))
     # what stands beside an explode is made anew for each of its rows, so the digest comes out of one before
     one = F.array(F.struct(F.col("doc_id").cast("long").alias("id"), F.xxhash64(text).alias("digest"), pieces(marked).alias("pieces")))
     rows = docs.select(F.inline_outer(one)).select("id", "digest", F.posexplode_outer("pieces").alias("no", "piece"))
@@ -83,19 +85,22 @@ def segments(docs: DataFrame, constant: float = CONSTANT) -> DataFrame:
     )
 
 
-def bitmap(hashes: DataFrame) -> DataFrame:
-    """One row ``bits``: ``BITS`` bits as longs, of which those of the given ``leaf`` hashes are set. It has one size for any number of them."""
-    bit = F.pmod(F.col("leaf"), F.lit(BITS))
-    words = hashes.select(F.floor(bit / 64).cast("int").alias("word"), F.expr(f"shiftleft(1L, cast(pmod(leaf, {BITS}L) % 64 as int))").alias("bit"))
+def bitmap(hashes: DataFrame, key: str) -> DataFrame:
+    """One row ``bits``: ``BITS`` bits as longs, of which those of the given hashes ``key`` are set. It has one size for any number of them."""
+    bit = F.pmod(F.col(key), F.lit(BITS))
+    words = hashes.select(F.floor(bit / 64).cast("int").alias("word"), F.expr(f"shiftleft(1L, cast(pmod({key}, {BITS}L) % 64 as int))").alias("bit"))
     words = words.groupBy("word").agg(F.bit_or("bit").alias("bits"))
     every = hashes.sparkSession.range(BITS // 64).select(F.col("id").cast("int").alias("word")).join(words, "word", "left")
     return every.agg(F.sort_array(F.collect_list(F.struct("word", F.coalesce("bits", F.lit(0)).alias("bits")))).alias("w")).select(F.col("w.bits").alias("bits"))
 
 
-def sifted(rows: DataFrame, bits: DataFrame) -> DataFrame:
-    """``rows`` whose ``leaf`` may be one of those in the bitmap; all that are one are among them."""
-    word = F.get("bits", F.expr(f"cast(floor(pmod(leaf, {BITS}L) / 64) as int)"))
-    test = word.bitwiseAND(F.expr(f"shiftleft(1L, cast(pmod(leaf, {BITS}L) % 64 as int))")) != 0
+def sifted(rows: DataFrame, bits: DataFrame, key: str) -> DataFrame:
+    """``rows`` whose hash ``key`` may be one of those in the bitmap; all that are one are among them.
+
+    What follows should be an inner join: a semi join would be pushed below the test.
+    """
+    word = F.get("bits", F.expr(f"cast(floor(pmod({key}, {BITS}L) / 64) as int)"))
+    test = word.bitwiseAND(F.expr(f"shiftleft(1L, cast(pmod({key}, {BITS}L) % 64 as int))")) != 0
     return rows.crossJoin(F.broadcast(bits)).where(test).drop("bits")
 
 
@@ -103,9 +108,20 @@ def needed(n: Column, min_docs: int) -> Column:
     return F.when(n >= LONG, 2).otherwise(min_docs)
 
 
+def known_id() -> Column:
+    return F.coalesce("id", F.lit(2**63 - 1)).alias("id")
+
+
 def holder() -> Column:
     """The text that keeps a template: that of the smallest identifier."""
-    return F.min(F.struct(F.coalesce("id", F.lit(2**63 - 1)).alias("id"), "digest"))
+    return F.min(F.struct(known_id(), "digest"))
+
+
+def written(rows: DataFrame, name: str) -> DataFrame:
+    """``rows`` as a table in the shared folder, of which a later step reads only the columns that it needs."""
+    path = f"{shared_dir(rows.sparkSession)}/{name}-{uuid.uuid4().hex}"
+    rows.write.option("compression", "zstd").parquet(path)
+    return rows.sparkSession.read.schema(rows.schema).parquet(path)
 
 
 def recurring(docs: DataFrame, min_docs: int = MIN_DOCS, constant: float = CONSTANT) -> tuple[DataFrame, DataFrame]:
@@ -113,34 +129,40 @@ def recurring(docs: DataFrame, min_docs: int = MIN_DOCS, constant: float = CONST
 
     The latter are ``leaf``, ``line`` and ``kept``, the digest of the text that keeps the template.
     """
-    spark = docs.sparkSession
-    path = f"{shared_dir(spark)}/segments-{uuid.uuid4().hex}"
-    segments(docs, constant).drop("masked").write.parquet(path)
-    places = spark.read.schema("id long, digest long, no int, n int, leaf long, line long").parquet(path)
+    places = written(segments(docs, constant), "segments")
 
     def held(rows: DataFrame) -> DataFrame:
         return rows.groupBy("leaf", "line", "digest").agg(F.min("id").alias("id"), F.any_value("n").alias("n"))
 
-    kinds = cut(held(places).groupBy("leaf", "line").agg(F.count("*").alias("docs"), holder().alias("first"), F.any_value("n").alias("n")))
-    leaves = kinds.groupBy("leaf").agg(F.count("*").alias("lines"), F.min("first.digest").alias("low"), F.max("first.digest").alias("high"), F.max("docs").alias("most"))
+    # Sums and smallest values of numbers are made by hash; a smallest struct would have all rows sorted.
+    kinds = held(places).groupBy("leaf", "line").agg(F.count("*").alias("docs"), F.min(known_id()).alias("id"), F.min("digest").alias("low"), F.any_value("n").alias("n"))
+    kinds = written(kinds, "kinds")
+    leaves = kinds.groupBy("leaf").agg(F.count("*").alias("lines"), F.min("low").alias("low"), F.max("low").alias("high"), F.max("docs").alias("most"))
     mixed = cut(leaves.where("lines > 1 and (low <> high or most > 1)").select("leaf"))
-    alone = kinds.join(mixed, "leaf", "left_anti").where(F.col("docs") >= needed(F.col("n"), min_docs)).select("leaf", "line", F.col("first.digest").alias("kept"))
 
-    # leaves with several kinds of segments: votes by place
-    bits = cut(bitmap(mixed))
-    inside = cut(held(sifted(places, bits).join(mixed, "leaf", "left_semi")))
+    # leaves with one kind: the text of the smallest identifier, and of texts that share it the one of the smallest hash
+    alone = cut(kinds.where(F.col("docs") >= needed(F.col("n"), min_docs)).join(mixed, "leaf", "left_anti").select("leaf", "line", "id"))
+    alone = sifted(places.select("leaf", "line", known_id(), "digest"), bitmap(alone, "line"), "line").join(alone, ["leaf", "line", "id"])
+    alone = alone.groupBy("leaf", "line").agg(F.min("digest").alias("kept"))
+
+    # leaves with several kinds of segments: votes by place, of which each place of a leaf has as many
+    bits = cut(bitmap(mixed, "leaf"))
+    inside = cut(held(sifted(places, bits, "leaf").join(mixed, "leaf")))
     shares = inside.join(inside.groupBy("leaf", "digest").agg(F.count("*").alias("own")), ["leaf", "digest"])
-    votes = shares.groupBy("leaf", "line").agg(F.sum(F.floor(F.lit(VOTE) / F.col("own")).cast("long")).alias("votes"))
-    told = sifted(segments(docs, constant).select("leaf", "line", "masked"), bits).join(cut(votes), ["leaf", "line"])
-    told = told.groupBy("leaf", "line").agg(F.any_value("masked").alias("masked"), F.any_value("votes").alias("votes"))
-    each = cut(told.select("leaf", "line", "votes", F.posexplode_outer(F.split("masked", " ")).alias("at", "word")))
-    values = each.groupBy("leaf", "at", "word").agg(F.sum("votes").alias("votes"))
-    top = F.max(F.when(~F.regexp_like("word", F.lit(IS_FIELD)), F.struct("votes", "word")))
-    fixed = values.groupBy("leaf", "at").agg(F.sum("votes").alias("all"), top.alias("top")).where("2 * top.votes >= all").select("leaf", "at", F.col("top.word").alias("constant"))
-    own = each.join(fixed, ["leaf", "at"], "left")
-    template = own.groupBy("leaf", "line").agg(F.count("*").alias("n"), F.count("constant").alias("fixed"), F.count_if(F.col("word") == F.col("constant")).alias("agrees"))
-    general = (F.col("fixed") >= F.lit(constant) * F.col("n")) & (F.col("agrees") >= F.lit(AGREE) * F.col("fixed"))
-    template = cut(template.select("leaf", "line", "n", F.when(general, F.lit(None).cast("long")).otherwise(F.col("line")).alias("template")))
+    votes = cut(shares.groupBy("leaf", "line").agg(F.sum(F.floor(F.lit(VOTE) / F.col("own")).cast("long")).alias("votes")))
+    votes = votes.join(votes.groupBy("leaf").agg(F.sum("votes").alias("all")), "leaf")
+    told = sifted(places.select("leaf", "line", "n", "masked"), bits, "leaf").join(votes, ["leaf", "line"])
+    told = cut(told.groupBy("leaf", "line").agg(F.any_value("masked").alias("masked"), *[F.any_value(c).alias(c) for c in ("n", "votes", "all")]))
+    each = told.select("leaf", "votes", "all", F.posexplode_outer(F.split("masked", " ")).alias("at", "word"))
+    values = each.groupBy("leaf", "at", "word").agg(F.sum("votes").alias("votes"), F.any_value("all").alias("all"))
+    half = values.where((2 * F.col("votes") >= F.col("all")) & ~F.regexp_like("word", F.lit(IS_FIELD)))
+    half = half.groupBy("leaf").agg(F.sort_array(F.collect_list(F.struct("at", "word"))).alias("half"))
+    # of words that share a place by halves the last one
+    fixed = half.select("leaf", F.filter("half", lambda x, i: ~F.get("half", i + 1)["at"].eqNullSafe(x["at"])).alias("fixed"))
+    own = told.join(fixed, "leaf", "left").select("leaf", "line", "n", "masked", F.coalesce("fixed", F.array().cast(dict(fixed.dtypes)["fixed"])).alias("fixed"))
+    agrees = let(F.split("masked", " "), lambda words: F.size(F.filter("fixed", lambda x: F.get(words, x["at"]) == x["word"])))
+    general = (F.size("fixed") >= F.lit(constant) * F.col("n")) & (agrees >= F.lit(AGREE) * F.size("fixed"))
+    template = cut(own.select("leaf", "line", "n", F.when(general, F.lit(None).cast("long")).otherwise(F.col("line")).alias("template")))
     known = inside.select("leaf", "line", "digest", "id").join(template, ["leaf", "line"])
     often = (
         known.groupBy("leaf", "template", "digest").agg(F.min("id").alias("id"), F.any_value("n").alias("n"))
@@ -153,11 +175,13 @@ def recurring(docs: DataFrame, min_docs: int = MIN_DOCS, constant: float = CONST
 
 
 def cleaned(docs: DataFrame, min_docs: int = MIN_DOCS, constant: float = CONSTANT) -> DataFrame:
-    """Each row of ``docs`` as ``row``, with ``text`` after segments are dropped, ``n_segments`` and ``n_dropped``."""
+    """The other columns of each row of ``docs`` as ``row``, with ``text`` after segments are dropped, ``n_segments`` and ``n_dropped``."""
     places, found = recurring(docs, min_docs, constant)
-    lost = places.join(found, ["leaf", "line"]).where("digest <> kept").groupBy(F.col("digest").alias("_digest")).agg(F.sort_array(F.collect_set("no")).alias("_lost"))
+    found = cut(found)
+    lost = sifted(places.select("leaf", "line", "digest", "no"), bitmap(found, "line"), "line").join(found, ["leaf", "line"]).where("digest <> kept")
+    lost = cut(lost.groupBy(F.col("digest").alias("_digest")).agg(F.sort_array(F.collect_set("no")).alias("_lost")))
     text = F.col("text").cast("string")
-    rows = docs.select(F.xxhash64(text).alias("_digest"), text.alias("_text"), F.struct(*[F.col(f"`{n}`") for n in docs.columns]).alias("row"))
+    rows = docs.select(F.xxhash64(text).alias("_digest"), text.alias("_text"), F.struct(*[F.col(f"`{n}`") for n in docs.columns if n != "text"]).alias("row"))
     rows = rows.join(lost, "_digest", "left")
 
     def rest(parts: Column) -> Column:
@@ -171,19 +195,20 @@ def cleaned(docs: DataFrame, min_docs: int = MIN_DOCS, constant: float = CONSTAN
         last = F.element_at(lost, -1)
         return F.concat(F.array_join(F.transform(lost, run), ""), F.array_join(F.slice(parts, last + 2, F.size(parts)), ""))
 
-    # The pieces are bound once: a filter on the result would else make them anew for every lost one.
-    gone = F.regexp_replace(let(pieces(F.col("_text")), rest), rf"(?<![^\n])[ \t\r]*+{MARK}[ \t\r{MARK}]*+(?:\n|\z)", "")
-    return rows.select(
-        "row",
-        F.when(F.col("_lost").isNull(), F.col("_text")).otherwise(F.replace(gone, F.lit(MARK), F.lit(""))).alias("text"),
-        F.coalesce(F.size(pieces(F.col("_text"))), F.lit(0)).cast("long").alias("n_segments"),
-        F.coalesce(F.size("_lost"), F.lit(0)).cast("long").alias("n_dropped"),
+    def left(parts: Column) -> Column:
+        gone = F.regexp_replace(rest(parts), rf"(?md)^[ \t\r]*+{MARK}[ \t\r{MARK}]*+(?:\n|\z)", "")
+        gone = F.when(F.col("_lost").isNull(), F.col("_text")).otherwise(F.replace(gone, F.lit(MARK), F.lit("")))
+        return F.struct(gone.alias("text"), F.coalesce(F.size(parts), F.lit(0)).cast("long").alias("n_segments"))
+
+    # The pieces are bound once, and what is made of them comes out of an explode: a filter on it would else make all anew.
+    return rows.select("row", "_lost", F.inline_outer(F.array(let(pieces(F.col("_text")), left)))).select(
+        "row", "text", "n_segments", F.coalesce(F.size("_lost"), F.lit(0)).cast("long").alias("n_dropped")
     )
 
 
 def drop_recurring(docs: DataFrame, min_docs: int = MIN_DOCS, constant: float = CONSTANT) -> DataFrame:
     """``doc_id``, ``n_segments``, ``n_dropped`` and the ``text`` that is left of each row."""
-    return cleaned(docs, min_docs, constant).select("row.doc_id", "n_segments", "n_dropped", "text")
+    return cleaned(docs.select("doc_id", "text"), min_docs, constant).select("row.doc_id", "n_segments", "n_dropped", "text")
 
 
 def keep_rest(docs: DataFrame, min_docs: int = MIN_DOCS, constant: float = CONSTANT) -> DataFrame:

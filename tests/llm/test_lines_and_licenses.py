@@ -120,6 +120,15 @@ def test_shape_of_the_plan_is_the_same_at_every_size(spark):
         assert "broadcast" not in logical and "LeftOuter" in logical
 
 
+def test_texts_are_parsed_once(spark, monkeypatch):
+    parsed = []
+    parse = line_dedup.segments
+    monkeypatch.setattr(line_dedup, "segments", lambda *args: parsed.append(args) or parse(*args))
+    lines = [f"this day user {name} came in from home" for name in ("ann", "bob", "cid", "dan")]
+    found = dedup(spark, [(i, f"{line}\nown {'z' * (i + 1)}") for i, line in enumerate(lines)])
+    assert [found[i].n_dropped for i in range(4)] == [0, 1, 1, 1] and len(parsed) == 1
+
+
 def test_documents_that_lose_all_go(spark):
     docs = spark.createDataFrame([(1, "shared line of text\nown", 23), (2, "shared line of text", 19), (3, "shared line of text\nrest", 24), (4, "", 0)], "doc_id long, text string, n_chars int")
     rows = {r.doc_id: (r.text, r.n_chars) for r in line_dedup.keep_rest(docs).collect()}
